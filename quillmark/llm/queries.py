@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quillmark.llm import line_dedup
+from quillmark.llm import line_dedup, mixing, packing, pii
 
 QUERIES = {
+    "op4_pii": pii.op4_pii,
+    "op7_pack": packing.op7_pack,
+    "op8_mix": mixing.op8_mix,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op8_mix": mixing.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
