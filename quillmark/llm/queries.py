@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillmark.llm import line_dedup, mixing, packing, pii
+from quillmark.llm import line_dedup, mixing, packing, pii, quality
 
 QUERIES = {
     "op4_pii": pii.op4_pii,
     "op7_pack": packing.op7_pack,
     "op8_mix": mixing.op8_mix,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
