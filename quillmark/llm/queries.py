@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillmark.llm import line_dedup, mixing, packing, pii, quality
+from quillmark.llm import line_dedup, mixing, packing, pii, quality, substring_dedup
 
 QUERIES = {
     "op4_pii": pii.op4_pii,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_pack": packing.op7_pack,
     "op8_mix": mixing.op8_mix,
     "op9_quality_rules": quality.op9_quality_rules,

@@ -31,9 +31,9 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            made = max(n, 2 * len(self.up))
             for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, base, U64)
+                steps = np.full(made, base, U64)
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=U64))
         return self.up[:n], self.down[:n]
