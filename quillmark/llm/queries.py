@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillmark.llm import line_dedup, mixing, packing, pii, quality, substring_dedup
+from quillmark.llm import line_dedup, mixing, near_dedup, packing, pii, quality, substring_dedup
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op4_pii": pii.op4_pii,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_pack": packing.op7_pack,
