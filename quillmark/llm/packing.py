@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,12 @@ SCHEMA = (
 )
 
 
+#: What may follow letters as a token of its own (no apostrophe: 's and the like are tokens).
+PUNCTUATION = ".,;:!?*$%&#|<>()[]{}=+/\\\"-_@^~"
+#: Byte-level BPE writes a byte that is no visible character as one from 256 on, in order.
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
 class Ids(dict):
     """Ids of words as little-endian unsigned 32-bit bytes, found on first use.
 
@@ -32,16 +40,36 @@ class Ids(dict):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        text = word.decode("utf-8", "replace")
+        stem = text.rstrip(PUNCTUATION)
+        low = stem.lower()
+        if not low.isalpha() or max(low) >= "\u0250":
+            out = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        elif stem != text:  # letters and what follows them are tokens of their own
+            out = self[stem.encode()] + self[text[len(stem) :].encode()]
+        elif low != stem:  # Latin letters fold alone
+            out = self[low.encode()]
+        else:  # nothing to normalise or to split: straight to the vocabulary
+            out = self.packed([t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_LEVEL))])
         if len(self) >= self.most:
             self.clear()
-        out = self[word] = np.asarray(ids, "<u4").tobytes()
+        self[word] = out
         return out
 
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def text(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
 
+@cache
+def known_ids(path: str) -> Ids:
+    """One for each Python worker, which lives on from task to task."""
+    return Ids(path)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -53,7 +81,7 @@ def cut_documents(path: str, window: int, unit: int, end_id: int):
     last = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = known_ids(path)
         schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("window_crcs", pa.list_(pa.int64())), ("units", pa.int32()), ("body_crc", pa.int64()), ("head_crcs", pa.list_(pa.int64())), ("end_crcs", pa.list_(pa.int64())), ("tail", pa.binary())])
         w, u = 4 * window, 4 * unit
         for batch in batches:
