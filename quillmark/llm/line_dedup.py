@@ -70,7 +70,7 @@ class LineRuns:
 def dedup_lines(
     docs: DataFrame, ws: Workspace, *, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, salts: int = 8
 ) -> DataFrame:
-    """doc_id, text, n_lines, n_dropped, kept_text of every row of docs.
+    """docs, each row with q_n_lines, q_n_dropped and q_kept_text.
 
     A line's key is the line without white space at its ends, A-Z in lower
     case. Keys of min_chars or more that min_docs or more documents hold lose
@@ -87,8 +87,7 @@ def dedup_lines(
     all their lines and count for no key. An empty table gives an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select("doc_id", text.alias("text"))
-    keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), line_key), lambda k: F.char_length(k) >= min_chars))
+    keys = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), line_key), lambda k: F.char_length(k) >= min_chars))
     lines = docs.where("doc_id is not null").select("doc_id", F.explode(F.transform(keys, key_hash)).alias("k"))
     lines = lines.select("doc_id", "k.h1", "k.h2", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
     lines = ws.save(lines, "lines")
@@ -98,23 +97,21 @@ def dedup_lines(
     frequent = runs.frequent(min_docs).select("h1", "h2", "last_doc", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("h2", "doc_id"), F.lit(salts)).cast("int"))
     drops = salted.join(frequent, ["h1", "h2", "salt"]).where(F.col("doc_id") < F.col("last_doc"))
-    drops = drops.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
-    both = docs.join(drops.withColumnRenamed("doc_id", "drop_id"), F.col("doc_id") == F.col("drop_id"), "left")
-    all_lines = F.split("text", "\n")
-    stays = F.filter(all_lines, lambda x: (F.char_length(line_key(x)) < min_chars) | ~F.array_contains(F.col("drops"), key_hash(line_key(x))))
-    both = both.withColumn("all_lines", all_lines).withColumn("stays", F.when(F.col("drops").isNull(), F.col("all_lines")).otherwise(stays))
+    drops = drops.groupBy(F.col("doc_id").alias("q_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("q_drops"))
+    both = docs.join(drops, docs.doc_id == drops.q_id, "left").withColumn("q_lines", F.split(text, "\n"))
+    stays = F.filter("q_lines", lambda x: (F.char_length(line_key(x)) < min_chars) | ~F.array_contains(F.col("q_drops"), key_hash(line_key(x))))
+    both = both.withColumn("q_stays", F.when(F.col("q_drops").isNull(), F.col("q_lines")).otherwise(stays))
     return both.select(
-        "doc_id",
-        "text",
-        F.size("all_lines").cast("long").alias("n_lines"),
-        (F.size("all_lines") - F.size("stays")).cast("long").alias("n_dropped"),
-        F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join("stays", "\n")).alias("kept_text"),
+        *[docs[c] for c in docs.columns],
+        F.size("q_lines").cast("long").alias("q_n_lines"),
+        (F.size("q_lines") - F.size("q_stays")).cast("long").alias("q_n_dropped"),
+        F.when(F.col("q_drops").isNull(), text).otherwise(F.array_join("q_stays", "\n")).alias("q_kept_text"),
     )
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"), Workspace(spark, "op10"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark, "op10"))
+    return out.select("doc_id", F.col("q_n_lines").alias("n_lines"), F.col("q_n_dropped").alias("n_dropped"), F.sha2("q_kept_text", 256).alias("kept_sha256"))
 
 
 SQL = r"""

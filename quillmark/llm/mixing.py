@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Workspace, prefix_sums, ranged, table, word_count
+from quillmark.llm.common import SPACE, Workspace, prefix_sums, ranged, table, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -40,8 +40,8 @@ def targets(sizes: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS,
     return out.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, ws: Workspace, *, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs.
+def mix(docs: DataFrame, ws: Workspace, *, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of docs, and the columns to `carry`.
 
     size counts the words of the text, 0 for null. Within each source the rows
     lie in the order of a hash of seed and doc_id. The mix takes whole passes
@@ -53,18 +53,31 @@ def mix(docs: DataFrame, ws: Workspace, *, seed: str = "mix", weights: tuple[int
     Rows with the same doc_id are rows of their own; those alike in doc_id and
     size are equal, and so is what they may get. Empty tables give empty ones.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     rows = ws.save(rows, "sizes")
     goal = ws.save(targets(rows, ws, weights, most), "targets")
-    order = ["source", "mix_key", "doc_id", "size"]
+    order = ["source", "mix_key", "doc_id", "size", *carry]
     laid = prefix_sums(ranged(ws, rows, order, "order"), ["source"], order[1:], {"before": "size"})
     at = laid.join(goal.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source")))
     budget = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - passes * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return at.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + last).cast("long").alias("taken"))
+    return at.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + last).cast("long").alias("taken"), *carry)
+
+
+def mixed(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """The mix as rows of docs: one for each time a row is taken; the row at a source's cut holds its first words only."""
+    rows = ws.save(docs.withColumn("q_row", F.monotonically_increasing_id()), "rows")
+    taken = mix(rows, ws, carry=("q_row",)).where("taken > 0").select(F.col("q_row").alias("q_taken_row"), F.col("size").alias("q_size"), F.col("taken").alias("q_taken"))
+    whole = F.array_repeat(F.col("q_size"), F.floor(F.col("q_taken") / F.col("q_size")).cast("int"))
+    cut = F.col("q_taken") % F.col("q_size")
+    takes = F.concat(whole, F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))
+    out = rows.join(taken.withColumn("q_take", F.explode(takes)), rows.q_row == taken.q_taken_row)
+    start = F.slice(F.filter(F.split("text", SPACE + "+"), lambda w: w != ""), 1, F.col("q_take").cast("int"))
+    text = F.when(F.col("q_take") == F.col("q_size"), F.col("text")).otherwise(F.array_join(start, " "))
+    return out.withColumn("text", text).select(*docs.columns)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
