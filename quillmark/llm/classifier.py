@@ -40,29 +40,6 @@ LABELLERS = [
     ("no sentence marks", NEVER, -1 / 200),
     ("digits per character", NEVER, 0.2),
 ]
-#: P(abstain), P(bad), P(good) in good and in bad texts, before any text is seen.
-PRIOR, PRIOR_SHARE, LEAST_LIFT = np.array([[0.38, 0.02, 0.6], [0.2, 0.3, 0.5]]), 0.02, 4.0
-IS_UPPER = np.zeros(256, bool)
-IS_UPPER[65:91] = True
-IS_LETTER = np.zeros(256, bool)
-IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
-IS_DIGIT = np.zeros(256, bool)
-IS_DIGIT[48:58] = True
-IS_END = np.zeros(256, bool)
-IS_END[[ord(c) for c in ".!?,;:"]] = True
-
-#: A labeller votes bad above `bad`, good below `good`, else it abstains: (name, good, bad).
-LABELLERS = [
-    ("few words", 1 / 80, 1 / 50),
-    ("symbols per character", 0.005, 0.03),
-    ("repeated words", 0.1, 0.5),
-    ("repeated lines", 0.05, 0.3),
-    ("upper case per letter", 0.1, 0.4),
-    ("long words", 1 / 9, 1 / 13),
-    ("no sentence marks", 1 / 60, 1 / 200),
-    ("digits per character", 0.02, 0.2),
-]
-
 
 def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row for each labeller: what it looks at, larger is worse."""
