@@ -94,6 +94,14 @@ def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zip_.compress(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())], pa.binary())], ["doc_id", "packed"])
 
 
+def alike(s: np.ndarray, t: np.ndarray) -> bool:
+    """100 x intersection >= PERCENT x union, of two sets that aren't both empty."""
+    if 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both)
+
+
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: of (a, b, packed_a, packed_b) those with 100 x intersection >= PERCENT x union, as (a, b)."""
     unzip = zstandard.ZstdDecompressor()
@@ -108,11 +116,8 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, s in enumerate(shingle_sets(pa.array(map(text, za), pa.large_string()), SHINGLE)):
             if zb[i] != last[0]:
                 last = (zb[i], next(shingle_sets(pa.array([text(zb[i])]), SHINGLE)))
-            t = last[1]
-            if 100 * min(len(s), len(t)) >= PERCENT * max(len(s), len(t)):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if both and 100 * both >= PERCENT * (len(s) + len(t) - both):
-                    keep.append(i)
+            if alike(s, last[1]):
+                keep.append(i)
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
 
@@ -143,28 +148,51 @@ def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("components: no end after 100 rounds")
 
 
-def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over rows sorted by (bucket, i, j): pairs of different components whose signatures are alike.
+def links_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over rows sorted by (bucket, i, j): links (a, b) that join different components.
 
-    A row is (bucket, i, j, outside, doc_id, component, main, hub, signature);
-    a cell (i, j) has at most a block or so of rows on either side.
+    A row is (bucket, i, j, outside, doc_id, component, main, hub, signature,
+    bands, packed); a cell (i, j) has about a block of rows on either side. A
+    pair is looked at in the first bucket that it shares, and only while its
+    components are apart. If the signatures are alike enough, the full sets
+    decide. So a cell returns fewer links than it has rows.
     """
+    unzip = zstandard.ZstdDecompressor()
     held: list[pa.Table] = []
     key = None
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
+    def links(rows: pa.Table) -> pa.RecordBatch:
         doc, comp, main, hub = (rows[c].to_numpy() for c in ("doc_id", "component", "main", "hub"))
+        bucket = rows["bucket"][0].as_py()
         sign = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(doc), -1)
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
         out = rows["outside"].to_numpy(zero_copy_only=False)
-        a, b = np.flatnonzero(out), np.flatnonzero(~out)
-        found = []
-        for x in a:
-            ok = (comp[b] != comp[x]) & ((doc[x] < doc[b]) | (comp[b] == main[b])) & (doc[b] != hub[b]) & (doc[x] != hub[x])
-            y = b[ok]
+        sets: dict[int, np.ndarray] = {}
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        def members(i: int) -> np.ndarray:
+            if i not in sets:
+                text = unzip.decompress(rows["packed"][i].as_py()).decode("utf-8", "replace")
+                sets[i] = next(shingle_sets(pa.array([text], pa.large_string()), SHINGLE))
+            return sets[i]
+
+        b, found = np.flatnonzero(~out), []
+        for x in np.flatnonzero(out):
+            y = b[(comp[b] != comp[x]) & ((doc[x] < doc[b]) | (comp[b] == main[b])) & (doc[b] != hub[b]) & (doc[x] != hub[x])]
             y = y[(sign[y] == sign[x]).mean(axis=1) >= LEAST_EQUAL]
-            found.append(np.stack([np.full(len(y), doc[x]), doc[y]]))
-        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["a", "b"])
+            shared = bands[y] == bands[x]
+            y = y[bands[x][shared.argmax(axis=1)] == bucket]
+            for k in y:
+                if top(comp[x]) != top(comp[k]) and alike(members(x), members(k)):
+                    up[top(comp[x])] = top(comp[k])
+                    found.append((max(doc[x], doc[k]), min(doc[x], doc[k])))
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -175,29 +203,29 @@ def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if n > start:
                     held.append(rows.slice(start, n - start))
                 if held:
-                    yield pairs(pa.concat_tables(held).combine_chunks())
+                    yield links(pa.concat_tables(held).combine_chunks())
                 held, start, key = [], n, marks[n]
         held.append(rows.slice(start))
     if held:
-        yield pairs(pa.concat_tables(held).combine_chunks())
+        yield links(pa.concat_tables(held).combine_chunks())
 
 
-def residual_pairs(members: DataFrame, labels: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and weren't compared by the stars."""
+def residual_links(members: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket, of pairs that the stars didn't compare."""
     own = members.join(labels.toDF("doc_id", "label"), "doc_id", "left")
     own = own.select("bucket", "doc_id", "hub", F.coalesce("label", "doc_id").alias("component"))
     sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     per = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("kinds"))
     per = per.where("kinds > 1 and all > 2").select("bucket", "main", F.ceil(F.col("all") / BLOCK).alias("n_j"), F.ceil((F.col("all") - F.col("top")) / BLOCK).alias("n_i"))
-    rows = own.join(per, "bucket").join(signs, "doc_id")
+    rows = own.join(per, "bucket").join(profiles, "doc_id")
     one = lambda n: F.array(F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
-    columns = ["bucket", "i", "j", "outside", "doc_id", "component", "main", "hub", "signature"]
+    columns = ["bucket", "i", "j", "outside", "doc_id", "component", "main", "hub", "signature", "bands", "packed"]
     outside = rows.where("component <> main").withColumn("outside", F.lit(True)).withColumn("i", F.explode(one("n_i"))).withColumn("j", F.explode(every("n_j")))
     inside = rows.withColumn("outside", F.lit(False)).withColumn("i", F.explode(every("n_i"))).withColumn("j", F.explode(one("n_j")))
     cells = outside.select(*columns).union(inside.select(*columns))
     cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return cells.mapInArrow(apart, "a long, b long").distinct()
+    return cells.mapInArrow(links_between, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -227,9 +255,8 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     stars = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     links = ws.save(verified(stars, texts), "links")
     labels = components(ws, links, "stars")
-    signs = sets.select("doc_id", "signature").join(asked, "doc_id").dropDuplicates(["doc_id"])
-    rest = ws.save(residual_pairs(members, labels, signs), "rest")
-    more = ws.save(verified(rest, texts), "more")
+    profiles = firsts.select("doc_id", "signature", "bands").join(texts, "doc_id").dropDuplicates(["doc_id"])
+    more = ws.save(residual_links(members, labels, profiles), "more")
     if more.limit(1).count():
         labels = components(ws, links.union(more), "all")
     named = first.join(labels.toDF("doc_id", "component"), "doc_id", "left")
