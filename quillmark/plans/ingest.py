@@ -77,21 +77,21 @@ def resolved(spans: DataFrame, books: DataFrame, candidates: DataFrame, works: D
 
 def build(spark: SparkSession, items: DataFrame, roots: DataFrame, books: DataFrame, candidates: DataFrame, works: DataFrame, authors: DataFrame, as_of: int) -> dict[str, DataFrame]:
     """All tables of a version. books: those of the version before, whose ids stay."""
-    threads, comments = threads_of(items), comments_of(items, roots)
-    spans = spans_of(comments, books.select(F.col("canonical_title").alias("title")))
+    threads, comments = threads_of(items), comments_of(items, roots).checkpoint()
+    spans = spans_of(comments, books.select(F.col("canonical_title").alias("title"))).checkpoint()  # texts are parsed once
     found, new = resolved(spans, books, candidates, works, authors)
     new = new.join(books.select("openlibrary_id"), "openlibrary_id", "left_anti")
     last = F.broadcast(books.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")))  # one row
     place = F.row_number().over(Window.orderBy("openlibrary_id"))  # only works new in this run
     new = new.crossJoin(last).withColumn("id", (F.col("last") + place).cast("long")).select(*books.columns)
-    books = books.unionByName(new)
-    m = spans.join(found, "span_id", "left").join(books.select(F.col("id").alias("book_id"), "openlibrary_id"), "openlibrary_id", "left")
+    books = books.unionByName(new).checkpoint()
+    m = spans.withColumnRenamed("confidence", "extraction_confidence").join(found, "span_id", "left").join(books.select(F.col("id").alias("book_id"), "openlibrary_id"), "openlibrary_id", "left")
     m = m.withColumns({"normalized_mention": normal_title("title"), "status": F.when(F.col("book_id").isNull(), "unresolved").otherwise("resolved")})
     one = Window.partitionBy("comment_id", "normalized_mention").orderBy("place")
-    m = m.withColumn("n", F.row_number().over(one)).where("n = 1")
+    m = m.withColumn("n", F.row_number().over(one)).where("n = 1").checkpoint()
     mentions = m.select(
         F.xxhash64("comment_id", "normalized_mention").alias("id"), "book_id", "comment_id", "thread_id", "author", "created_at", F.col("raw").alias("raw_mention"), "normalized_mention", F.col("context").alias("context_text"),
-        F.col("confidence").alias("resolution_confidence"), classify.strength(F.col("label")).alias("recommendation_strength"), classify.sentiment(F.col("label")).alias("sentiment"), "status",
+        "extraction_confidence", F.coalesce("confidence", F.lit(0.0)).alias("resolution_confidence"), classify.strength(F.col("label")).alias("recommendation_strength"), classify.sentiment(F.col("label")).alias("sentiment"), "status",
     )
     dimension = topics(spark)
     said = m.select(F.xxhash64("comment_id", "normalized_mention").alias("mention_id"), normal_title(F.concat_ws(" ", "context", "title")).alias("said"))

@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_PLAIN = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def _type(name: str) -> T.DataType:
+    if name.startswith("array<"):
+        return T.ArrayType(_type(name[6:-1]))
+    if name.startswith("map<string,"):
+        return T.MapType(T.StringType(), _type(name[11:-1]))
+    return _PLAIN[name]
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """From "name type, name type"; unlike Spark's own reader it needs no session."""
+    return T.StructType([T.StructField(n, _type(t)) for n, t in (x.split() for x in text.split(", "))])
 
 
 THREADS = _schema("id long, title string, url string, author string, created_at long, score int, descendants int, last_fetched_at timestamp")
