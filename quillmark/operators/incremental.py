@@ -56,3 +56,26 @@ def pending(candidates: DataFrame, checkpoints: DataFrame, version: str, key: st
 
 def run_status(failures: Column, errors: Column) -> Column:
     return F.when(errors.isNotNull(), "failed").when(failures > 0, "partial").otherwise("completed")
+
+
+def cached(asked: DataFrame, cache: DataFrame, key: str = "cache_key") -> tuple[DataFrame, DataFrame]:
+    """(rows that the cache answers, with its columns; different keys that it doesn't)."""
+    return asked.join(cache, key), asked.join(cache.select(key), key, "left_anti").select(key).distinct()
+
+
+def remember(cache: DataFrame, answers: DataFrame, key: str = "cache_key", ok: str = "ok") -> DataFrame:
+    """cache with new answers; failures (not `ok`) are never kept, the first answer stays."""
+    new = answers.where(ok).select(*cache.columns).dropDuplicates([key])
+    return cache.unionByName(new.join(cache.select(key), key, "left_anti").select(*cache.columns))
+
+
+def completed(checkpoints: DataFrame, version: str) -> DataFrame:
+    """Threads that are done at this version."""
+    return checkpoints.where(F.col("raw_complete") & (F.col("processed_version") == version)).select("thread_id")
+
+
+def refetched(checkpoints: DataFrame, threads: DataFrame) -> DataFrame:
+    """Checkpoints after threads' items were read again: neither complete nor processed."""
+    again = threads.select("thread_id").withColumn("again", F.lit(True))
+    rows = checkpoints.join(again, "thread_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    return rows.select("thread_id", (F.col("raw_complete") & ~F.col("again")).alias("raw_complete"), F.when(~F.col("again"), F.col("processed_version")).alias("processed_version"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import classify, extract
 from quillmark.functions.text import html_parts, normal_title
-from quillmark.operators import incremental, ranking, resolve, search, tree
+from quillmark.operators import incremental, ranking, resolve, reviews, search, tree
 from quillmark.sources.config import topics
 
 PROCESSOR = "rules-1"
@@ -69,7 +69,7 @@ def resolved(spans: DataFrame, books: DataFrame, candidates: DataFrame, works: D
     rest = s.join(own.select("span_id"), "span_id", "left_anti").withColumn("asked", normal_title("title"))
     c = candidates.select(F.col("query").alias("asked"), "key", F.col("title").alias("candidate_title"), F.col("author_name").alias("names"), F.col("subject").alias("subjects"), F.col("isbn").alias("isbns"), F.col("first_publish_year").alias("year"), "cover_i")
     listed = resolve.scored_candidates(rest.drop("confidence").join(c, "asked"))
-    picked = resolve.cascade(listed).where("key is not null")
+    picked = resolve.cascade(reviews.with_reviews(listed)).where("key is not null")
     chosen = listed.join(picked.select("span_id", "key", F.col("confidence").alias("sure")), ["span_id", "key"])
     sound = resolve.verified_works(chosen, works, authors)
     return own.union(sound.select("span_id", F.col("key").alias("openlibrary_id"), F.col("sure").alias("confidence"))), resolve.canonical_books(sound)

@@ -1,0 +1,116 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quillmark.operators import incremental, resolve, reviews
+from quillmark.plans.api import Api, record_run, write_report
+
+SCORED = "span_id long, title string, author string, work_id string, key string, candidate_title string, score double, agrees boolean, complete boolean, exact boolean, identities array<string>, graphic boolean, n_isbns int, year int"
+
+
+def test_reviewed_and_excluded_works(spark):
+    def row(span, title, author, key, found, score=0.9, work=None):
+        return (span, title, author, work, f"/works/{key}", found, score, True, True, title == found, ["x"], False, 0, None)
+
+    rows = [
+        row(1, "Say Nothing", "Patrick Radden Keefe", "OL20153382W", "Say Nothing: A True Story of Murder and Memory in Northern Ireland"),
+        row(1, "Say Nothing", "Patrick Radden Keefe", "OL5W", "Say Nothing", 1.0),
+        row(2, "Say Nothing", None, "OL20153382W", "Say Nothing: A True Story of Murder and Memory in Northern Ireland"),
+        row(3, "Leviathan Wakes", "James S. A. Corey", "OL20185071W", "Leviathan Wakes", 1.0),
+        row(4, "Leviathan Wakes", "James S. A. Corey", "OL20185071W", "Leviathan Wakes", 1.0, work="/works/OL20185071W"),
+        row(5, "Leviathan Wakes", None, "OL20185071W", "Leviathan Wakes", 1.0),
+    ]
+    out = reviews.with_reviews(spark.createDataFrame(rows, SCORED))
+    got = {(r.span_id, r.key[7:]): (r.score, r.preferred, r.excluded) for r in out.collect()}
+    assert got[1, "OL20153382W"] == (1.0, True, False) and got[1, "OL5W"] == (1.0, False, False) and got[2, "OL20153382W"] == (0.9, False, False)
+    assert got[3, "OL20185071W"][2] and not got[4, "OL20185071W"][2] and not got[5, "OL20185071W"][2]
+    assert {r.span_id: r.key for r in resolve.cascade(out).collect()} == {1: "/works/OL20153382W", 2: None, 3: None, 4: "/works/OL20185071W", 5: "/works/OL20185071W"}
+
+
+def test_overrides_are_bound_to_their_source(spark):
+    extracted = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.8), (2, "c", 0.7)], "comment_id long, title string, confidence double")
+    inputs = spark.createDataFrame([(7, 1, "text one"), (7, 2, "text two")], "thread_id long, id long, payload string")
+    digest = inputs.where("id = 1").select(incremental.digest("thread_id", "id", "payload").alias("d")).first().d
+    schema = "thread_id long, comment_id long, source_digest string, mentions array<struct<title:string,confidence:double>>"
+    one = spark.createDataFrame([(7, 1, digest, [("A", 1.0)])], schema)
+    now, audit = reviews.apply_overrides(extracted, inputs, one)
+    assert sorted(map(tuple, now.collect())) == [(1, "A", 1.0), (2, "c", 0.7)] and {r.title for r in audit.collect()} == {"a", "b"}
+    none = spark.createDataFrame([(7, 1, digest, [])], schema)
+    assert [r.comment_id for r in reviews.apply_overrides(extracted, inputs, none)[0].collect()] == [2]
+    with pytest.raises(reviews.ReviewOutdated, match="1"):
+        reviews.apply_overrides(extracted, inputs.withColumn("payload", F.lit("edited")), one)
+    with pytest.raises(ValueError, match="twice"):
+        reviews.apply_overrides(extracted, inputs, one.union(one))
+
+
+def test_reclassified(spark):
+    m = spark.createDataFrame([(1, "Dune", "old", 0.0, 0.2)], "comment_id long, raw_mention string, context_text string, sentiment double, recommendation_strength double")
+    c = spark.createDataFrame([(1, "<p>I loved <i>Dune</i>.")], "id long, text string")
+    r = reviews.reclassified(m, c).first()
+    assert (r.context_text, r.sentiment, r.recommendation_strength) == ("I loved Dune.", 0.6, 0.65)
+
+
+def test_caches_and_checkpoints(spark):
+    cache = spark.createDataFrame([("a", "1")], "cache_key string, response string")
+    hit, miss = incremental.cached(spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id long, cache_key string"), cache)
+    assert [(r.id, r.response) for r in hit.collect()] == [(1, "1")] and [r.cache_key for r in miss.collect()] == ["b"]
+    new = spark.createDataFrame([("a", "2", True), ("b", "3", True), ("c", None, False)], "cache_key string, response string, ok boolean")
+    assert sorted(map(tuple, incremental.remember(cache, new).collect())) == [("a", "1"), ("b", "3")]
+    points = spark.createDataFrame([(1, True, "v"), (2, True, "v"), (3, True, "u")], "thread_id long, raw_complete boolean, processed_version string")
+    assert {r.thread_id for r in incremental.completed(points, "v").collect()} == {1, 2}
+    again = incremental.refetched(points, spark.createDataFrame([(1,)], "thread_id long"))
+    assert {r.thread_id for r in incremental.completed(again, "v").collect()} == {2}
+
+
+@pytest.fixture(scope="module")
+def api(spark):
+    t = {
+        "books": spark.createDataFrame([(1, "Dune", ["Frank Herbert"], "OL1W", 2, 2, 2, 1, 3.0, 2.0), (2, "Emma", ["Jane Austen"], "OL2W", 1, 1, 1, 1, 3.0, 1.0), (3, "Unread", [], "OL3W", 0, 0, 0, 0, 0.0, 0.0)], "id long, canonical_title string, authors array<string>, openlibrary_id string, mention_count long, recommendation_count long, independent_recommenders long, thread_count long, all_time_score double, recent_score double"),
+        "threads": spark.createDataFrame([(9, "T9", 100), (8, "T8", 200)], "id long, title string, created_at long"),
+        "comments": spark.createDataFrame([(1, 9, 9, "ann", "<p>Dune &amp; more", 1700000000), (2, 9, 1, "bob", "x", 1702000000)], "id long, thread_id long, parent_id long, author string, text string, created_at long"),
+        "mentions": spark.createDataFrame([(1, 1, 1, 9, "ann", 1700000000, 0.95, 0.9, "resolved", "Dune", "dune"), (2, 1, 2, 9, "bob", 1702000000, 0.65, 0.6, "resolved", "Dune", "dune"), (3, 2, 2, 9, "bob", 1702000000, 0.2, 0.0, "resolved", "Emma", "emma"), (4, None, 2, 9, "bob", 1702000000, 0.9, 0.9, "unresolved", "?", "q")], "id long, book_id long, comment_id long, thread_id long, author string, created_at long, recommendation_strength double, sentiment double, status string, raw_mention string, normalized_mention string"),
+        "mention_tags": spark.createDataFrame([(1, 1, 0.8), (2, 2, 0.8), (3, 2, 0.8)], "mention_id long, tag_id long, confidence double"),
+        "tags": spark.createDataFrame([(1, "sf", "sf"), (2, "fiction", "fiction"), (3, "unused", "unused")], "id long, name string, description string"),
+        "book_tags": spark.createDataFrame([(1, "sf", 1, 0.8), (1, "fiction", 2, 0.8), (2, "fiction", 1, 0.8)], "book_id long, name string, mention_count long, confidence double"),
+        "terms": spark.createDataFrame([(1, "dune"), (1, "herbert"), (2, "emma"), (2, "austen")], "book_id long, term string"),
+        "runs": spark.createDataFrame([], "id long, command string, started_at timestamp, finished_at timestamp, status string, metrics map<string,long>, error string"),
+    }
+    t["runs"] = record_run(spark, t["runs"], "thread 9", "2024-01-01 00:00:00", "2024-01-01 00:01:00", {"comments": 2, "comments_failed": 0})
+    t["runs"] = record_run(spark, t["runs"], "thread 8", "2024-01-02 00:00:00", "2024-01-02 00:01:00", {"comments_failed": 1})
+    return Api(t.__getitem__)
+
+
+def test_fixed_queries(api):
+    assert api.health()
+    s = api.stats().first()
+    assert (s.books, s.threads, s.comments, s.recommenders, str(s.last_updated)) == (2, 2, 2, 2, "2024-01-01 00:01:00")
+    ids = lambda *a, **k: ([r.id for r in api.books(*a, **k)[0].collect()], api.books(*a, **k)[1])
+    assert ids() == ([1, 2], 2) and ids("the books about du") == ([1], 1) and ids("book") == ([], 0) and ids(page=2, page_size=1) == ([2], 2)
+    assert ids(tags=["fiction"], exclude=["sf"]) == ([2], 1)
+    assert [t.name for t in api.books()[0].first().topics] == ["fiction", "sf"]
+    book, months = api.book(1)
+    assert book.first().canonical_title == "Dune" and [tuple(r) for r in months.collect()] == [("2023-11", 1, 1), ("2023-12", 1, 1)]
+    assert [(r.id, r.thread_title, r.topics) for r in api.evidence(1).collect()] == [(1, "T9", ["sf"]), (2, "T9", ["fiction"])]
+    assert [(r.name, r.book_count) for r in api.topics().collect()] == [("fiction", 2), ("sf", 1), ("unused", 0)]
+    assert [(r.id, r.stored_comments) for r in api.threads().collect()] == [(8, 0), (9, 2)]
+    assert [r.text for r in api.thread(9).collect()] == ["Dune & more", "x"] and api.thread(8).count() == 0
+    assert [r.id for r in api.unresolved().collect()] == [4] and api.unresolved(2).count() == 0
+    assert [(r.id, r.status) for r in api.status().collect()] == [(2, "partial"), (1, "completed")]
+    with pytest.raises(ValueError):
+        api.find("x" * 301)
+
+
+def test_snapshot_digests_follow_what_they_cover(api, spark):
+    rows = {r.comment_id: r for r in api.snapshot(9).collect()}
+    assert [m.raw_mention for m in rows[2].mentions] == ["Dune", "Emma", "?"]
+    voted = Api(lambda n: api.read(n).withColumn("recommendation_strength", F.lit(0.5)) if n == "mentions" else api.read(n))
+    edited = Api(lambda n: api.read(n).withColumn("text", F.lit("new")) if n == "comments" else api.read(n))
+    for other, text_same in ((voted, True), (edited, False)):
+        r = {x.comment_id: x for x in other.snapshot(9).collect()}
+        assert r[1].snapshot_digest != rows[1].snapshot_digest and (r[1].source_digest == rows[1].source_digest) == text_same
+
+
+def test_reports_are_not_overwritten(spark, tmp_path):
+    path = f"file://{tmp_path}/report"
+    write_report(spark.range(2), path)
+    with pytest.raises(Exception, match="(?i)exist"):
+        write_report(spark.range(2), path)
