@@ -364,7 +364,7 @@ def _candidates(spark, sf_dir):
     """Each name as a span; the parts of that name as its candidates, by suppliers as authors."""
     p = read(spark, sf_dir, "part")
     spans = p.groupBy("p_name").agg(F.min("p_partkey").alias("span_id"))
-    rows = spans.join(p, "p_name").where("p_partkey % 3 <> 1")
+    rows = spans.join(p, "p_name")
     return rows.select(
         "span_id", F.when(F.col("span_id") % 2 == 0, F.lit("x")).alias("author"), F.concat(F.lit("/works/OL"), "p_partkey", F.lit("W")).alias("key"),
         F.when(F.col("p_partkey") % 5 == 0, 0.95).when(F.col("p_partkey") % 7 == 0, 0.9).otherwise(1.0).alias("score"),
@@ -378,7 +378,7 @@ with p as (select p_name, min(p_partkey) as span_id from part group by p_name),
 c as (
   select span_id, case when span_id % 2 = 0 then 'x' end as author, p_partkey as k, case when p_partkey % 5 = 0 then 0.95 when p_partkey % 7 = 0 then 0.9 else 1.0 end::double as score,
     p_partkey % 11 <> 0 as agrees, p_partkey % 4 <> 0 as complete, p_partkey % 6 <> 0 as exact, p_brand, p_size > 48 as graphic, p_size % 4 as n_isbns, p_size + 1950 as year
-  from p join part using (p_name) where p_partkey % 3 <> 1
+  from p join part using (p_name)
 ),
 e0 as (select *, max(score) over (partition by span_id) as best, score >= 0.94 and agrees as e from c),
 e1 as (select *, coalesce(max((e and exact)::int) over (partition by span_id), 0) = 1 as any_exact from e0),
@@ -410,13 +410,15 @@ def catalog_duplicate_pick(spark, sf_dir):
 
 
 @query("""
-with b as (select trim(lower(p_name)) as n, count(*) as n_books, min(p_partkey) as id from part where p_partkey % 50 = 0 group by n)
+with k as (select p_name, p_size > 49 as large, min(p_partkey) as id from part group by all),
+b as (select trim(lower(p_name)) as n, count(*) as n_books, min(id) as id from k group by n)
 select s.p_partkey as span_id, case when n_books = 1 then id end as book_id, case when n_books = 1 then 1.0 else 0.0 end::double as confidence, n_books
 from part s join b on trim(lower(s.p_name)) = b.n""")
 def resolve_against_books(spark, sf_dir):
+    """Parts as spans; each name as a book, and as a second one where a part is large."""
     p = read(spark, sf_dir, "part")
-    books = p.where("p_partkey % 50 = 0").select(
-        F.col("p_partkey").alias("id"), F.initcap("p_name").alias("canonical_title"), normal_title("p_name").alias("normalized_title"), F.array().cast("array<string>").alias("authors"), F.lit(None).cast("string").alias("openlibrary_id")
+    books = p.groupBy("p_name", (F.col("p_size") > 49).alias("large")).agg(F.min("p_partkey").alias("id")).select(
+        "id", F.initcap("p_name").alias("canonical_title"), normal_title("p_name").alias("normalized_title"), F.array().cast("array<string>").alias("authors"), F.lit(None).cast("string").alias("openlibrary_id")
     )
     spans = p.select(F.col("p_partkey").alias("span_id"), F.upper("p_name").alias("title"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("work_id"))
     return resolve.against_books(spans, books)
@@ -425,14 +427,14 @@ def resolve_against_books(spark, sf_dir):
 # Incremental runs --------------------------------------------------------------------------------
 
 _BATCHES = """
-o as (select user_id, min(epoch_us(ts)) as created, max({'t': epoch_us(ts), 'id': event_id, 'v': value}) as m from events where event_id % 3 <> 0 group by user_id),
-n as (select user_id, min(epoch_us(ts)) as created, max({'t': epoch_us(ts), 'id': event_id, 'v': value}) as m from events where event_id % 3 = 0 group by user_id)"""
+o as (select user_id, min(epoch_us(ts)) as created, max({'t': epoch_us(ts), 'id': event_id, 'v': value}) as m from events where event_type in ('view', 'click', 'signup') group by user_id),
+n as (select user_id, min(epoch_us(ts)) as created, max({'t': epoch_us(ts), 'id': event_id, 'v': value}) as m from events where event_type not in ('view', 'click', 'signup') group by user_id)"""
 
 
 def _batches(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     one = lambda cond: e.where(cond).groupBy("user_id").agg(F.min("t").alias("created"), F.max(F.struct("t", F.col("event_id").alias("id"), F.col("value").alias("v"))).alias("m")).select("user_id", "created", "m.*")
-    return one("event_id % 3 <> 0"), one("event_id % 3 = 0")
+    return one("event_type in ('view', 'click', 'signup')"), one("event_type not in ('view', 'click', 'signup')")
 
 
 @query(f"""with {_BATCHES}
@@ -443,21 +445,21 @@ def upsert_latest(spark, sf_dir):
 
 
 @query(f"""with {_BATCHES}
-select user_id, n.m.id as id from n left join o using (user_id) where o.user_id is null or o.m.v is distinct from n.m.v or user_id % 13 = 0""")
+select user_id, n.m.id as id from n left join o using (user_id) where o.user_id is null or o.m.v is distinct from n.m.v or n.m.v > 50""")
 def changed_rows(spark, sf_dir):
     old, new = _batches(spark, sf_dir)
     new, old = (x.withColumn("digest", incremental.digest("user_id", "v")) for x in (new, old))
-    unresolved = new.where("user_id % 13 = 0")
+    unresolved = new.where("v > 50")
     return incremental.changed(new, old, "user_id", unresolved).select("user_id", "id")
 
 
 @query(f"""with {oracle.EVENTS}
-select id, book_id, comment_id % 500 as comment_key from em where comment_id % 500 not in (select comment_id % 500 from em where id % 97 = 0)
-union all select id, -book_id, comment_id % 500 from em where id % 97 = 0""")
+select id, book_id, comment_id // 20 as comment_key from em where comment_id // 20 not in (select comment_id // 20 from em where label = 'negative')
+union all select id, -book_id, comment_id // 20 from em where label = 'negative'""")
 def replace_by_comment(spark, sf_dir):
-    m = views.event_mentions(spark, sf_dir).select("id", "book_id", (F.col("comment_id") % 500).alias("comment_key"))
-    new = m.where("id % 97 = 0").withColumn("book_id", -F.col("book_id"))
-    return incremental.replace_by(m, new, new, "comment_key")
+    m = views.event_mentions(spark, sf_dir).select("id", "book_id", "label", F.floor(F.col("comment_id") / 20).alias("comment_key"))
+    new = m.where("label = 'negative'").withColumn("book_id", -F.col("book_id"))
+    return incremental.replace_by(m, new, new, "comment_key").drop("label")
 
 
 @query("""
@@ -520,8 +522,8 @@ def confusion_matrix_by_case(spark, sf_dir):
 
 
 @query(f"""with {oracle.EVENTS},
-g as (select thread_id, book_id, max(label) as label, max(recommendation_strength) as s from em where id % 2 = 0 group by all),
-p as (select thread_id, book_id, min(label) as label, min(recommendation_strength) as s from em where id % 3 = 0 group by all),
+g as (select thread_id, book_id, max(label) as label, max(recommendation_strength) as s from em where label <> 'neutral' group by all),
+p as (select thread_id, book_id, min(label) as label, min(recommendation_strength) as s from em where label <> 'recommended' group by all),
 j as (
   select g.label as gl, p.label as pl, g.s as gs, p.s as ps, case when g.book_id is null then 'fp' when p.book_id is null then 'fn' else 'tp' end as o
   from g full join p on g.thread_id = p.thread_id and g.book_id = p.book_id
@@ -536,12 +538,12 @@ c as (
 select *, tp / (tp + fp)::double as mention_precision, tp / (tp + fn)::double as mention_recall, tags_tp / (tags_tp + tags_fp)::double as tag_precision,
   tags_tp / (tags_tp + tags_fn)::double as tag_recall, sentiment_correct / tp::double as sentiment_agreement, strength_correct / tp::double as strength_agreement from c""")
 def precision_recall(spark, sf_dir):
-    """Mentions of even events as gold, of every third as predictions, one for each thread and book."""
+    """Mentions with an opinion as gold, all but recommendations as predictions, one for each thread and book."""
     m = views.event_mentions(spark, sf_dir).withColumn("title", F.concat(F.lit("b"), "book_id"))
     by = [F.col("thread_id").alias("comment_id"), "title"]
-    gold = m.where("id % 2 = 0").groupBy(*by).agg(F.max("label").alias("g_sentiment"), F.max("recommendation_strength").alias("g_strength"))
+    gold = m.where("label <> 'neutral'").groupBy(*by).agg(F.max("label").alias("g_sentiment"), F.max("recommendation_strength").alias("g_strength"))
     gold = gold.select("comment_id", F.xxhash64("title").alias("gold_no"), F.array("title", F.concat("title", F.lit("!"))).alias("titles"), F.array("g_sentiment").alias("g_tags"), "g_sentiment", "g_strength")
-    pred = m.where("id % 3 = 0").groupBy(*by).agg(F.min("label").alias("p_sentiment"), F.min("recommendation_strength").alias("p_strength"))
+    pred = m.where("label <> 'recommended'").groupBy(*by).agg(F.min("label").alias("p_sentiment"), F.min("recommendation_strength").alias("p_strength"))
     pred = pred.select("comment_id", F.xxhash64("title").alias("pred_no"), "title", F.array("p_sentiment").alias("p_tags"), "p_sentiment", "p_strength")
     return evaluate.mention_metrics(evaluate.matched(gold, pred))
 
