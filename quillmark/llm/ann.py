@@ -17,7 +17,6 @@ those that pass are ranked by the inner product of the original vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
