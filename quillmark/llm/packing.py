@@ -33,7 +33,7 @@ class Ids(dict):
     are its words' ids in a row. Beyond `most` words the memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
