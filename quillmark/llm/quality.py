@@ -1,12 +1,16 @@
-"""Quality rules: counts from the text, and n-gram perplexity within bands of its language.
+"""Quality rules: counts from the text, and n-gram perplexities within bands of its language.
 
-The language model is a modified Kneser-Ney model over symbols: a text's bytes
+Two modified Kneser-Ney models judge a text. That over words grows with the
+corpus: hashed n-grams of WORD_ORDER words of each language are counted in Spark,
+every order is a table, and documents' n-grams are joined with the highest
+order's. Texts fall into two halves by a hash and each is scored by the counts of
+the other half, so that no text vouches for itself.
+
+That over symbols finds what isn't made of letter groups at all: a text's bytes
 fall into SYMBOLS classes (white space, a to z whatever the case, digits, two
-kinds of punctuation, and the bytes of other letters by their low bits). Spark
-counts the n-grams of all documents. As there are at most SYMBOLS**ORDER
-different ones, the counts and the model have a bound that no corpus exceeds
-(4.5 million n-grams, 12 bytes each in the sorted arrays), so they may pass the driver
-and be broadcast.
+kinds of punctuation, and the bytes of other letters by their low bits). As there
+are at most SYMBOLS**ORDER different n-grams, its counts have a bound (4.5 million,
+12 bytes each in the sorted arrays), so they may pass the driver and be broadcast.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from quillmark.llm.text import NOT_SPACE, WORDS, chunks, counts, mix, row_of, sp
 SYMBOLS, ORDER = 46, 4
 #: Bands: the median of the mean negative log probability of the language's documents, give or take.
 SPREADS, LEAST_BAND, SHORT_BAND = 2.0, 0.03, 4.5
+#: Words: n-grams of so many; the band's upper end, as above in nats a word.
+WORD_ORDER, WORD_LEAST_BAND, WORD_SHORT_BAND = 3, 0.3, 9.0
 BIN = 1000
 MOST_LANGS = 1000
 
@@ -136,6 +142,116 @@ def fit(docs: DataFrame) -> list[Level]:
     return smoothed(grams[order], n[order])
 
 
+KEY = ["q_key", "q_key_too", "q_model"]
+GRAM = [f"w{i}" for i in range(1, WORD_ORDER + 1)]
+#: First bytes of characters that are words of their own: scripts without spaces (kana, Han), and beyond the basic plane.
+WIDE = np.zeros(256, np.int64)
+WIDE[0xE3:0xEA], WIDE[0xF0:0xF5] = 3, 4
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words(), where each WIDE character is a word."""
+    starts, ends, by_row = words(data, offsets)
+    wide = np.flatnonzero(WIDE[data])
+    if not len(wide):
+        return starts, ends, by_row
+    after = wide + WIDE[data[wide]]
+    after = after[after < len(data)]
+    new = np.unique(np.concatenate([starts, wide, after[NOT_SPACE[data[after]]]]))
+    word_ends = ends[np.searchsorted(ends, new, "right")]
+    return new, np.minimum(np.r_[new[1:], len(data)], word_ends), np.searchsorted(new, offsets)
+
+
+def word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over KEY, half and text: each text's n-grams of words, with their counts."""
+    for batch in batches:
+        for first, data, offsets in chunks(batch.column(4)):
+            starts, ends, by_row = tokens(data, offsets)
+            rows = row_of(by_row)
+            at = np.arange(len(starts)) + (WORD_ORDER - 1) * (rows + 1)
+            line = np.zeros(len(starts) + (WORD_ORDER - 1) * (len(offsets) - 1), np.uint64)
+            line[at] = word_hashes(data, starts, ends, lower=True)
+            same = mix(rows.astype(np.uint64) + np.uint64(1))
+            for k in range(WORD_ORDER):
+                same = mix(same * np.uint64(0x9E3779B97F4A7C15) + line[at - k])
+            _, pick, n = np.unique(same, return_index=True, return_counts=True)
+            order = np.argsort(pick)
+            pick, n = pick[order], n[order]
+            whose = pa.array(first + rows[pick])
+            columns = [batch.column(i).take(whose) for i in range(4)]
+            columns += [pa.array(line[at[pick] - k].view(np.int64)) for k in range(WORD_ORDER - 1, -1, -1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*KEY, "half", *GRAM, "n"])
+
+
+def keyed(docs: DataFrame, langs: DataFrame) -> DataFrame:
+    """docs with KEY and half: 128 bits of the text, and the number of its language's model."""
+    text = F.coalesce("text", F.lit(""))
+    own = F.broadcast(langs.select(F.col("lang").alias("q_own")))  # at most MOST_LANGS rows
+    out = docs.join(own, docs.lang == own.q_own, "left").withColumn("q_model", F.xxhash64("q_own")).drop("q_own")
+    return out.withColumns({"q_key": F.xxhash64(text), "q_key_too": F.xxhash64(F.lit(1), text)}).withColumn("half", F.pmod("q_key_too", F.lit(2)).cast("int"))
+
+
+def most_common(docs: DataFrame) -> DataFrame:
+    """The MOST_LANGS languages with most documents; the others share what the null language has."""
+    return docs.groupBy("lang").count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
+
+
+def word_discounts(grams: DataFrame) -> DataFrame:
+    """discounts() for each model and half: d01 to d13; one row for each language."""
+    ns = [F.count_if(F.col(f"c{h}") == k).alias(f"n{h}{k}") for h in (0, 1) for k in range(1, 5)]
+    n, out = (lambda h, k: F.col(f"n{h}{k}")), []
+    for h in (0, 1):
+        fine = F.least(*[n(h, k) for k in range(1, 5)]) > 0
+        y = n(h, 1) / (n(h, 1) + 2 * n(h, 2))
+        for k, other in ((1, 0.5), (2, 0.75), (3, 0.9)):
+            d = F.greatest(F.lit(0.01), F.least(F.lit(k - 0.01), k - (k + 1) * y * n(h, k + 1) / n(h, k)))
+            out.append(F.when(fine, d).otherwise(other).alias(f"d{h}{k}"))
+    return grams.groupBy("q_model").agg(*ns).select("q_model", *out)
+
+
+def word_levels(grams: DataFrame, ws: Workspace) -> DataFrame:
+    """q_model, GRAM, p0, p1: every n-gram's probability by the counts of either half; null where that half is empty.
+
+    Orders below the highest count how many different words come before. The
+    probability of an n-gram that a half hasn't seen is what its context leaves
+    to the shorter one. Totals of a language and discounts are tables of a row
+    for each of at most MOST_LANGS + 1 languages.
+    """
+    by_order = {WORD_ORDER: ws.save(grams, f"words-{WORD_ORDER}")}
+    for k in range(WORD_ORDER - 1, 0, -1):
+        of = by_order[k + 1].groupBy("q_model", *GRAM[-k:])
+        by_order[k] = ws.save(of.agg(*[F.count_if(F.col(f"c{h}") > 0).alias(f"c{h}") for h in (0, 1)]), f"words-{k}")
+    lower = None
+    for k in range(1, WORD_ORDER + 1):
+        own, context = GRAM[-k:], ["q_model", *GRAM[-k:-1]]
+        g = by_order[k].join(F.broadcast(word_discounts(by_order[k])), "q_model")
+        for h in (0, 1):
+            c = F.col(f"c{h}")
+            g = g.withColumn(f"d{h}", F.when(c == 0, 0.0).when(c == 1, F.col(f"d{h}1")).when(c == 2, F.col(f"d{h}2")).otherwise(F.col(f"d{h}3")))
+        g = g.select("q_model", *own, "c0", "c1", "d0", "d1")
+        totals = g.groupBy(*context).agg(*[f(F.col(f"{x}{h}")).alias(f"{y}{h}") for h in (0, 1) for f, x, y in ((F.sum, "c", "all"), (F.sum, "d", "left"), (lambda c: F.count_if(c > 0), "c", "types"))])
+        if lower is None:
+            g = g.join(F.broadcast(totals), context)
+            g = g.withColumns({f"p{h}": F.when(F.col(f"all{h}") > 0, 1 / (F.col(f"types{h}") + 1)) for h in (0, 1)})
+        else:
+            g = g.join(totals, context).join(lower, ["q_model", *own[1:]])
+        p = {f"p{h}": F.when(F.col(f"all{h}") > 0, (F.col(f"c{h}") - F.col(f"d{h}") + F.col(f"left{h}") * F.col(f"p{h}")) / F.col(f"all{h}")).otherwise(F.col(f"p{h}")) for h in (0, 1)}
+        lower = ws.save(g.withColumns(p).select("q_model", *own, "p0", "p1"), f"levels-{k}")
+        ws.drop(f"words-{k}")
+    return lower
+
+
+def word_scores(docs: DataFrame, langs: DataFrame, ws: Workspace) -> DataFrame:
+    """KEY, q_word_nll: of each different text with words the mean negative log probability of its words by the other half."""
+    n_grams = ", ".join(f"{w} long" for w in GRAM)
+    rows = keyed(docs.select("lang", "text"), langs).select(*KEY, "half", "text").mapInArrow(word_grams, f"q_key long, q_key_too long, q_model long, half int, {n_grams}, n long")
+    grams = rows.groupBy("q_model", *GRAM).agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"c{h}") for h in (0, 1)])
+    p = word_levels(grams, ws)
+    hit = rows.join(p, ["q_model", *GRAM]).withColumn("nll", -F.log(F.when(F.col("half") == 0, F.col("p1")).otherwise(F.col("p0"))))
+    # a text's copies have its mean
+    return ws.save(hit.groupBy(*KEY).agg((F.sum(F.col("nll") * F.col("n")) / F.sum("n")).alias("q_word_nll")), "word-scores")
+
+
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -201,17 +317,16 @@ def base_failed():
     return (F.col("q_n_words") < 50) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words"))
 
 
-def bands(scores: DataFrame) -> DataFrame:
-    """band_lang, middle, spread for each language: median and median absolute deviation of q_nll, to 1 / BIN.
+def bands(scores: DataFrame, of: str = "q_nll") -> DataFrame:
+    """band_lang, middle, spread for each language: median and median absolute deviation of a score, to 1 / BIN.
 
-    From the histogram of q_nll, whose size is bounded for each language; at
+    From the histogram of the score, whose size is bounded for each language; at
     most MOST_LANGS languages, those with most documents, have a band of their
     own, and the others share that of a null language.
     """
-    usable = scores.where(~base_failed())
-    most = usable.groupBy("lang").count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
-    most = F.broadcast(most.select(F.col("lang").alias("own_lang")))  # at most MOST_LANGS rows
-    usable = usable.join(most, usable.lang == most.own_lang, "left").withColumn("bin", F.round(F.col("q_nll") * BIN).cast("int"))
+    usable = scores.where(~base_failed() & F.col(of).isNotNull())
+    most = F.broadcast(most_common(usable).select(F.col("lang").alias("own_lang")))  # at most MOST_LANGS rows
+    usable = usable.join(most, usable.lang == most.own_lang, "left").withColumn("bin", F.round(F.col(of) * BIN).cast("int"))
     hist = usable.groupBy("own_lang", "bin").agg(F.count("*").alias("n"))
 
     def median(h: DataFrame, value: str, name: str) -> DataFrame:
@@ -227,22 +342,32 @@ def bands(scores: DataFrame) -> DataFrame:
     return both.select("band_lang", (F.col("middle") / BIN).alias("middle"), (F.col("spread") / BIN).alias("spread"))
 
 
+def both_bands(scores: DataFrame) -> DataFrame:
+    """bands() of the symbols, with word_middle and word_spread of the words."""
+    by_word = bands(scores, "q_word_nll").toDF("word_lang", "word_middle", "word_spread")
+    out = bands(scores)
+    return out.join(by_word, out.band_lang.eqNullSafe(by_word.word_lang), "left").drop("word_lang")
+
+
 def judged(scores: DataFrame, band: DataFrame, n_chars: str = "q_word_chars") -> DataFrame:
     """scores with q_low, q_high, q_base_failed and q_kept.
 
     A text passes if its mean negative log probability lies within SPREADS
     deviations of its language's median (LEAST_BAND at least), and what chance
     allows a text of its length: the mean over n symbols strays by about
-    1 / sqrt(n), of which SHORT_BAND times are allowed. A language without a band takes that of
+    1 / sqrt(n), of which SHORT_BAND times are allowed. That of its words may
+    be as low as it likes (copies are no fault here) but not above such a band. A language without a band takes that of
     the null language; with neither, there is nothing to hold it against.
     """
     band = F.broadcast(band)  # at most MOST_LANGS + 1 rows
-    rest = F.broadcast(band.where("band_lang is null").select(F.col("middle").alias("rest_middle"), F.col("spread").alias("rest_spread")))
+    rest = F.broadcast(band.where("band_lang is null").select(F.col("middle").alias("rest_middle"), F.col("spread").alias("rest_spread"), F.col("word_middle").alias("rest_word_middle"), F.col("word_spread").alias("rest_word_spread")))
     out = scores.join(band, scores.lang == band.band_lang, "left").join(rest, F.lit(True), "left")
     middle, spread = F.coalesce("middle", "rest_middle"), F.coalesce("spread", "rest_spread")
     half = F.greatest(spread * 1.4826 * SPREADS, F.lit(LEAST_BAND)) + SHORT_BAND / F.sqrt(F.greatest(F.col(n_chars), F.lit(1)))
     out = out.withColumns({"q_low": middle - half, "q_high": middle + half, "q_base_failed": base_failed()})
     verdict = F.coalesce(F.col("q_nll").between(F.col("q_low"), F.col("q_high")), F.lit(True))
+    word_half = F.greatest(F.coalesce("word_spread", "rest_word_spread") * 1.4826 * SPREADS, F.lit(WORD_LEAST_BAND)) + WORD_SHORT_BAND / F.sqrt(F.greatest(F.col("q_n_words"), F.lit(1)))
+    verdict &= F.coalesce(F.col("q_word_nll") <= F.coalesce("word_middle", "rest_word_middle") + word_half, F.lit(True))
     return out.withColumn("q_kept", ~F.col("q_base_failed") & verdict).select(*scores.columns, "q_low", "q_high", "q_base_failed", "q_kept")
 
 
@@ -254,17 +379,22 @@ def judge(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, list[Level], DataF
     empty one.
     """
     levels = fit(docs)
-    rows = ws.save(scored(docs.select("doc_id", "lang", "text"), levels).drop("text"), "scores")
-    band = ws.save(bands(rows), "bands")
+    langs = ws.save(most_common(docs), "langs")
+    by_word = word_scores(docs, langs, ws)
+    rows = keyed(scored(docs.select("doc_id", "lang", "text"), levels), langs).drop("text", "half")
+    rows = ws.save(rows.join(by_word, KEY, "left").drop(*KEY), "scores")
+    band = ws.save(both_bands(rows), "bands")
     return judged(rows, band), levels, band
 
 
 def keep_good(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The rows of docs that pass, with their columns; texts are scanned, not shuffled."""
+    """The rows of docs that pass, with their columns."""
     _, levels, band = judge(docs, ws)
-    return judged(scored(docs, levels), band).where("q_kept").select(*docs.columns)
+    langs, by_word = (docs.sparkSession.read.parquet(f"{ws.path}/{t}") for t in ("langs", "word-scores"))
+    rows = keyed(scored(docs, levels), langs).join(by_word, KEY, "left")
+    return judged(rows, band).where("q_kept").select(*docs.columns)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = judge(table(spark, sf_dir, "documents"), Workspace(spark, "op9"))
-    return rows.select("doc_id", *[F.col(f"q_{s}").alias(s) for s in STATS], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_nll").alias("nll"))
+    return rows.select("doc_id", *[F.col(f"q_{s}").alias(s) for s in STATS], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_nll").alias("nll"), F.col("q_word_nll").alias("word_nll"))

@@ -88,3 +88,68 @@ def test_filter_keeps_columns_and_empty_table(spark):
     assert q.keep_good(docs, Workspace(spark, "t")).columns == docs.columns
     got, _, _ = q.judge(docs.limit(0), Workspace(spark, "t"))
     assert got.count() == 0
+
+
+def test_word_level_nonsense_goes(spark):
+    rng = random.Random(4)
+    vocabulary = [f"{w}{v}" for w in ("reader", "writes", "town", "often", "about") for v in "abcdefghijklmnopqrstuvwxyz"]
+    after = {w: rng.sample(vocabulary, 8) for w in vocabulary}
+
+    def prose():
+        out = [rng.choice(vocabulary)]
+        while len(out) < 300:
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(out)
+
+    texts = [prose() for _ in range(200)]
+    salad = texts[0].split()
+    rng.shuffle(salad)
+    han = lambda: "".join("我们今天去学校看书" if rng.random() < 0.5 else "他们昨天在家里做饭" for _ in range(40))
+    chars = list("".join(han() for _ in range(3)))
+    rng.shuffle(chars)
+    made = " ".join("".join(rng.sample(["rea", "wri", "tow", "der", "tes", "ten", "out"], 4)) for _ in range(300))
+    rows_ = [(i, t, "en") for i, t in enumerate(texts)] + [(1000 + i, " ".join(han() for _ in range(60)), "zh") for i in range(60)]
+    rows_ += [(-1, " ".join(salad), "en"), (-2, made, "en"), (-3, " ".join("".join(rng.sample(chars, 300)) for _ in range(60)), "zh")]
+    docs = spark.createDataFrame([(i, t, lang, 1, "x") for i, t, lang in rows_], SCHEMA)
+    got = q.judge(docs, Workspace(spark, "t"))[0].collect()
+    kept = {r.doc_id: r.q_kept for r in got}
+    assert not kept[-1] and not kept[-2] and not kept[-3]
+    by_word = {r.doc_id: r.q_word_nll for r in got}
+    assert min(by_word[-1], by_word[-2]) > max(n for d, n in by_word.items() if 0 <= d < 1000) + 1
+    assert by_word[-3] > max(n for d, n in by_word.items() if d >= 1000) + 1
+    gone = [(r.doc_id, r.q_nll, r.q_low, r.q_high, r.q_base_failed, r.q_word_nll) for r in got if r.doc_id >= 0 and not r.q_kept]
+    assert len(gone) <= 5, gone[:8]
+    assert {r.doc_id for r in q.keep_good(docs, Workspace(spark, "t")).collect()} == {d for d, k in kept.items() if k}
+
+
+def test_word_model_matches_definition(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(60)) for _ in range(12)]
+    docs = rows(spark, texts, langs=("en",))
+    ws = Workspace(spark, "t")
+    langs = ws.save(q.most_common(docs), "langs")
+    got = {(r.q_key, r.q_key_too): r.q_word_nll for r in q.word_scores(docs, langs, ws).collect()}
+    info = {r.doc_id: (r.q_key, r.q_key_too, r.half) for r in q.keyed(docs, langs).collect()}
+    for half in (0, 1):
+        orders = {3: Counter()}
+        for i, t in enumerate(texts):
+            if info[i][2] == half:
+                w = ["", "", *t.split()]
+                orders[3].update(zip(w, w[1:], w[2:]))
+        orders[2] = Counter(g[1:] for g in orders[3])
+        orders[1] = Counter(g[1:] for g in orders[2])
+        ds = {k: q.discounts(np.array(list(o.values()))) for k, o in orders.items()}
+
+        def p(g, orders=orders, ds=ds):
+            if not g:
+                return 1 / (len(orders[1]) + 1)
+            seen = {x: c for x, c in orders[len(g)].items() if x[:-1] == g[:-1]}
+            if not seen:
+                return p(g[1:])
+            d, total, c = ds[len(g)], sum(seen.values()), seen.get(g, 0)
+            return (c - d[min(c, 3)] + sum(d[min(x, 3)] for x in seen.values()) * p(g[1:])) / total
+
+        for i, t in enumerate(texts):
+            if info[i][2] != half:
+                w = ["", "", *t.split()]
+                assert got[info[i][:2]] == pytest.approx(np.mean([-np.log(p(g)) for g in zip(w, w[1:], w[2:])]), abs=1e-9)
