@@ -12,12 +12,13 @@ substrings' different values are sorted, with the vectors that have each.
 Search: a code within radius r of the query's has a substring within
 floor(r / substrings) of the query's (pigeonhole). Probing all values that near
 in each substring finds every code within r; their whole distance is checked and
-those that pass are ranked by the inner product of the original vectors.
+those that pass are ranked by the inner product of the original vectors. A query
+that finds too few that way is searched again with a radius of all bits.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +160,9 @@ def nearest(vectors: DataFrame, ws: Workspace, *, k: int = NEAREST, every: int =
     Nearest: largest inner product; ties to the smaller vec_id. Queries lie in
     blocks of about query_block, vectors in blocks of about row_block, dealt by
     a hash; every block of vectors is sent once for each block of queries, and
-    returns k rows at most for each query. Vectors whose dimension isn't the
+    returns k rows at most for each query. A query with fewer than k hits from
+    all blocks is asked again without a radius, so that it has k rows, or all
+    others if there are fewer. Vectors whose dimension isn't the
     commonest take no part, nor do those that usable() leaves out. Rows with
     the same vec_id are vectors of their own and none is its own neighbour.
     """
@@ -170,14 +173,25 @@ def nearest(vectors: DataFrame, ws: Workspace, *, k: int = NEAREST, every: int =
     rows = ws.save(rows.where(F.size("embedding") == common[0].n), "vectors")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toPandas()  # at most FIT_ROWS rows
     model = fit(np.stack(sample["embedding"].to_numpy()))
-    n, n_q = rows.count(), rows.where(F.col("vec_id") % every == 0).count()
-    row_blocks, query_blocks = -(-n // row_block), max(1, -(-n_q // query_block))
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("is_query", F.lit(True))
-    queries = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    others = rows.withColumn("is_query", F.lit(False)).withColumn("r_block", F.pmod(F.xxhash64(F.col("vec_id") + 1), F.lit(row_blocks)).cast("int"))
-    others = others.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    both = queries.unionByName(others)
-    found = both.groupBy("q_block", "r_block").applyInArrow(searcher(vars(model), k), "query_id long, vec_id long, score double")
+    row_blocks = -(-rows.count() // row_block)
+
+    def hits(queries: DataFrame, n_q: int, model: Codes) -> DataFrame:
+        query_blocks = max(1, -(-n_q // query_block))
+        queries = queries.withColumn("is_query", F.lit(True))
+        queries = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+        others = rows.withColumn("is_query", F.lit(False)).withColumn("r_block", F.pmod(F.xxhash64(F.col("vec_id") + 1), F.lit(row_blocks)).cast("int"))
+        others = others.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        both = queries.unionByName(others)
+        return both.groupBy("q_block", "r_block").applyInArrow(searcher(vars(model), k), "query_id long, vec_id long, score double")
+
+    queries = rows.where(F.col("vec_id") % every == 0)
+    found = ws.save(hits(queries, queries.count(), model), "found")
+    enough = found.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= k).select("vec_id")
+    short = ws.save(queries.join(enough, "vec_id", "left_anti").select(*rows.columns), "short")
+    n_short = short.count()
+    if n_short:  # all bits: exact, and holds what the first search found
+        again = hits(short, n_short, replace(model, radius=model.axes.shape[1]))
+        found = found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(again)
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("best"))
     out = best.select("query_id", F.posexplode("best").alias("rank", "hit"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.less")).alias("score"))

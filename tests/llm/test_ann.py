@@ -67,3 +67,21 @@ def test_recall_on_the_table(spark):
     for r in ann.op3_nearest(spark, sf).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_outliers_have_k_rows(spark):
+    rng = np.random.default_rng(8)
+    centre = 5 * rng.standard_normal((4, 32))
+    x = centre[rng.integers(0, 4, 1200)] + 0.05 * rng.standard_normal((1200, 32))
+    x[:100:20] = -centre[0] + 3 * rng.standard_normal((5, 32))  # queries far from every cluster
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    got, want = run(spark, rows, row_block=300, query_block=40), exact(rows)
+    assert got.keys() == want.keys()
+    assert all(len(hits) == 20 for hits in got.values())
+
+
+def test_every_candidate_where_there_are_few(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.standard_normal((21, 8)))]
+    got, want = run(spark, rows), exact(rows)
+    assert {q: [v for v, _ in h] for q, h in got.items()} == {q: [v for v, _ in h] for q, h in want.items()}
