@@ -1,11 +1,17 @@
-"""Licence scans: normalised text against templates by the Dice coefficient of word bigrams."""
+"""Licence scans: normalised text against templates by the Dice coefficient of word bigrams.
+
+Lines and the whole text are held against the notices; then windows of words,
+wherever lines end, against notices and full licence texts (folder licences).
+"""
 
 from __future__ import annotations
 
 import bisect
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +44,11 @@ TEMPLATES = [
 ]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files in the folder licences: a fixed list."""
+    return sorted((p.stem, p.read_text()) for p in Path(__file__).with_name("licences").glob("*.txt"))
+
+
 def bigrams(words: list[bytes]) -> frozenset[tuple[bytes, bytes]]:
     return frozenset(zip(words, words[1:]))
 
@@ -65,11 +76,55 @@ class Matcher:
         return found
 
 
-def scan(templates: list[tuple[str, str]], least: float):
+class Windows:
+    """Templates against all windows of a text that have at most (2 - least) / least times their words."""
+
+    def __init__(self, templates: list[tuple[str, str]], least: float) -> None:
+        self.least, self.factor = least, (2 - least) / least
+        split = [(WORD.findall(t.lower().encode()), name) for name, t in templates]
+        self.sets = [(bigrams(w), int((len(w) - 1) * self.factor + 1e-9), name) for w, name in split if len(w) > 1]
+        self.every = frozenset().union(*(s for s, _, _ in self.sets))
+
+    def found(self, text: bytes) -> list[tuple[float, str, int, int]]:
+        """(score, name, first byte, end) of windows that reach `least`, best first, none over another."""
+        places = [m.span() for m in WORD.finditer(text)]
+        words = [text[a:b] for a, b in places]
+        pairs = list(zip(words, words[1:]))
+        common = self.every.intersection(pairs)
+        # a window with I of a template's T bigrams scores at most 2 * I / (I + T)
+        near = [(s, most, name) for s, most, name in self.sets if len(common & s) * self.factor >= len(s) - 1e-9] if common else []
+        if not near:
+            return []
+        last: dict = {}
+        before = np.full(len(pairs), -1, np.int64)
+        for i, g in enumerate(pairs):
+            before[i] = last.get(g, -1)
+            last[g] = i
+        hits = []
+        for s, most, name in near:
+            own = np.fromiter((g in s for g in pairs), bool, len(pairs))
+            upto = np.r_[0, np.cumsum(own)]
+            at = np.flatnonzero(own)
+            at = at[(upto[np.minimum(at + most, len(pairs))] - upto[at]) * self.factor >= len(s) - 1e-9]
+            for i in at.tolist():
+                new = before[i : i + most] < i
+                score = 2 * np.cumsum(new & own[i : i + most]) / (np.cumsum(new) + len(s))
+                end = int(np.argmax(score))
+                if score[end] >= self.least:
+                    hits.append((float(score[end]), name, i, i + end + 2))
+        taken, out = np.zeros(len(words), bool), []
+        for score, name, i, j in sorted(hits, key=lambda h: (-h[0], h[2] - h[3], h[1], h[2])):
+            if not taken[i:j].any():
+                taken[i:j] = True
+                out.append((score, name, places[i][0], places[j - 1][1]))
+        return out
+
+
+def scan(templates: list[tuple[str, str]], full: list[tuple[str, str]], least: float):
     """For mapInArrow: doc_id, licence, score, matched segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(templates, least)
+        matcher, windows = Matcher(templates, least), Windows(templates + full, least)
         for batch in batches:
             names, scores, n = [], [], []
             for text in batch.column(1).cast(pa.binary()):
@@ -77,7 +132,14 @@ def scan(templates: list[tuple[str, str]], least: float):
                 segments = raw.split(b"\n")
                 if len(segments) > 1:
                     segments.append(raw)
-                hits = [h for h in map(matcher.best, segments) if h]
+                per = [matcher.best(s) for s in segments]
+                hits = [h for h in per if h]
+                if not per[-1]:  # else the whole text is the match
+                    ends = np.cumsum([len(s) + 1 for s in raw.split(b"\n")])
+                    for score, name, start, end in windows.found(raw.lower()):
+                        line = int(np.searchsorted(ends, start, "right"))
+                        if not (per[line] and end <= ends[line]):  # else that line is the match
+                            hits.append((score, name))
                 top = min(hits, key=lambda h: (-h[0], h[1])) if hits else (0.0, None)
                 names.append(top[1])
                 scores.append(top[0])
@@ -90,7 +152,9 @@ def scan(templates: list[tuple[str, str]], least: float):
 def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, license, score, n_matches for every row of docs.
 
-    Segments of a text are its lines and, if there are several, the whole. Text
+    Segments of a text are its lines and, if there are several, the whole; and
+    unless the whole matches, windows of its words that no matching line holds,
+    which never overlap and are held against the full texts too. Text
     is normalised to runs of a-z and 0-9 in lower case. Every segment is held
     against the templates whose size allows a Dice coefficient of `least`; the
     row names the best over all segments (ties to the smaller name), its score,
@@ -99,7 +163,7 @@ def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None =
     Null text has no match. Texts are scanned where they are read; the
     templates are a fixed list. Repeated rows give a row each.
     """
-    run = scan(TEMPLATES if templates is None else templates, least)
+    run = scan(TEMPLATES if templates is None else templates, full_texts() if templates is None else [], least)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, license string, score double, n_matches long")
 
 

@@ -1,4 +1,4 @@
-from quillmark.llm.license_scan import TEMPLATES, Matcher, bigrams, scan_licenses
+from quillmark.llm.license_scan import TEMPLATES, Matcher, bigrams, full_texts, scan_licenses
 
 import re
 
@@ -36,3 +36,17 @@ def test_bounds_lose_no_template():
             text = b" ".join(t.encode().split()[: len(t.split()) - cut] + [b"zz"] * cut)
             best = loose.best(text)
             assert m.best(text) == (best if best and best[0] >= 0.75 else None)
+
+
+def test_wrapped_notices_and_whole_files(spark):
+    prose = "".join(f"line {i} has words {i * i} about other things\n" for i in range(400))
+    apache = next(t for n, t in TEMPLATES if n == "Apache-2.0" and "obtain a copy" in t).split()
+    wrapped = "\n".join(" * " + " ".join(apache[i : i + 8]) for i in range(0, len(apache), 8))
+    full = dict(full_texts())
+    texts = [prose + wrapped + "\n" + prose, "We wrote this last year and it is released under the MIT License. Enjoy it with friends and family.", prose]
+    texts += [full["GPL-3.0"], prose + full["MPL-2.0"], "Copyright 2020 A. Reader\n\n" + full["MIT"], full["Apache-2.0"]]
+    df = spark.createDataFrame([(i, t, "l", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in scan_licenses(df).collect()}
+    assert [got[i].license for i in range(7)] == ["Apache-2.0", "MIT", None, "GPL-3.0", "MPL-2.0", "MIT", "Apache-2.0"]
+    assert all(got[i].score > 0.95 for i in (0, 1, 3, 4, 5, 6))
+    assert got[1].n_matches == 1 and got[2].n_matches == 0
