@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TEXT_CAP = 6000
 
 
-def reachable(items: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def reachable(items: DataFrame, roots: DataFrame) -> DataFrame:
     """id, depth of the items that roots (id) reach over kids; each once, cycles end.
 
     One join for each level of the trees; every level is checkpointed, so that
@@ -17,7 +19,7 @@ def reachable(items: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> Da
     seen = roots.select("id", F.lit(0).alias("depth"))
     level = seen
     edges = items.select("id", F.explode("kids").alias("kid"))
-    for depth in range(1, most_rounds):
+    for depth in count(1):
         level = level.join(edges, "id").select(F.col("kid").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if not level.limit(1).count():
             break
@@ -25,6 +27,31 @@ def reachable(items: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> Da
     return seen.join(items.select("id"), "id", "left_semi")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed; on the executors where no checkpoint folder is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def depths(comments: DataFrame) -> DataFrame:
+    """thread_id, reachable, depth: how many items hang on the thread's items without a stored parent, and how deep.
+
+    One join for each level, however many there are; every level is checkpointed.
+    Items of a cycle hang on none.
+    """
+    rows = comments.select("thread_id", "id", "parent_id")
+    stored = rows.select("thread_id", F.col("id").alias("parent_id")).distinct()
+    level = cut(rows.join(stored, ["thread_id", "parent_id"], "left_anti").select("thread_id", "id"))
+    kids = rows.select("thread_id", F.col("parent_id").alias("id"), F.col("id").alias("kid"))
+    counts, depth = None, 0
+    while level.limit(1).count():
+        found = level.groupBy("thread_id").agg(F.count("*").alias("n"), F.lit(depth).alias("depth"))
+        counts = cut(found if counts is None else counts.unionByName(found).groupBy("thread_id").agg(F.sum("n").alias("n"), F.max("depth").alias("depth")))
+        level = cut(level.join(kids, ["thread_id", "id"]).select("thread_id", F.col("kid").alias("id")))
+        depth += 1
+    counts = level.select("thread_id", F.lit(0).cast("long").alias("n"), F.lit(0).alias("depth")) if counts is None else counts
+    return counts.select("thread_id", F.col("n").alias("reachable"), "depth")
+
+
 def missing(items: DataFrame) -> DataFrame:
     """Kids that no item holds, with their parent."""
     return items.select(F.col("id").alias("parent"), F.explode("kids").alias("id")).join(items.select("id"), "id", "left_anti")

@@ -209,14 +209,8 @@ with recursive t as (
 )
 select conv_id as thread_id, count(*) as reachable, max(depth) as depth from t group by conv_id""")
 def reply_tree_depth(spark, sf_dir):
-    """Reachable items and depth of each thread, by a recursive query."""
-    views.conversation_comments(spark, sf_dir).createOrReplaceTempView("q_comments")
-    rows = spark.sql("""
-        with recursive t as (
-          select thread_id, id, 0 as depth from q_comments where id = (select min(id) from q_comments)
-          union all select c.thread_id, c.id, t.depth + 1 from t join q_comments c on c.thread_id = t.thread_id and c.parent_id = t.id
-        ) select * from t""")
-    return rows.groupBy("thread_id").agg(F.count("*").alias("reachable"), F.max("depth").alias("depth"))
+    """Reachable items and depth of each thread, from its turns without a stored parent."""
+    return tree.depths(views.conversation_comments(spark, sf_dir))
 
 
 # Text --------------------------------------------------------------------------------------------

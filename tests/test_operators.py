@@ -211,3 +211,12 @@ def test_discovery(spark):
     with pytest.raises(ValueError):
         list(discovery.split_windows(5, 6, total, 2))
     assert spark.sql(f"select {discovery.period('2024-02-29', 1)} as d").first().d.isoformat() == "2023-02-28"
+
+
+def test_depths_of_long_threads_and_other_first_turns(spark, tmp_path):
+    from quillmark.operators import tree
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [("long", i, i - 1) for i in range(106)] + [("late", i, i - 1) for i in range(5, 8)]
+    got = tree.depths(spark.createDataFrame(rows, "thread_id string, id long, parent_id long"))
+    assert {tuple(r) for r in got.collect()} == {("long", 106, 105), ("late", 3, 2)}
