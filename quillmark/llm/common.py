@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one in local mode where none is set (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir isn't set: tables between steps need a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -32,11 +34,13 @@ class Workspace:
 
     A written table cuts the lineage: executors that are lost later cost the
     tasks they ran, not the steps before. drop() frees a table that no later
-    step reads; the rest goes when the driver ends.
+    step reads; the rest goes when the driver ends. Shuffle files go as soon as
+    the table that they were for is written.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 

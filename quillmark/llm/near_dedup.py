@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import Workspace, table
-from quillmark.llm.text import WORDS, chunks, mix, spans, sums, word_hashes, words
+from quillmark.llm.text import chunks, mix, windows, word_hashes, words
 
 SHINGLE, PERCENT = 4, 80
 BANDS, BAND = 32, 4
@@ -35,14 +35,13 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """For each text: its different shingles as sorted 64-bit hashes; a shorter text is one shingle."""
     for _, data, offsets in chunks(column):
         starts, ends, by_row = words(data, offsets)
-        prefix = sums(word_hashes(data, starts, ends, lower=True), WORDS)
-        at = np.arange(max(0, len(starts) - size + 1))
-        all_ = spans(prefix, at, at + size, WORDS)
+        hashes = word_hashes(data, starts, ends, lower=True)
+        all_ = windows(hashes, size)
         for a, b in zip(by_row[:-1], by_row[1:]):
             if b - a >= size:
                 yield np.unique(all_[a : b - size + 1])
             else:
-                yield spans(prefix, np.array([a]), np.array([b]), WORDS) if b > a else np.zeros(0, np.uint64)
+                yield windows(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
 def first_permutation(x: np.ndarray) -> np.ndarray:

@@ -1,152 +1,88 @@
-"""Quality rules: counts from the text, and n-gram perplexities within bands of its language.
-
-Two modified Kneser-Ney models judge a text. That over words grows with the
-corpus: hashed n-grams of WORD_ORDER words of each language are counted in Spark,
-every order is a table, and documents' n-grams are joined with the highest
-order's. Texts fall into two halves by a hash and each is scored by the counts of
-the other half, so that no text vouches for itself.
-
-That over symbols finds what isn't made of letter groups at all: a text's bytes
-fall into SYMBOLS classes (white space, a to z whatever the case, digits, two
-kinds of punctuation, and the bytes of other letters by their low bits). As there
-are at most SYMBOLS**ORDER different n-grams, its counts have a bound (4.5 million,
-12 bytes each in the sorted arrays), so they may pass the driver and be broadcast.
+"""Quality rules: counts from the text, and perplexity by a modified Kneser-Ney model within bands of its language.
+
+The model is one of pairs of words. Words fall into 2 ** CLASS_BITS classes by a
+hash of the word and its language, so what belongs to single words (continuation
+counts, back-off weights) is an array of fixed length that may be broadcast. The
+pairs grow with the corpus: they are counted in Spark and kept as sorted arrays
+of their hashes, in ranges that no one holds all of. Texts fall into two halves
+by a hash and each is scored by the counts of the other half, so that no text
+vouches for itself or its copies.
+
+A pair's hash has 2 * CLASS_BITS bits and is a bijection of its two classes, so a
+range of hashes is an even share of all pairs, however common a word is, and
+sorted hashes are stored as small differences.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmark.llm.common import Workspace, table
-from quillmark.llm.text import NOT_SPACE, WORDS, chunks, counts, mix, row_of, spans, sums, word_hashes, words
-
-SYMBOLS, ORDER = 46, 4
-#: Bands: the median of the mean negative log probability of the language's documents, give or take.
-SPREADS, LEAST_BAND, SHORT_BAND = 2.0, 0.03, 4.5
-#: Words: n-grams of so many; the band's upper end, as above in nats a word.
-WORD_ORDER, WORD_LEAST_BAND, WORD_SHORT_BAND = 3, 0.3, 9.0
-BIN = 1000
-MOST_LANGS = 1000
-
-CLASSES = np.full(256, 29, np.int64)
-CLASSES[~NOT_SPACE] = 0
-CLASSES[65:91] = CLASSES[97:123] = np.arange(1, 27)
-CLASSES[48:58] = 27
-CLASSES[[ord(c) for c in ".,;:!?'\"()-"]] = 28
-CLASSES[128:] = 30 + (np.arange(128, 256) & 15)
+from quillmark.llm.text import NOT_SPACE, chunks, counts, mix, row_of, windows, word_hashes, words
+
+CLASS_BITS = 20
+CLASSES = 1 << CLASS_BITS
+#: Texts are read in chunks of so many bytes; a range of pairs is for so many bytes of text; texts are scored in so many rounds.
+CHUNK, RANGE, ROUNDS = 8 << 20, 12 << 20, 4
+#: Bands in quartile distances beyond the quartile, at least so wide in nats a word, and what chance allows short texts.
+SPREADS, LEAST_BAND, SHORT_BAND = 2.0, 0.6, 9.0
+#: Statistics of classes travel in so many pieces.
+PIECES = 64
+
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 STARTS_CHAR = (np.arange(256) & 0xC0) != 0x80
+#: First bytes of characters that are words of their own: scripts without spaces (kana, Han), and beyond the basic plane.
+WIDE = np.zeros(256, np.int64)
+WIDE[0xE3:0xEA], WIDE[0xF0:0xF5] = 3, 4
+U64 = np.uint64
+PAIR_MASK = U64((1 << 2 * CLASS_BITS) - 1)
+STEPS = (0x9E3779B97F, 0xC2B2AE3D27)
 
 
-def gram_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte, as a number; rows begin after ORDER - 1 spaces."""
-    rows = row_of(offsets)
-    at = np.arange(len(data)) + (ORDER - 1) * (rows + 1)
-    line = np.zeros(len(data) + (ORDER - 1) * (len(offsets) - 1), np.int64)
-    line[at] = CLASSES[data]
-    code = line[at]
-    for k in range(1, ORDER):
-        code += line[at - k] * SYMBOLS**k
-    return code
+def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Classes of two words to a hash that no other two have."""
+    x = left << U64(CLASS_BITS) | right
+    for m in STEPS:
+        x = (x ^ x >> U64(CLASS_BITS)) * U64(m) & PAIR_MASK
+    return x ^ x >> U64(CLASS_BITS)
 
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: this task's count of each n-gram."""
-    total = np.zeros(SYMBOLS**ORDER, np.int64)
-    for batch in batches:
-        for _, data, offsets in chunks(batch.column(0)):
-            total += np.bincount(gram_codes(data, offsets), minlength=len(total))
-    seen = np.flatnonzero(total)
-    for i in range(0, len(seen), 100_000):
-        part = seen[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["gram", "n"])
+def pair_classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of pair_hash."""
+    x = x ^ x >> U64(CLASS_BITS)
+    for m in reversed(STEPS):
+        x = x * U64(pow(m, -1, 1 << 2 * CLASS_BITS)) & PAIR_MASK
+        x = x ^ x >> U64(CLASS_BITS)
+    return (x >> U64(CLASS_BITS)).astype(np.int64), (x & U64(CLASSES - 1)).astype(np.int64)
 
 
-@dataclass
-class Level:
-    """One order: seen n-grams (sorted) with their log probabilities, contexts (sorted) with their back-off."""
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers that aren't negative, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    grams: np.ndarray
-    log_p: np.ndarray
-    contexts: np.ndarray
-    back_off: np.ndarray
 
+def unsqueezed(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
-def discounts(c: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more."""
-    n = [0, *(int((c == k).sum()) for k in range(1, 5))]
-    if min(n[1:]) == 0:
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = n[1] / (n[1] + 2 * n[2])
-    d = np.array([0.0, *(k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3))])
-    return np.clip(d, [0, 0.01, 0.01, 0.01], [0, 0.99, 1.99, 2.99])
 
+def steps(ascending: np.ndarray) -> bytes:
+    return squeezed(np.diff(ascending.astype(U64), prepend=U64(0)))
 
-def smoothed(grams: np.ndarray, n: np.ndarray) -> list[Level]:
-    """Levels of order 1 to ORDER from the counts of the n-grams of order ORDER.
 
-    Orders below the highest count how many different symbols come before.
-    """
-    by_order = {ORDER: (grams, n)}
-    for k in range(ORDER - 1, 0, -1):
-        by_order[k] = np.unique(by_order[k + 1][0] % SYMBOLS**k, return_counts=True)
-    levels, lower = [], None
-    for k in range(1, ORDER + 1):
-        g, c = by_order[k]
-        d = discounts(c)[np.minimum(c, 3)]
-        contexts, at = np.unique(g // SYMBOLS, return_inverse=True)
-        total = np.bincount(at, c, len(contexts))
-        back_off = np.bincount(at, d, len(contexts)) / total
-        below = np.full(len(g), 1 / SYMBOLS) if lower is None else lower(g % SYMBOLS ** (k - 1))
-        p = (c - d) / total[at] + back_off[at] * below
-        levels.append(Level(g, np.log(p).astype(np.float32), contexts, np.log(back_off).astype(np.float32)))
-
-        def lower(x: np.ndarray, g: np.ndarray = g, p: np.ndarray = p) -> np.ndarray:
-            return p[np.searchsorted(g, x)]
-
-    return levels
-
-
-def log_probability(levels: list[Level], grams: np.ndarray) -> np.ndarray:
-    """Of n-grams of order ORDER, by binary search from the highest order down."""
-    out, open_ = np.zeros(len(grams), np.float32), np.ones(len(grams), bool)
-    for k in range(ORDER, 0, -1):
-        level, x = levels[k - 1], grams % SYMBOLS**k
-        if not len(level.grams):
-            continue
-        at = np.minimum(np.searchsorted(level.grams, x), len(level.grams) - 1)
-        hit = open_ & (level.grams[at] == x)
-        out[hit] += level.log_p[at[hit]]
-        open_ &= ~hit
-        at = np.minimum(np.searchsorted(level.contexts, x // SYMBOLS), len(level.contexts) - 1)
-        known = open_ & (level.contexts[at] == x // SYMBOLS)
-        out[known] += level.back_off[at[known]]
-    out[open_] += np.float32(-np.log(SYMBOLS))
-    return out
-
-
-def fit(docs: DataFrame) -> list[Level]:
-    """The model of all texts of docs; none for an empty table."""
-    found = docs.select("text").mapInArrow(count_grams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = found.toArrow()  # at most SYMBOLS**ORDER rows
-    grams, n = got["gram"].to_numpy().astype(np.int64), got["n"].to_numpy()
-    order = np.argsort(grams)
-    return smoothed(grams[order], n[order])
-
-
-KEY = ["q_key", "q_key_too", "q_model"]
-GRAM = [f"w{i}" for i in range(1, WORD_ORDER + 1)]
-#: First bytes of characters that are words of their own: scripts without spaces (kana, Han), and beyond the basic plane.
-WIDE = np.zeros(256, np.int64)
-WIDE[0xE3:0xEA], WIDE[0xF0:0xF5] = 3, 4
+def unstepped(blob: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(blob), dtype=U64)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,94 +98,163 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return new, np.minimum(np.r_[new[1:], len(data)], word_ends), np.searchsorted(new, offsets)
 
 
-def word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over KEY, half and text: each text's n-grams of words, with their counts."""
-    for batch in batches:
-        for first, data, offsets in chunks(batch.column(4)):
-            starts, ends, by_row = tokens(data, offsets)
-            rows = row_of(by_row)
-            at = np.arange(len(starts)) + (WORD_ORDER - 1) * (rows + 1)
-            line = np.zeros(len(starts) + (WORD_ORDER - 1) * (len(offsets) - 1), np.uint64)
-            line[at] = word_hashes(data, starts, ends, lower=True)
-            same = mix(rows.astype(np.uint64) + np.uint64(1))
-            for k in range(WORD_ORDER):
-                same = mix(same * np.uint64(0x9E3779B97F4A7C15) + line[at - k])
-            _, pick, n = np.unique(same, return_index=True, return_counts=True)
-            order = np.argsort(pick)
-            pick, n = pick[order], n[order]
-            whose = pa.array(first + rows[pick])
-            columns = [batch.column(i).take(whose) for i in range(4)]
-            columns += [pa.array(line[at[pick] - k].view(np.int64)) for k in range(WORD_ORDER - 1, -1, -1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*KEY, "half", *GRAM, "n"])
-
-
-def keyed(docs: DataFrame, langs: DataFrame) -> DataFrame:
-    """docs with KEY and half: 128 bits of the text, and the number of its language's model."""
-    text = F.coalesce("text", F.lit(""))
-    own = F.broadcast(langs.select(F.col("lang").alias("q_own")))  # at most MOST_LANGS rows
-    out = docs.join(own, docs.lang == own.q_own, "left").withColumn("q_model", F.xxhash64("q_own")).drop("q_own")
-    return out.withColumns({"q_key": F.xxhash64(text), "q_key_too": F.xxhash64(F.lit(1), text)}).withColumn("half", F.pmod("q_key_too", F.lit(2)).cast("int"))
+def pairs(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and the classes of the two words of every pair; the first word's pair is with the start of the text."""
+    starts, ends, by_row = tokens(data, offsets)
+    rows = row_of(by_row)
+    salt = mix(langs.view(U64))
+    right = mix(word_hashes(data, starts, ends, lower=True) ^ salt[rows]) >> U64(64 - CLASS_BITS)
+    left = np.empty_like(right)
+    left[1:] = right[:-1]
+    full = np.flatnonzero(np.diff(by_row))
+    left[by_row[:-1][full]] = mix(salt[full] + U64(1)) >> U64(64 - CLASS_BITS)
+    return rows, left, right
 
 
-def most_common(docs: DataFrame) -> DataFrame:
-    """The MOST_LANGS languages with most documents; the others share what the null language has."""
-    return docs.groupBy("lang").count().where("lang is not null").orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang")
+def ranges_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n even ranges of hashes begins in the sorted hashes, and the end."""
+    edges = [-(-(k << 2 * CLASS_BITS) // n) for k in range(n)]
+    return np.r_[np.searchsorted(hashes, np.array(edges, U64)), len(hashes)]
 
 
-def word_discounts(grams: DataFrame) -> DataFrame:
-    """discounts() for each model and half: d01 to d13; one row for each language."""
-    ns = [F.count_if(F.col(f"c{h}") == k).alias(f"n{h}{k}") for h in (0, 1) for k in range(1, 5)]
-    n, out = (lambda h, k: F.col(f"n{h}{k}")), []
-    for h in (0, 1):
-        fine = F.least(*[n(h, k) for k in range(1, 5)]) > 0
-        y = n(h, 1) / (n(h, 1) + 2 * n(h, 2))
-        for k, other in ((1, 0.5), (2, 0.75), (3, 0.9)):
-            d = F.greatest(F.lit(0.01), F.least(F.lit(k - 0.01), k - (k + 1) * y * n(h, k + 1) / n(h, k)))
-            out.append(F.when(fine, d).otherwise(other).alias(f"d{h}{k}"))
-    return grams.groupBy("q_model").agg(*ns).select("q_model", *out)
+COUNTS = "half int, place int, hashes binary, counts binary"
 
 
-def word_levels(grams: DataFrame, ws: Workspace) -> DataFrame:
-    """q_model, GRAM, p0, p1: every n-gram's probability by the counts of either half; null where that half is empty.
+def count_pairs(n_ranges: int):
+    """For mapInArrow over half, q_lang and text: sorted pairs and their counts, chunk by chunk, for each half and range."""
+    schema = pa.schema([("half", pa.int32()), ("place", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
-    Orders below the highest count how many different words come before. The
-    probability of an n-gram that a half hasn't seen is what its context leaves
-    to the shorter one. Totals of a language and discounts are tables of a row
-    for each of at most MOST_LANGS + 1 languages.
-    """
-    by_order = {WORD_ORDER: ws.save(grams, f"words-{WORD_ORDER}")}
-    for k in range(WORD_ORDER - 1, 0, -1):
-        of = by_order[k + 1].groupBy("q_model", *GRAM[-k:])
-        by_order[k] = ws.save(of.agg(*[F.count_if(F.col(f"c{h}") > 0).alias(f"c{h}") for h in (0, 1)]), f"words-{k}")
-    lower = None
-    for k in range(1, WORD_ORDER + 1):
-        own, context = GRAM[-k:], ["q_model", *GRAM[-k:-1]]
-        g = by_order[k].join(F.broadcast(word_discounts(by_order[k])), "q_model")
-        for h in (0, 1):
-            c = F.col(f"c{h}")
-            g = g.withColumn(f"d{h}", F.when(c == 0, 0.0).when(c == 1, F.col(f"d{h}1")).when(c == 2, F.col(f"d{h}2")).otherwise(F.col(f"d{h}3")))
-        g = g.select("q_model", *own, "c0", "c1", "d0", "d1")
-        totals = g.groupBy(*context).agg(*[f(F.col(f"{x}{h}")).alias(f"{y}{h}") for h in (0, 1) for f, x, y in ((F.sum, "c", "all"), (F.sum, "d", "left"), (lambda c: F.count_if(c > 0), "c", "types"))])
-        if lower is None:
-            g = g.join(F.broadcast(totals), context)
-            g = g.withColumns({f"p{h}": F.when(F.col(f"all{h}") > 0, 1 / (F.col(f"types{h}") + 1)) for h in (0, 1)})
-        else:
-            g = g.join(totals, context).join(lower, ["q_model", *own[1:]])
-        p = {f"p{h}": F.when(F.col(f"all{h}") > 0, (F.col(f"c{h}") - F.col(f"d{h}") + F.col(f"left{h}") * F.col(f"p{h}")) / F.col(f"all{h}")).otherwise(F.col(f"p{h}")) for h in (0, 1)}
-        lower = ws.save(g.withColumns(p).select("q_model", *own, "p0", "p1"), f"levels-{k}")
-        ws.drop(f"words-{k}")
-    return lower
-
-
-def word_scores(docs: DataFrame, langs: DataFrame, ws: Workspace) -> DataFrame:
-    """KEY, q_word_nll: of each different text with words the mean negative log probability of its words by the other half."""
-    n_grams = ", ".join(f"{w} long" for w in GRAM)
-    rows = keyed(docs.select("lang", "text"), langs).select(*KEY, "half", "text").mapInArrow(word_grams, f"q_key long, q_key_too long, q_model long, half int, {n_grams}, n long")
-    grams = rows.groupBy("q_model", *GRAM).agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"c{h}") for h in (0, 1)])
-    p = word_levels(grams, ws)
-    hit = rows.join(p, ["q_model", *GRAM]).withColumn("nll", -F.log(F.when(F.col("half") == 0, F.col("p1")).otherwise(F.col("p0"))))
-    # a text's copies have its mean
-    return ws.save(hit.groupBy(*KEY).agg((F.sum(F.col("nll") * F.col("n")) / F.sum("n")).alias("q_word_nll")), "word-scores")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half, langs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for first, data, offsets in chunks(batch.column(2), CHUNK):
+                rows, left, right = pairs(data, offsets, langs[first : first + len(offsets) - 1])
+                own, out = half[first + rows], []
+                for h in (0, 1):
+                    seen, n = np.unique(pair_hash(left[own == h], right[own == h]), return_counts=True)
+                    at = ranges_of(seen, n_ranges)
+                    out += [(h, i, steps(seen[a:b]), squeezed(n[a:b])) for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
+
+    return run
+
+
+def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Rows of sorted batches, by runs of equal keys."""
+    return groupby((r for b in batches for r in b.to_pylist()), lambda r: tuple(r[k] for k in keys))
+
+
+class Statistics:
+    """Of classes, for a half: counts as a left word, its kinds of pairs seen once, twice and more often, and pairs as a right word; and how many pairs were seen once to four times."""
+
+    def __init__(self) -> None:
+        self.of = np.zeros((2, 5, CLASSES), np.int64)
+        self.seen = np.zeros((2, 4), np.int64)
+
+    def add(self, half: int, hashes: np.ndarray, n: np.ndarray) -> None:
+        left, right = pair_classes(hashes)
+        np.add.at(self.of[half, 0], left, n.astype(np.int64))
+        for k in (1, 2, 3):
+            np.add.at(self.of[half, k], left[(n == k) if k < 3 else (n >= 3)], 1)
+        np.add.at(self.of[half, 4], right, 1)
+        self.seen[half] += [(n == k).sum() for k in (1, 2, 3, 4)]
+
+    def rows(self) -> list[tuple]:
+        wide = CLASSES // PIECES
+        return [(h, -1 - i, squeezed(self.of[h, :, i * wide : (i + 1) * wide].ravel()), squeezed(self.seen[h] * (i == 0))) for h in (0, 1) for i in range(PIECES) if self.of[h].any()]
+
+
+def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over COUNTS sorted by half and place: each range's sorted pairs, and at negative places this task's Statistics."""
+    stats = Statistics()
+    for (half, place), rows in grouped(batches, "half", "place"):
+        got = [(unstepped(r["hashes"]), unsqueezed(r["counts"])) for r in rows]
+        hashes, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([g[1] for g in got])).astype(U64)
+        stats.add(half, hashes, n)
+        yield arrow(COUNTS, [(half, place, steps(hashes), squeezed(n))])
+    yield arrow(COUNTS, stats.rows())
+
+
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over Statistics.rows() sorted by half and place: their sums."""
+    for (half, place), rows in grouped(batches, "half", "place"):
+        of, seen = 0, 0
+        for r in rows:
+            of, seen = of + unsqueezed(r["hashes"]), seen + unsqueezed(r["counts"])
+        yield arrow(COUNTS, [(half, place, squeezed(of), squeezed(seen))])
+
+
+KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def arrow(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [(n, KINDS[t]) for n, t in (f.split() for f in ddl.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], schema=pa.schema(fields))
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more, from how many were seen once to four times."""
+    if min(n) == 0:
+        return np.array([0.0, 0.5, 0.75, 0.9])
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+    return np.r_[0.0, np.clip(d, 0.01, [0.99, 1.99, 2.99])]
+
+
+@dataclass
+class Words:
+    """What belongs to single classes in the model of one half; all of fixed length."""
+
+    log_p: np.ndarray  # as right word: log of the lowest order's probability
+    log_back_off: np.ndarray  # as left word: log of the share that its unseen pairs get
+    left_over: np.ndarray  # as left word: that share times its count
+    discount: np.ndarray
+
+
+def words_of(of: np.ndarray, seen: np.ndarray) -> Words | None:
+    """From summed Statistics of a half; none if it has no text."""
+    total, once, twice, more, kinds = of.astype(float)
+    if not kinds.any():
+        return None
+    d = discounts(seen)
+    left_over = d[1] * once + d[2] * twice + d[3] * more
+    low = discounts(np.array([(kinds == k).sum() for k in (1, 2, 3, 4)]))
+    cut = low[np.minimum(kinds, 3).astype(int)]
+    p = (kinds - cut + cut.sum() / CLASSES) / kinds.sum()
+    back_off = np.divide(left_over, total, out=np.ones(CLASSES), where=total > 0)
+    return Words(np.log(p).astype(np.float32), np.log(back_off).astype(np.float32), left_over.astype(np.float32), d)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with q_key and q_key_too (128 bits of the text), q_lang (a hash), and q_round; half is its last bit."""
+    text = F.coalesce("text", F.lit(""))
+    out = docs.withColumns({"q_key": F.xxhash64(text), "q_key_too": F.xxhash64(F.lit(1), text), "q_lang": F.xxhash64("lang")})
+    return out.withColumn("q_round", F.pmod("q_key_too", F.lit(ROUNDS)).cast("int"))
+
+
+@dataclass
+class Model:
+    pairs: DataFrame  # COUNTS: each half's ranges of sorted pairs
+    words: list[Words | None]  # for each half
+    n_ranges: int
+
+
+def fit(docs: DataFrame, ws: Workspace) -> Model:
+    """The models of both halves of docs (lang, text)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_ranges = 1 + size // 2 // RANGE
+    rows = keyed(docs.select("lang", "text")).select((F.col("q_round") % 2).alias("half"), "q_lang", "text")
+    found = rows.mapInArrow(count_pairs(n_ranges), COUNTS).repartition("half", "place").sortWithinPartitions("half", "place")
+    got = ws.save(found.mapInArrow(merge_pairs, COUNTS), "pairs")
+    stats = got.where("place < 0").repartition("half", "place").sortWithinPartitions("half", "place").mapInArrow(add_up, COUNTS)
+    of, seen = np.zeros((2, 5, CLASSES), np.int64), np.zeros((2, 4), np.int64)
+    wide = CLASSES // PIECES
+    for r in stats.toLocalIterator():  # 2 * PIECES rows of fixed size
+        i = -1 - r.place
+        of[r.half, :, i * wide : (i + 1) * wide] = unsqueezed(r.hashes).reshape(5, wide)
+        seen[r.half] += unsqueezed(r.counts).astype(np.int64)
+    return Model(got.where("place >= 0"), [words_of(of[h], seen[h]) for h in (0, 1)], n_ranges)
 
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -261,7 +266,7 @@ def repeated_words(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     covered = np.zeros(n, bool)
     if n >= 3:
         at = np.flatnonzero(rows[:-2] == rows[2:])
-        key = spans(sums(hashes, WORDS), at, at + 3, WORDS) ^ mix(rows[at].astype(np.uint64) + np.uint64(1))
+        key = windows(hashes, 3)[at] ^ mix(rows[at].astype(np.uint64) + np.uint64(1))
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         again = at[order[np.flatnonzero(np.r_[False, same] | np.r_[same, False])]]
@@ -275,126 +280,193 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def scorer(model, text_at: int, schema: pa.Schema):
-    """For mapInArrow: the batch's columns, the counts, and the mean negative log probability of a text's bytes."""
+def measured(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """STATS of each row."""
+    starts, ends, by_row = words(data, offsets)
+    raw = data.tobytes()
+    return [
+        np.diff(by_row),
+        counts(NOT_SPACE[data] & STARTS_CHAR[data], offsets),
+        counts(IS_SYMBOL[data], offsets),
+        np.array([repeated_lines(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.int64),
+        repeated_words(word_hashes(data, starts, ends, lower=False), by_row),
+    ]
+
+
+SCORES = ", ".join(["q_key long, q_key_too long, doc_id long, lang string", *[f"q_{s} long" for s in STATS], "q_n_tokens long, q_nll double, q_nll_one double"])
+ASKED = "place int, part long, hashes binary, counts binary, docs binary"
+
+
+def ask(model, n_ranges: int):
+    """For mapInArrow over q_key, q_key_too, doc_id, lang, q_lang and text: what is known of each text without pairs, and its pairs by range.
+
+    A chunk of texts is a part. Its row at a negative place holds SCORES, where
+    q_nll lacks the gains of seen pairs; the others hold a range of its pairs,
+    sorted, with counts and each one's text (its number in the part).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = model.value
-        memo, known = np.zeros(SYMBOLS**ORDER, np.float32), np.zeros(SYMBOLS**ORDER, bool)
+        own, part = model.value, TaskContext.get().partitionId() << 32
         for batch in batches:
-            stats = np.zeros((5, len(batch)), np.int64)
-            nll = np.zeros(len(batch))
-            for first, data, offsets in chunks(batch.column(text_at)):
-                rows = slice(first, first + len(offsets) - 1)
-                starts, ends, by_row = words(data, offsets)
-                stats[0, rows] = np.diff(by_row)
-                stats[1, rows] = counts(NOT_SPACE[data] & STARTS_CHAR[data], offsets)
-                stats[2, rows] = counts(IS_SYMBOL[data], offsets)
-                raw = data.tobytes()
-                stats[3, rows] = [repeated_lines(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-                stats[4, rows] = repeated_words(word_hashes(data, starts, ends, lower=False), by_row)
-                if len(data):
-                    grams = gram_codes(data, offsets)
-                    new = np.unique(grams[~known[grams]])
-                    memo[new], known[new] = log_probability(levels, new), True
-                    full = np.flatnonzero(np.diff(offsets))
-                    nll[first + full] = -np.add.reduceat(memo[grams].astype(np.float64), offsets[:-1][full]) / np.diff(offsets)[full]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, stats), pa.array(nll)], schema=schema)
+            langs = batch.column(4).to_numpy(zero_copy_only=False)
+            for first, data, offsets in chunks(batch.column(5), CHUNK):
+                n, part = len(offsets) - 1, part + 1
+                rows, left, right = pairs(data, offsets, langs[first : first + n])
+                size = np.bincount(rows, minlength=n)
+                one, all_ = np.full(n, np.nan), np.full(n, np.nan)
+                if own:
+                    some = np.maximum(size, 1)
+                    one = -np.bincount(rows, own.log_p[right], n) / some
+                    all_ = one - np.bincount(rows, own.log_back_off[left], n) / some
+                    one[size == 0] = all_[size == 0] = np.nan
+                head = [*[c.slice(first, n) for c in batch.columns[:4]], *map(pa.array, [*measured(data, offsets), size]), *(pa.array(x, from_pandas=True) for x in (all_, one))]
+                sink = pa.BufferOutputStream()
+                head = pa.RecordBatch.from_arrays(head, [f.split()[0] for f in SCORES.split(", ")])
+                with pa.ipc.new_stream(sink, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(head)
+                found = [(-1 - part % 997, part, sink.getvalue().to_pybytes(), None, None)]
+                if own and len(rows):
+                    h = pair_hash(left, right)
+                    order = np.lexsort((rows, h))
+                    h, rows = h[order], rows[order]
+                    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])])
+                    times, h, rows = np.diff(np.r_[new, len(h)]), h[new], rows[new]
+                    at = ranges_of(h, n_ranges)
+                    found += [(i, part, steps(h[a:b]), squeezed(times[a:b]), squeezed(rows[a:b])) for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+                yield arrow(ASKED, found)
 
     return run
 
 
-def scored(docs: DataFrame, levels: list[Level]) -> DataFrame:
-    """docs with q_n_words, q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words and q_nll."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def answer(model):
+    """For mapInArrow over ASKED sorted by place and part, where part -1 is the model's range: heads as they are, and each part's sums of gains by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for (place,), rows in grouped(batches, "place"):
+            known, gain = np.zeros(0, U64), np.zeros(0)
+            for r in rows:
+                if place < 0:
+                    yield arrow(ASKED, [tuple(r.values())])
+                elif r["part"] < 0:
+                    known, n = unstepped(r["hashes"]), unsqueezed(r["counts"])
+                    left, right = pair_classes(known)
+                    more = (n - own.discount[np.minimum(n, 3).astype(int)]) / own.left_over[left]
+                    gain = np.log1p(more / np.exp(own.log_p[right].astype(float)))
+                elif len(known):
+                    h = unstepped(r["hashes"])
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    hit = known[at] == h
+                    docs = unsqueezed(r["docs"])[hit].astype(np.int64)
+                    sums = np.bincount(docs, gain[at[hit]] * unsqueezed(r["counts"])[hit])
+                    docs = np.unique(docs)
+                    if len(docs):
+                        yield arrow(ASKED, [(place, r["part"], None, squeezed(np.rint(sums[docs] * 1e4).astype(np.int64)), steps(docs))])
+
+    return run
+
 
-    out = T.StructType([*docs.schema.fields, *[T.StructField(f"q_{s}", T.LongType()) for s in STATS], T.StructField("q_nll", T.DoubleType())])
-    model = docs.sparkSession.sparkContext.broadcast(levels)
-    return docs.mapInArrow(scorer(model, docs.columns.index("text"), to_arrow_schema(out)), out)
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over answer()'s rows sorted by part: SCORES. Gains are added as whole numbers, in any order."""
+    for _, rows in grouped(batches, "part"):
+        head, gains = None, []
+        for r in rows:
+            if r["hashes"] is not None:
+                head = pa.ipc.open_stream(r["hashes"]).read_next_batch()
+            else:
+                gains.append((unstepped(r["docs"]).astype(np.int64), unsqueezed(r["counts"]).astype(np.int64)))
+        total = np.zeros(head.num_rows, np.int64)
+        for docs, sums in gains:
+            total[docs] += sums
+        size = np.maximum(head["q_n_tokens"].to_numpy(), 1)
+        nll = head["q_nll"].to_numpy(zero_copy_only=False) - total / 1e4 / size
+        yield head.set_column(head.schema.get_field_index("q_nll"), "q_nll", pa.array(nll, from_pandas=True))
+
+
+def scores(docs: DataFrame, model: Model, ws: Workspace) -> DataFrame:
+    """SCORES of every row of docs (doc_id, lang, text).
+
+    Texts ask for the gains of their pairs, range by range: only hashes move,
+    and neither texts nor the model meet in one place. A round takes texts of
+    one half, so that the shuffles of one round only are on disk.
+    """
+    spark, out = docs.sparkSession, None
+    rows = keyed(docs.select("doc_id", "lang", "text"))
+    for k in range(ROUNDS):
+        other = 1 - k % 2
+        words_ = spark.sparkContext.broadcast(model.words[other])  # of fixed size
+        asked = rows.where(F.col("q_round") == k).select("q_key", "q_key_too", "doc_id", "lang", "q_lang", "text").mapInArrow(ask(words_, model.n_ranges), ASKED)
+        held = model.pairs.where(F.col("half") == other).select("place", F.lit(-1).cast("long").alias("part"), "hashes", "counts", F.lit(None).cast("binary").alias("docs"))
+        met = asked.union(held).repartition("place").sortWithinPartitions("place", "part")
+        answers = met.mapInArrow(answer(words_), ASKED).repartition("part").sortWithinPartitions("part")
+        got = ws.save(answers.mapInArrow(settle, SCORES), f"scores-{k}")
+        out = out.union(got) if out else got
+    return out
 
 
-def base_failed():
+def base_failed() -> Column:
     return (F.col("q_n_words") < 50) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words"))
 
 
-def bands(scores: DataFrame, of: str = "q_nll") -> DataFrame:
-    """band_lang, middle, spread for each language: median and median absolute deviation of a score, to 1 / BIN.
+def bands(rows: DataFrame) -> DataFrame:
+    """q_band_lang, q_all and q_one: the quartiles of both scores of each language, to a thousandth.
 
-    From the histogram of the score, whose size is bounded for each language; at
-    most MOST_LANGS languages, those with most documents, have a band of their
-    own, and the others share that of a null language.
+    Quartiles come from counts of different values, which are few.
     """
-    usable = scores.where(~base_failed() & F.col(of).isNotNull())
-    most = F.broadcast(most_common(usable).select(F.col("lang").alias("own_lang")))  # at most MOST_LANGS rows
-    usable = usable.join(most, usable.lang == most.own_lang, "left").withColumn("bin", F.round(F.col(of) * BIN).cast("int"))
-    hist = usable.groupBy("own_lang", "bin").agg(F.count("*").alias("n"))
-
-    def median(h: DataFrame, value: str, name: str) -> DataFrame:
-        upto = Window.partitionBy("own_lang").orderBy(value)
-        every = Window.partitionBy("own_lang")
-        h = h.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(every)})
-        return h.where(F.col("upto") * 2 >= F.col("all")).groupBy("own_lang").agg(F.min(value).alias(name))
-
-    middle = median(hist, "bin", "middle").withColumnRenamed("own_lang", "middle_lang")
-    off = hist.join(middle, F.col("own_lang").eqNullSafe(F.col("middle_lang"))).withColumn("off", F.abs(F.col("bin") - F.col("middle")))
-    spread = median(off, "off", "spread").withColumnRenamed("own_lang", "band_lang")
-    both = spread.join(middle, F.col("band_lang").eqNullSafe(F.col("middle_lang")))
-    return both.select("band_lang", (F.col("middle") / BIN).alias("middle"), (F.col("spread") / BIN).alias("spread"))
-
-
-def both_bands(scores: DataFrame) -> DataFrame:
-    """bands() of the symbols, with word_middle and word_spread of the words."""
-    by_word = bands(scores, "q_word_nll").toDF("word_lang", "word_middle", "word_spread")
-    out = bands(scores)
-    return out.join(by_word, out.band_lang.eqNullSafe(by_word.word_lang), "left").drop("word_lang")
-
-
-def judged(scores: DataFrame, band: DataFrame, n_chars: str = "q_word_chars") -> DataFrame:
-    """scores with q_low, q_high, q_base_failed and q_kept.
-
-    A text passes if its mean negative log probability lies within SPREADS
-    deviations of its language's median (LEAST_BAND at least), and what chance
-    allows a text of its length: the mean over n symbols strays by about
-    1 / sqrt(n), of which SHORT_BAND times are allowed. That of its words may
-    be as low as it likes (copies are no fault here) but not above such a band. A language without a band takes that of
-    the null language; with neither, there is nothing to hold it against.
+    usable = rows.where(~base_failed() & F.col("q_nll").isNotNull())
+    quartiles = lambda c: F.percentile(F.round(c, 3), F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    return usable.groupBy(F.col("lang").alias("q_band_lang")).agg(quartiles("q_nll").alias("q_all"), quartiles("q_nll_one").alias("q_one"))
+
+
+def judged(rows: DataFrame, band: DataFrame) -> DataFrame:
+    """rows with q_low, q_high, q_base_failed and q_kept.
+
+    Both limits are of the language: the quartile, and SPREADS times its
+    distance from the median beyond (LEAST_BAND at least), and what chance
+    allows a text of its length: a mean over n words strays by about
+    1 / sqrt(n), of which SHORT_BAND times are allowed. q_high is for the whole
+    model; q_low for its lowest order, where a text with copies scores as
+    others do, and dull repetition of common words scores low. A language has
+    its own band, however few its texts; one whose texts have no score, as the
+    other half is empty, has nothing to hold them against.
     """
-    band = F.broadcast(band)  # at most MOST_LANGS + 1 rows
-    rest = F.broadcast(band.where("band_lang is null").select(F.col("middle").alias("rest_middle"), F.col("spread").alias("rest_spread"), F.col("word_middle").alias("rest_word_middle"), F.col("word_spread").alias("rest_word_spread")))
-    out = scores.join(band, scores.lang == band.band_lang, "left").join(rest, F.lit(True), "left")
-    middle, spread = F.coalesce("middle", "rest_middle"), F.coalesce("spread", "rest_spread")
-    half = F.greatest(spread * 1.4826 * SPREADS, F.lit(LEAST_BAND)) + SHORT_BAND / F.sqrt(F.greatest(F.col(n_chars), F.lit(1)))
-    out = out.withColumns({"q_low": middle - half, "q_high": middle + half, "q_base_failed": base_failed()})
-    verdict = F.coalesce(F.col("q_nll").between(F.col("q_low"), F.col("q_high")), F.lit(True))
-    word_half = F.greatest(F.coalesce("word_spread", "rest_word_spread") * 1.4826 * SPREADS, F.lit(WORD_LEAST_BAND)) + WORD_SHORT_BAND / F.sqrt(F.greatest(F.col("q_n_words"), F.lit(1)))
-    verdict &= F.coalesce(F.col("q_word_nll") <= F.coalesce("word_middle", "rest_word_middle") + word_half, F.lit(True))
-    return out.withColumn("q_kept", ~F.col("q_base_failed") & verdict).select(*scores.columns, "q_low", "q_high", "q_base_failed", "q_kept")
-
-
-def judge(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, list[Level], DataFrame]:
-    """Every row's counts, score and verdict without its text; the model; the bands.
-
-    Null text is empty. Repeated rows count as documents of their own. Null
-    languages have the band of the null language. An empty table gives an
-    empty one.
+    out = rows.join(band, rows.lang.eqNullSafe(band.q_band_lang), "left")
+    short = SHORT_BAND / F.sqrt(F.greatest(F.col("q_n_tokens"), F.lit(1)))
+
+    def limit(c: str, quartile: int) -> Column:
+        q, middle = F.get(c, F.lit(quartile)), F.get(c, F.lit(1))
+        wide = F.greatest(F.abs(q - middle) * SPREADS, F.lit(LEAST_BAND)) + short
+        return q + wide if quartile == 2 else q - wide
+
+    out = out.withColumns({"q_low": limit("q_one", 0), "q_high": limit("q_all", 2), "q_base_failed": base_failed()})
+    verdict = F.coalesce((F.col("q_nll") <= F.col("q_high")) & (F.col("q_nll_one") >= F.col("q_low")), F.lit(True))
+    return out.withColumn("q_kept", ~F.col("q_base_failed") & verdict).select(*rows.columns, "q_low", "q_high", "q_base_failed", "q_kept")
+
+
+def judge(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, Model, DataFrame]:
+    """Every row's counts, scores and verdict without its text; the model; the bands.
+
+    Null text is empty. Repeated rows count as documents of their own, and the
+    verdict of all rows with one text and language is the same. Ties on a limit
+    pass. A null language is a language. Very long texts are read whole, in a
+    chunk of their own. Of docs only doc_id, lang and text are read, so other
+    columns may have any name. An empty table gives an empty one.
     """
-    levels = fit(docs)
-    langs = ws.save(most_common(docs), "langs")
-    by_word = word_scores(docs, langs, ws)
-    rows = keyed(scored(docs.select("doc_id", "lang", "text"), levels), langs).drop("text", "half")
-    rows = ws.save(rows.join(by_word, KEY, "left").drop(*KEY), "scores")
-    band = ws.save(both_bands(rows), "bands")
-    return judged(rows, band), levels, band
+    model = fit(docs, ws)
+    rows = scores(docs, model, ws)
+    band = ws.save(bands(rows), "bands")
+    return judged(rows, band), model, band
 
 
 def keep_good(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The rows of docs that pass, with their columns."""
-    _, levels, band = judge(docs, ws)
-    langs, by_word = (docs.sparkSession.read.parquet(f"{ws.path}/{t}") for t in ("langs", "word-scores"))
-    rows = keyed(scored(docs, levels), langs).join(by_word, KEY, "left")
-    return judged(rows, band).where("q_kept").select(*docs.columns)
+    """The rows of docs that pass, with their columns, whatever their names."""
+    verdicts, _, _ = judge(docs, ws)
+    key = ["q_key", "q_key_too", "q_lang"]
+    gone = ws.save(verdicts.where("not q_kept").select("q_key", "q_key_too", F.xxhash64("lang").alias("q_lang")).distinct(), "gone")
+    rows = keyed(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("q_row"), "lang", "text")).drop("lang", "text")
+    return rows.join(gone, key, "left_anti").select("q_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = judge(table(spark, sf_dir, "documents"), Workspace(spark, "op9"))
-    return rows.select("doc_id", *[F.col(f"q_{s}").alias(s) for s in STATS], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_nll").alias("nll"), F.col("q_word_nll").alias("word_nll"))
+    return rows.select("doc_id", *[F.col(f"q_{s}").alias(s) for s in STATS], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_nll").alias("nll"), F.col("q_nll_one").alias("nll_one"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -13,14 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import Workspace, table
-from quillmark.llm.text import WORDS, WORDS_TOO, chunks, row_of, spans, sums, word_hashes, words
+from quillmark.llm.text import chunks, mix, row_of, windows, word_hashes, words
 
 WINDOW, GRAM = 50, 20
 
 
 def variant(text: bytes) -> int:
     """Tells rows of one doc_id with different texts apart."""
-    return zlib.crc32(text) & 0x7FFF
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def run_hashes(hashes: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of hashes[start : start + n] for each of the runs, which lie one after another."""
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    each = mix(hashes[np.repeat(start, n) + at] ^ mix(at.astype(np.uint64) + np.uint64(1)))
+    return mix(np.add.reduceat(each, np.cumsum(n) - n) + n.astype(np.uint64))
 
 
 def owners(grams: np.ndarray, width: int) -> np.ndarray:
@@ -47,7 +54,7 @@ def anchors(window: int, gram: int):
     pick form a run; its hash covers all words of its windows. A row is
     (anchor, span, doc_id, variant, first window, windows).
     """
-    schema = pa.schema([("anchor", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("variant", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("variant", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,9 +64,9 @@ def anchors(window: int, gram: int):
                 n = len(starts)
                 if n < window:
                     continue
-                prefix = sums(word_hashes(data, starts, ends, lower=False), WORDS)
-                at = np.arange(n - gram + 1)
-                owner = owners(spans(prefix, at, at + gram, WORDS), window - gram + 1)
+                hashes = word_hashes(data, starts, ends, lower=False)
+                grams = windows(hashes, gram)
+                owner = owners(grams, window - gram + 1)
                 rows = row_of(by_row)
                 valid = np.flatnonzero(rows[: n - window + 1] == rows[window - 1 :])
                 if not len(valid):
@@ -70,13 +77,13 @@ def anchors(window: int, gram: int):
                 row = rows[s1]
                 raw = data.tobytes()
                 kinds = {r: variant(raw[offsets[r] : offsets[r + 1]]) for r in np.unique(row)}
-                a = owner[s1]
+                a, whole = owner[s1], windows(hashes, window)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(spans(prefix, a, a + gram, WORDS).view(np.int64)),
-                        pa.array(spans(prefix, s1, s2 + window, WORDS).view(np.int64)),
+                        pa.array(grams[a].view(np.int64)),
+                        pa.array(run_hashes(whole, s1, s2 - s1 + 1).view(np.int64)),
                         pa.array(ids[first + row].astype(np.int64)),
-                        pa.array([kinds[r] for r in row], pa.int32()),
+                        pa.array([kinds[r] for r in row], pa.int64()),
                         pa.array((s1 - by_row[row]).astype(np.int32)),
                         pa.array((s2 - s1 + 1).astype(np.int32)),
                     ],
@@ -91,10 +98,10 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zip_ = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([variant(t) for t in texts], pa.int32()), pa.array([zip_.compress(t) for t in texts], pa.binary())], ["doc_id", "variant", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([variant(t) for t in texts], pa.int64()), pa.array([zip_.compress(t) for t in texts], pa.binary())], ["doc_id", "variant", "packed"])
 
 
-PACKED = "doc_id long, variant int, packed binary"
+PACKED = "doc_id long, variant long, packed binary"
 
 
 def window_hashes(window: int):
@@ -106,10 +113,9 @@ def window_hashes(window: int):
             for doc_id, kind, zipped, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 data = np.frombuffer(unzip.decompress(zipped), np.uint8)
                 starts, ends, _ = words(data, np.array([0, len(data)]))
-                h = word_hashes(data, starts, ends, lower=False)
                 at = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["n"]) for r in runs]))
-                one, two = (spans(sums(h, p), at, at + window, p).view(np.int64) for p in (WORDS, WORDS_TOO))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(at), doc_id)), pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32))], ["w1", "w2", "doc_id", "variant", "place"])
+                one, two = (windows(word_hashes(data, starts, ends, lower=False, seed=k), window)[at].view(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(at), doc_id)), pa.array(np.full(len(at), kind)), pa.array(at.astype(np.int32))], ["w1", "w2", "doc_id", "variant", "place"])
 
     return run
 
@@ -155,7 +161,7 @@ def repeats(docs: DataFrame, ws: Workspace, *, window: int = WINDOW, gram: int =
     counts and smallest ids are taken of a group, so no pairs arise in it.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    runs = ws.save(docs.mapInArrow(anchors(window, gram), "anchor long, span long, doc_id long, variant int, first int, n int"), "runs")
+    runs = ws.save(docs.mapInArrow(anchors(window, gram), "anchor long, span long, doc_id long, variant long, first int, n int"), "runs")
     seeds = runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("span") != F.max("span")).alias("mixed"))
     seeds = seeds.where("a < b").select("anchor", "mixed", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     seeded = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(seeds, ["anchor", "salt"]).drop("salt")
@@ -166,7 +172,7 @@ def repeats(docs: DataFrame, ws: Workspace, *, window: int = WINDOW, gram: int =
     same = placed.where("doc_id > first_doc").select("doc_id", "variant", F.col("first").alias("start"), (F.col("first") + F.col("n") + (window - 1)).alias("stop"))
     asked = placed.where("mixed and doc_id = first_doc").groupBy("doc_id", "variant").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     texts = docs.mapInArrow(packed, PACKED).join(asked, ["doc_id", "variant"]).select("doc_id", "variant", "packed", "runs")
-    hashes = ws.save(texts.mapInArrow(window_hashes(window), "w1 long, w2 long, doc_id long, variant int, place int"), "windows")
+    hashes = ws.save(texts.mapInArrow(window_hashes(window), "w1 long, w2 long, doc_id long, variant long, place int"), "windows")
     parts = with_first(hashes, ["w1", "w2"], salts).where("doc_id > first_doc")
     parts = parts.select("doc_id", "variant", F.col("place").alias("start"), (F.col("place") + window).alias("stop"))
     return same.union(parts)

@@ -1,12 +1,13 @@
-"""Words of Arrow text columns and rolling hashes over them, in numpy.
+"""Words of Arrow text columns and hashes of words and of runs of words, in numpy.
 
-A chunk is the bytes of some rows and their offsets. Hashes are 64-bit
-polynomials (mod 2**64, odd base) whose prefix sums give the hash of any span,
-then mixed. They depend on content alone, not on the chunk.
+A chunk is the bytes of some rows and their offsets. Hashes have 64 bits, depend
+on content alone and not on the chunk, and mix every step (no polynomial, whose
+collisions don't depend on its base).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,28 +19,9 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BYTE_CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64 - 1, 256, dtype=U64)
-LOWER_CODES = BYTE_CODES[LOWER]
-
-
-class Powers:
-    """Powers of an odd base and of its inverse mod 2**64, made as far as they are needed."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            made = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(made, base, U64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=U64))
-        return self.up[:n], self.down[:n]
-
-
-BYTES, WORDS, WORDS_TOO = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95), Powers(0xA0761D6478BD642F)
+#: The low k bytes of a block; longer words than LONG bytes are hashed on their own.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+LONG = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,19 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def sums(codes: np.ndarray, powers: Powers) -> np.ndarray:
-    """Prefix sums of codes[i] x base**i, with a 0 in front."""
-    out = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * powers.upto(len(codes))[0], out=out[1:])
-    return out
-
-
-def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
-    """Hash of each span [start, end) of the codes that prefix was made from."""
-    raw = (prefix[end] - prefix[start]) * powers.upto(len(prefix))[1][start]
-    return mix(raw + (end - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-
-
 def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of at most `most` bytes, or of one longer row; null is empty."""
     column = pc.fill_null(column, "") if column.null_count else column
@@ -92,8 +61,37 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower: bool) -> np.ndarray:
-    return spans(sums((LOWER_CODES if lower else BYTE_CODES)[data], BYTES), starts, ends, BYTES)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower: bool, seed: int = 0) -> np.ndarray:
+    """A hash of each word, block by block of eight bytes; seeds give independent ones."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if lower else data
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(0xC2B2AE3D27D4EB4F) * U64(seed + 1))
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest()
+        out[i] = int.from_bytes(digest, "little")
+    left, done = np.flatnonzero(size <= LONG), 0
+    while len(left):
+        block = blocks[starts[left] + done] & MASKS[np.minimum(size[left] - done, 8)]
+        out[left] = mix((out[left] ^ block) * U64(0x9E3779B97F4A7C15) + U64(1))
+        done += 8
+        left = left[size[left] > done]
+    return out
+
+
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` hashes in a row, from those of its two halves."""
+    known = {1: hashes}
+
+    def of(n: int) -> np.ndarray:
+        if n not in known:
+            a, b = of(n // 2), of(n - n // 2)
+            many = max(0, len(hashes) - n + 1)
+            known[n] = mix(a[:many] * U64(0xD1342543DE82EF95) + b[n // 2 : n // 2 + many])
+        return known[n]
+
+    return of(size)
 
 
 def counts(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -38,40 +38,6 @@ def test_counts_match_brute_force(spark):
         assert not (r.q_base_failed and r.q_kept)
 
 
-def plain_model(texts):
-    """Interpolated modified Kneser-Ney by its definition."""
-    grams = Counter()
-    for t in texts:
-        c = [0] * (q.ORDER - 1) + [int(q.CLASSES[b]) for b in t.encode()]
-        grams.update(tuple(c[i : i + q.ORDER]) for i in range(len(c) - q.ORDER + 1))
-    orders = {q.ORDER: grams}
-    for k in range(q.ORDER - 1, 0, -1):
-        orders[k] = Counter(g[1:] for g in orders[k + 1])
-    ds = {k: q.discounts(np.array(list(orders[k].values()))) for k in orders}
-
-    def p(g):
-        if not g:
-            return 1 / q.SYMBOLS
-        seen = {x: c for x, c in orders[len(g)].items() if x[:-1] == g[:-1]}
-        if not seen:
-            return p(g[1:])
-        d, total, c = ds[len(g)], sum(seen.values()), seen.get(g, 0)
-        return (c - d[min(c, 3)]) / total + sum(d[min(x, 3)] for x in seen.values()) / total * p(g[1:])
-
-    return p
-
-
-def test_model_matches_definition(spark):
-    texts = ["the cat sat on the mat", "a cat, a hat! 12", "é für"]
-    levels, p, rng = q.fit(rows(spark, texts)), plain_model(texts), random.Random(1)
-    grams = [tuple(int(q.CLASSES[b]) for b in t.encode()[i : i + 4]) for t in texts for i in range(3)]
-    grams += [tuple(rng.randrange(q.SYMBOLS) for _ in range(4)) for _ in range(20)] + [(20, 8, 5, x) for x in range(10)]
-    codes = np.array([sum(s * q.SYMBOLS ** (3 - i) for i, s in enumerate(g)) for g in grams])
-    assert q.log_probability(levels, codes) == pytest.approx([np.log(p(g)) for g in grams], abs=1e-4)
-    context = np.array([20 * q.SYMBOLS**3 + 8 * q.SYMBOLS**2 + 5 * q.SYMBOLS + x for x in range(q.SYMBOLS)])
-    assert np.exp(q.log_probability(levels, context)).sum() == pytest.approx(1, abs=1e-4)
-
-
 def test_gibberish_goes_and_prose_stays(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     junk = spark.createDataFrame([(-1, " ".join(f"q{i % 7}xz#$&zzq{i * 7919 % 1000}" for i in range(400)), "en"), (-2, "eeee aeae " + " ".join("e" * (i % 17 + 1) for i in range(400)), "fr")], docs.schema)
@@ -114,42 +80,88 @@ def test_word_level_nonsense_goes(spark):
     got = q.judge(docs, Workspace(spark, "t"))[0].collect()
     kept = {r.doc_id: r.q_kept for r in got}
     assert not kept[-1] and not kept[-2] and not kept[-3]
-    by_word = {r.doc_id: r.q_word_nll for r in got}
+    by_word = {r.doc_id: r.q_nll for r in got}
     assert min(by_word[-1], by_word[-2]) > max(n for d, n in by_word.items() if 0 <= d < 1000) + 1
     assert by_word[-3] > max(n for d, n in by_word.items() if d >= 1000) + 1
-    gone = [(r.doc_id, r.q_nll, r.q_low, r.q_high, r.q_base_failed, r.q_word_nll) for r in got if r.doc_id >= 0 and not r.q_kept]
+    gone = [(r.doc_id, r.q_nll, r.q_low, r.q_high, r.q_base_failed) for r in got if r.doc_id >= 0 and not r.q_kept]
     assert len(gone) <= 5, gone[:8]
     assert {r.doc_id for r in q.keep_good(docs, Workspace(spark, "t")).collect()} == {d for d, k in kept.items() if k}
 
 
-def test_word_model_matches_definition(spark):
+def defined(texts, halves):
+    """Mean negative log probability of each text by the other half: interpolated modified Kneser-Ney of pairs, and its lowest order."""
+    out = []
+    for text, half in zip(texts, halves):
+        grams = Counter()
+        for t, h in zip(texts, halves):
+            if h != half:
+                w = [None, *t.split()]
+                grams.update(zip(w, w[1:]))
+        kinds = Counter(v for _, v in grams)
+        d, low = (q.discounts(np.array([sum(c == k for c in o.values()) for k in (1, 2, 3, 4)])) for o in (grams, kinds))
+
+        def one(v, kinds=kinds, low=low):
+            return (kinds[v] - low[min(kinds[v], 3)] + sum(low[min(c, 3)] for c in kinds.values()) / q.CLASSES) / sum(kinds.values())
+
+        def both(u, v, grams=grams, d=d, one=one):
+            seen = {g: c for g, c in grams.items() if g[0] == u}
+            if not seen:
+                return one(v)
+            c = grams[u, v]
+            return (c - d[min(c, 3)] + sum(d[min(x, 3)] for x in seen.values()) * one(v)) / sum(seen.values())
+
+        w = [None, *text.split()]
+        out.append((np.mean([-np.log(both(*g)) for g in zip(w, w[1:])]), np.mean([-np.log(one(v)) for v in w[1:]])))
+    return out
+
+
+def test_scores_match_definition(spark, monkeypatch):
+    monkeypatch.setattr(q, "RANGE", 50)
+    monkeypatch.setattr(q, "CHUNK", 300)
     rng = random.Random(7)
-    texts = [" ".join(rng.choice("abcdef") for _ in range(60)) for _ in range(12)]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(20, 60))) for _ in range(14)]
     docs = rows(spark, texts, langs=("en",))
+    halves = {r.doc_id: r.q_round % 2 for r in q.keyed(docs).collect()}
+    want = defined(texts, [halves[i] for i in range(len(texts))])
     ws = Workspace(spark, "t")
-    langs = ws.save(q.most_common(docs), "langs")
-    got = {(r.q_key, r.q_key_too): r.q_word_nll for r in q.word_scores(docs, langs, ws).collect()}
-    info = {r.doc_id: (r.q_key, r.q_key_too, r.half) for r in q.keyed(docs, langs).collect()}
-    for half in (0, 1):
-        orders = {3: Counter()}
-        for i, t in enumerate(texts):
-            if info[i][2] == half:
-                w = ["", "", *t.split()]
-                orders[3].update(zip(w, w[1:], w[2:]))
-        orders[2] = Counter(g[1:] for g in orders[3])
-        orders[1] = Counter(g[1:] for g in orders[2])
-        ds = {k: q.discounts(np.array(list(o.values()))) for k, o in orders.items()}
-
-        def p(g, orders=orders, ds=ds):
-            if not g:
-                return 1 / (len(orders[1]) + 1)
-            seen = {x: c for x, c in orders[len(g)].items() if x[:-1] == g[:-1]}
-            if not seen:
-                return p(g[1:])
-            d, total, c = ds[len(g)], sum(seen.values()), seen.get(g, 0)
-            return (c - d[min(c, 3)] + sum(d[min(x, 3)] for x in seen.values()) * p(g[1:])) / total
-
-        for i, t in enumerate(texts):
-            if info[i][2] != half:
-                w = ["", "", *t.split()]
-                assert got[info[i][:2]] == pytest.approx(np.mean([-np.log(p(g)) for g in zip(w, w[1:], w[2:])]), abs=1e-9)
+    got = {r.doc_id: (r.q_nll, r.q_nll_one) for r in q.scores(docs, q.fit(docs, ws), ws).collect()}
+    for i, w in enumerate(want):
+        assert got[i] == pytest.approx(w, abs=2e-4)
+
+
+def test_pair_hash_is_a_bijection_and_numbers_round_trip():
+    rng = np.random.default_rng(1)
+    left, right = (rng.integers(0, q.CLASSES, 5000, dtype=np.uint64) for _ in range(2))
+    h = q.pair_hash(left, right)
+    back = q.pair_classes(h)
+    assert (back[0] == left).all() and (back[1] == right).all() and h.max() < 1 << 2 * q.CLASS_BITS
+    s = np.unique(h)
+    assert (q.unstepped(q.steps(s)) == s).all() and len(q.unstepped(q.steps(s[:0]))) == 0
+    at = q.ranges_of(s, 7)
+    assert at[0] == 0 and at[-1] == len(s) and all(int(x) * 7 >> 2 * q.CLASS_BITS == k for k in range(7) for x in s[at[k] : at[k + 1]])
+
+
+def test_verdict_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = q.judge(docs, Workspace(spark, "t"))[0].collect()
+    by = {}
+    for r in got:
+        if not r.q_base_failed and r.q_nll is not None:
+            by.setdefault(r.lang, []).append((round(r.q_nll, 3), round(r.q_nll_one, 3)))
+    band = {k: np.percentile(np.array(v), (25, 50, 75), axis=0) for k, v in by.items()}
+    for r in got:
+        want = not r.q_base_failed
+        if want and r.q_nll is not None:
+            b, short = band[r.lang], 9 / np.sqrt(max(1, r.q_n_tokens))
+            high = b[2, 0] + max(2 * (b[2, 0] - b[1, 0]), q.LEAST_BAND) + short
+            low = b[0, 1] - max(2 * (b[1, 1] - b[0, 1]), q.LEAST_BAND) - short
+            want = r.q_nll <= high + 1e-9 and r.q_nll_one >= low - 1e-9
+        assert r.q_kept == want, r
+
+
+def test_extra_columns_may_have_any_name(spark):
+    texts = [" ".join(f"w{(i * 7 + k * k) % 60}" for k in range(90)) for i in range(8)]
+    names = ["q_key", "q_key_too", "q_lang", "q_round", "q_row", "middle", "q_kept", "half"]
+    docs = rows(spark, texts).select("doc_id", "text", "lang", *[q.F.lit(7).alias(n) for n in names])
+    kept = q.keep_good(docs, Workspace(spark, "t"))
+    assert kept.columns == docs.columns and all(r[n] == 7 for r in kept.collect() for n in names)
