@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,54 +22,81 @@ SCHEMA = (
 )
 
 
-#: What may follow letters as a token of its own (no apostrophe: 's and the like are tokens).
+# How a tokenizer must be defined so that a text's ids are its words' ids in a row.
+LOWER_WORDS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+NO_SPACE = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: What may follow letters as a token of its own there (no apostrophe: 's and the like are tokens).
 PUNCTUATION = ".,;:!?*$%&#|<>()[]{}=+/\\\"-_@^~"
 #: Byte-level BPE writes a byte that is no visible character as one from 256 on, in order.
 BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
-class Ids(dict):
-    """Ids of words as little-endian unsigned 32-bit bytes, found on first use.
+@cache
+def tokenizer_of(path: str):
+    """One for each Python worker, and whether it drops white space and lets no token span it."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    made = json.loads(t.to_str())
+    return t, made["normalizer"] == LOWER_WORDS and made["pre_tokenizer"] == NO_SPACE and made["model"]["type"] == "BPE"
+
 
-    The tokenizer drops white space and lets no token span it, so a text's ids
-    are its words' ids in a row. Beyond `most` words the memory starts anew.
+class Ids:
+    """Ids of texts as little-endian unsigned 32-bit bytes; those of words are kept from their first use.
+
+    Words that are tokenized and words that are put together from others (with
+    capitals or punctuation) have a memory each; a full one loses its older
+    half. A tokenizer of another kind than LOWER_WORDS and NO_SPACE gets whole
+    texts.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
-        super().__init__()
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 400_000, most_forms: int = 100_000) -> None:
+        self.tokenizer, self.by_word = tokenizer_of(path)
+        self.known, self.forms, self.most, self.most_forms = {}, {}, most, most_forms
+
+    def encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+    def word(self, word: bytes) -> bytes:
+        return self.known.get(word) or self.forms.get(word) or self.learn(word)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def learn(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         stem = text.rstrip(PUNCTUATION)
         low = stem.lower()
         if not low.isalpha() or max(low) >= "\u0250":
-            out = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            out = self.encoded(text)
         elif stem != text:  # letters and what follows them are tokens of their own
-            out = self[stem.encode()] + self[text[len(stem) :].encode()]
+            return self.keep(self.forms, self.most_forms, word, self.word(low.encode()) + self.word(text[len(stem) :].encode()))
         elif low != stem:  # Latin letters fold alone
-            out = self[low.encode()]
+            return self.keep(self.forms, self.most_forms, word, self.word(low.encode()))
         else:  # nothing to normalise or to split: straight to the vocabulary
-            out = self.packed([t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_LEVEL))])
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out
-        return out
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_LEVEL))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        return self.keep(self.known, self.most, word, out)
 
     @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def keep(memory: dict, most: int, word: bytes, out: bytes) -> bytes:
+        if len(memory) >= most:
+            for old in list(islice(memory, most // 2)):
+                del memory[old]
+        memory[word] = out
+        return out
 
     def text(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-@cache
-def known_ids(path: str) -> Ids:
-    """One for each Python worker, which lives on from task to task."""
-    return Ids(path)
+        if not self.by_word:
+            return self.encoded(text.decode("utf-8", "replace"))
+        if b"<|" not in text:  # special tokens' names stay as they are; else A-Z fold alone
+            text = text.lower()
+        known, forms, learn = self.known.get, self.forms.get, self.learn
+        return b"".join([known(w) or forms(w) or learn(w) for w in text.split()])
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -81,7 +110,7 @@ def cut_documents(path: str, window: int, unit: int, end_id: int):
     last = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = known_ids(path)
+        ids = Ids(path)  # its memory goes with the task
         schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("window_crcs", pa.list_(pa.int64())), ("units", pa.int32()), ("body_crc", pa.int64()), ("head_crcs", pa.list_(pa.int64())), ("end_crcs", pa.list_(pa.int64())), ("tail", pa.binary())])
         w, u = 4 * window, 4 * unit
         for batch in batches:

@@ -50,13 +50,21 @@ def test_edge_cases(spark):
 
 
 def test_words_give_the_texts_ids():
-    t, ids, rng = Tokenizer.from_file(tokenizer_path()), Ids(tokenizer_path(), most=50), np.random.default_rng(3)
+    t, ids, rng = Tokenizer.from_file(tokenizer_path()), Ids(tokenizer_path(), most=50, most_forms=20), np.random.default_rng(3)
     parts = ["Don't", "it's", "ΑΣ", "é", "é", "́", "１２", "12", "!?", "<|startoftext|>", "日本", "😀", "ß", " ", " ", "x'll", "'s", "İ", "\x00", "\x1c", "a_b", "...", "ǅ", "ﬁ", "Été", "ÖL", ".", ",", "Thing", "K", "Å", "ſ"]
     for _ in range(500):
         text = "".join(rng.choice([" ", "", "\n", "\t"]) + rng.choice(parts) for _ in range(rng.integers(0, 12)))
         assert np.frombuffer(ids.text(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_other_tokenizers_get_whole_texts():
+    path = tokenizer_path("byte_bpe_50k.json")
+    t, ids = Tokenizer.from_file(path), Ids(path)
+    assert not ids.by_word and Ids(tokenizer_path()).by_word
+    for text in ("Two  words, and a\nline's end ", "", "é 日本"):
+        assert np.frombuffer(ids.text(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_patterns_use_no_more_than_there_is():
     rng = np.random.default_rng(1)
     for _ in range(20):
