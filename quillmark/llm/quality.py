@@ -247,10 +247,10 @@ def fit(docs: DataFrame, ws: Workspace) -> Model:
     rows = keyed(docs.select("lang", "text")).select((F.col("q_round") % 2).alias("half"), "q_lang", "text")
     found = rows.mapInArrow(count_pairs(n_ranges), COUNTS).repartition("half", "place").sortWithinPartitions("half", "place")
     got = ws.save(found.mapInArrow(merge_pairs, COUNTS), "pairs")
-    stats = got.where("place < 0").repartition("half", "place").sortWithinPartitions("half", "place").mapInArrow(add_up, COUNTS)
+    stats = got.where("place < 0").repartition(2 * PIECES, "half", "place").sortWithinPartitions("half", "place").mapInArrow(add_up, COUNTS)
     of, seen = np.zeros((2, 5, CLASSES), np.int64), np.zeros((2, 4), np.int64)
     wide = CLASSES // PIECES
-    for r in stats.toLocalIterator():  # 2 * PIECES rows of fixed size
+    for r in stats.collect():  # 2 * PIECES rows of fixed size
         i = -1 - r.place
         of[r.half, :, i * wide : (i + 1) * wide] = unsqueezed(r.hashes).reshape(5, wide)
         seen[r.half] += unsqueezed(r.counts).astype(np.int64)
