@@ -81,3 +81,9 @@ def prefix_sums(df: DataFrame, groups: list[str], order: list[str], sums: dict[s
     local = df.withColumns({k: F.coalesce(F.sum(c).over(own), F.lit(0)) for k, c in sums.items()})
     same = [local.q_part == offsets.q_part, *[local[g].eqNullSafe(offsets[g]) for g in groups]]
     return local.join(offsets, same).select(*[local[c] for c in df.columns], *[(local[k] + offsets[f"q_off_{k}"]).alias(k) for k in sums])
+
+
+def numbered(ws: Workspace, df: DataFrame, order: list[str], number: str) -> DataFrame:
+    """df with its rows numbered from 0 in the order of the columns."""
+    placed = ranged(ws, df.withColumn("q_one", F.lit(1).cast("long")), order, f"ranged-{number}")
+    return prefix_sums(placed, [], order, {number: "q_one"}).drop("q_one", "q_part")

@@ -63,7 +63,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     want = lines_brute(want)
     assert {r.doc_id: (r.text, r.source) for r in outs[1].collect()} == want
     assert all(r.n_chars == len(r.text) for r in outs[1].collect())
-    groups = near_brute([(d, t) for d, (t, _) in want.items()])
+    groups = near_brute([(d, t) for d, (t, _) in want.items()], size=5)
     want = {d: v for d, v in want.items() if groups[d][1] == d}
     assert {r.doc_id: (r.text, r.source) for r in outs[2].collect()} == want
     mixed = outs[3].collect()
