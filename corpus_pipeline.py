@@ -23,10 +23,16 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates stays."""
-    rows = near_dedup.near_duplicates(docs, Workspace(spark, "stage-near"))
-    gone = rows.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates stays: one with the smallest doc_id of the group.
+
+    Near-duplicates share 80 % of their shingles of five words. Rows without a
+    word or with a null doc_id stay; of repeated rows one stays.
+    """
+    ws = Workspace(spark, "stage-near")
+    rows = ws.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "rows")
+    found = near_dedup.near_duplicates(rows.select("row", "doc.doc_id", "doc.text"), ws, size=5, percent=80, row="row")
+    gone = ws.save(found.where("not first").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
