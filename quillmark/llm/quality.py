@@ -32,7 +32,7 @@ from quillmark.llm.text import NOT_SPACE, chunks, counts, mix, row_of, windows,
 CLASS_BITS = 20
 CLASSES = 1 << CLASS_BITS
 #: Texts are read in chunks of so many bytes; a range of pairs is for so many bytes of text; texts are scored in so many rounds.
-CHUNK, RANGE, ROUNDS = 8 << 20, 12 << 20, 4
+CHUNK, RANGE, ROUNDS = 8 << 20, 4 << 20, 4
 #: Bands in quartile distances beyond the quartile, at least so wide in nats a word, and what chance allows short texts.
 SPREADS, LEAST_BAND, SHORT_BAND = 2.0, 0.6, 9.0
 #: Statistics of classes travel in so many pieces.
@@ -160,8 +160,21 @@ class Statistics:
         self.seen[half] += [(n == k).sum() for k in (1, 2, 3, 4)]
 
     def rows(self) -> list[tuple]:
-        wide = CLASSES // PIECES
-        return [(h, -1 - i, squeezed(self.of[h, :, i * wide : (i + 1) * wide].ravel()), squeezed(self.seen[h] * (i == 0))) for h in (0, 1) for i in range(PIECES) if self.of[h].any()]
+        """(half, -1 - piece, classes, their counts); the counts of counts end the first piece's."""
+        wide, out = CLASSES // PIECES, []
+        for h in (0, 1):
+            some = np.flatnonzero(self.of[h].any(axis=0))
+            at = np.searchsorted(some, np.arange(PIECES + 1) * wide)
+            for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+                if b > a or i == 0:
+                    out.append((h, -1 - i, steps(some[a:b]), squeezed(np.r_[self.of[h][:, some[a:b]].ravel(), self.seen[h] * (i == 0)])))
+        return out
+
+    def take(self, half: int, classes: bytes, numbers: bytes) -> None:
+        """Adds a row of rows()."""
+        at, n = unstepped(classes).astype(np.int64), unsqueezed(numbers).astype(np.int64)
+        self.of[half][:, at] += n[:-4].reshape(5, -1)
+        self.seen[half] += n[-4:]
 
 
 def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +192,10 @@ def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over Statistics.rows() sorted by half and place: their sums."""
     for (half, place), rows in grouped(batches, "half", "place"):
-        of, seen = 0, 0
+        stats = Statistics()
         for r in rows:
-            of, seen = of + unsqueezed(r["hashes"]), seen + unsqueezed(r["counts"])
-        yield arrow(COUNTS, [(half, place, squeezed(of), squeezed(seen))])
+            stats.take(half, r["hashes"], r["counts"])
+        yield arrow(COUNTS, [r for r in stats.rows() if r[:2] == (half, place)])
 
 
 KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -248,13 +261,10 @@ def fit(docs: DataFrame, ws: Workspace) -> Model:
     found = rows.mapInArrow(count_pairs(n_ranges), COUNTS).repartition("half", "place").sortWithinPartitions("half", "place")
     got = ws.save(found.mapInArrow(merge_pairs, COUNTS), "pairs")
     stats = got.where("place < 0").repartition(2 * PIECES, "half", "place").sortWithinPartitions("half", "place").mapInArrow(add_up, COUNTS)
-    of, seen = np.zeros((2, 5, CLASSES), np.int64), np.zeros((2, 4), np.int64)
-    wide = CLASSES // PIECES
-    for r in stats.collect():  # 2 * PIECES rows of fixed size
-        i = -1 - r.place
-        of[r.half, :, i * wide : (i + 1) * wide] = unsqueezed(r.hashes).reshape(5, wide)
-        seen[r.half] += unsqueezed(r.counts).astype(np.int64)
-    return Model(got.where("place >= 0"), [words_of(of[h], seen[h]) for h in (0, 1)], n_ranges)
+    total = Statistics()
+    for r in stats.collect():  # 2 * PIECES rows, of at most CLASSES classes in all
+        total.take(r.half, r.hashes, r.counts)
+    return Model(got.where("place >= 0"), [words_of(total.of[h], total.seen[h]) for h in (0, 1)], n_ranges)
 
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
