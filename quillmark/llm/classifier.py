@@ -14,7 +14,7 @@ from quillmark.llm.quality import IS_SYMBOL, repeated_lines, repeated_words
 from quillmark.llm.text import LOWER, NOT_SPACE, chunks, counts, mix, row_of, word_hashes, words
 
 BUCKETS = 1 << 16
-#: The scorer is fit on at most about FIT_ROWS documents, taken by a hash of doc_id.
+#: The scorer is fit on about FIT_ROWS documents, taken by a hash of doc_id and text, and on no more than twice as many.
 FIT_ROWS, STEPS, PENALTY, THRESHOLD = 4096, 80, 1e-3, 0.5
 #: P(abstain), P(bad), P(good) in good and in bad texts, before any text is seen.
 PRIOR, PRIOR_SHARE, LEAST_LIFT = np.array([[0.38, 0.02, 0.6], [0.2, 0.3, 0.5]]), 0.02, 4.0
@@ -123,7 +123,8 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(row, bucket, value) of each row's byte trigrams (A-Z in lower case), with length 1."""
     low = np.r_[np.zeros(2, np.uint8), LOWER[data]].astype(np.uint64)
     rows = row_of(offsets)
-    gram = low[2:] | low[1:-1] << np.uint64(8) | low[:-2] << np.uint64(16)
+    at = np.arange(len(data)) - offsets[rows]  # nothing of the text before
+    gram = low[2:] | np.where(at > 0, low[1:-1], 0) << np.uint64(8) | np.where(at > 1, low[:-2], 0) << np.uint64(16)
     bucket = mix(gram + np.uint64(1)) & np.uint64(BUCKETS - 1)
     key, n = np.unique(rows.astype(np.uint64) << np.uint64(16) | bucket, return_counts=True)
     row, value = (key >> np.uint64(16)).astype(np.int64), np.sqrt(n)
@@ -174,14 +175,15 @@ def fit(docs: DataFrame, n_docs: int):
     """(weights, bias, P(vote | good), P(vote | bad), share of good)."""
     found = docs.select("text").mapInArrow(patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     v = unpack(np.array([r.pattern for r in found], np.int64))  # a row for each pattern, 3 ** labellers at most
-    good, bad, share = accuracies(v, np.array([r.n for r in found], float))
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, FIT_ROWS / max(1, n_docs)))))
-    got = part.select("text").mapInArrow(features, "pattern int, buckets array<int>, values array<float>").toArrow()  # about FIT_ROWS rows
-    label = posterior(unpack(got["pattern"].to_numpy().astype(np.int64)), good, bad, share)
+    good, bad, of_good = accuracies(v, np.array([r.n for r in found], float))
+    share = min(1.0, FIT_ROWS / max(1, n_docs))
+    part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_000)) < F.lit(int(1_000_000_000 * share))).limit(2 * FIT_ROWS)
+    got = part.select("text").mapInArrow(features, "pattern int, buckets array<int>, values array<float>").toArrow()  # at most 2 * FIT_ROWS rows
+    label = posterior(unpack(got["pattern"].to_numpy().astype(np.int64)), good, bad, of_good)
     sizes = got["buckets"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
     flat = lambda c: got[c].combine_chunks().flatten().to_numpy()
     w, b = train(np.repeat(np.arange(len(label)), sizes), flat("buckets").astype(np.int64), flat("values").astype(float), label)
-    return w, b, good, bad, share
+    return w, b, good, bad, of_good
 
 
 def classify(docs: DataFrame) -> DataFrame:
@@ -190,7 +192,9 @@ def classify(docs: DataFrame) -> DataFrame:
     All texts' votes are counted (a bounded number of patterns) to learn how far
     each labeller can be trusted; the posterior label of a bounded sample trains
     the scorer, which then scores all texts. Null text is empty and scores as
-    such. Repeated rows give a row each; an empty table gives an empty one.
+    such. Repeated rows give a row each, and rows with one text the same score;
+    a score of THRESHOLD itself is kept. Very long texts are read whole. Only
+    doc_id and text are read. An empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
     model = fit(docs, docs.count())
