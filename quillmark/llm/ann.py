@@ -85,20 +85,20 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
-def top_rows(query_ids, vec_ids, scores, k: int):
-    """Of each query the k best rows: largest score, ties to the smaller vec_id."""
-    order = np.lexsort((vec_ids, -scores, query_ids))
-    q = query_ids[order]
+def top_rows(query_rows, rows, vec_ids, scores, k: int):
+    """Of each query the k best rows: largest score, ties to the smaller vec_id, then row."""
+    order = np.lexsort((rows, vec_ids, -scores, query_rows))
+    q = query_rows[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
     order = order[rank < k]
-    return query_ids[order], vec_ids[order], scores[order]
+    return query_rows[order], rows[order], vec_ids[order], scores[order]
 
 
 class Block:
     """The index of one block of vectors: for each substring its different values and who has them."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray) -> None:
-        self.ids, self.x, self.codes = ids, x, codes
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray) -> None:
+        self.rows, self.ids, self.x, self.codes = rows, ids, x, codes
         self.values, self.holders, self.ends = [], [], []
         for j in range(codes.shape[1]):
             order = np.argsort(codes[:, j], kind="stable")
@@ -117,32 +117,36 @@ class Block:
         rows = np.flatnonzero(seen)
         return rows[ONES[self.codes[rows] ^ code].sum(axis=1) <= radius]
 
-    def search(self, query_ids, q, codes, radius: int, k: int):
+    def search(self, query_rows, q, codes, radius: int, k: int):
         out = []
-        for i in range(len(query_ids)):
-            rows = self.within(codes[i], radius)
-            rows = rows[self.ids[rows] != query_ids[i]]
-            score = self.x[rows] @ q[i]
-            if len(rows) > k:  # all that may tie with the k-th go on to exact scores
-                rows = rows[score >= np.partition(score, len(rows) - k)[len(rows) - k] - 1e-9 * (1 + np.abs(score).max())]
-            out.append(top_rows(np.full(len(rows), query_ids[i]), self.ids[rows], exact_scores(np.broadcast_to(q[i], (len(rows), q.shape[1])), self.x[rows]), k))
+        for i in range(len(query_rows)):
+            near = self.within(codes[i], radius)
+            near = near[self.rows[near] != query_rows[i]]
+            score = self.x[near] @ q[i]
+            if len(near) > k:  # all that may tie with the k-th go on to exact scores
+                near = near[score >= np.partition(score, len(near) - k)[len(near) - k] - 1e-9 * (1 + np.abs(score).max())]
+            exact = exact_scores(np.broadcast_to(q[i], (len(near), q.shape[1])), self.x[near])
+            out.append(top_rows(np.full(len(near), query_rows[i]), self.rows[near], self.ids[near], exact, k))
         return [np.concatenate(c) for c in zip(*out)]
 
 
+HITS = "query_row long, row long, vec_id long, score double"
+
+
 def searcher(model: dict, k: int):
     """For applyInArrow over (query block, row block): the best rows of the block for each query."""
 
     def run(rows: pa.Table) -> pa.Table:
         codes = Codes(**model)
         x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        ids, ask = rows["vec_id"].to_numpy(), rows["is_query"].to_numpy()
+        own, ids, ask = rows["row"].to_numpy(), rows["vec_id"].to_numpy(), rows["is_query"].to_numpy()
         packed = encode(x, codes.mean, codes.axes)
-        block = Block(ids[~ask], x[~ask], packed[~ask])
+        block = Block(own[~ask], ids[~ask], x[~ask], packed[~ask])
         if not ask.any() or ask.all():
-            q, v, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            found = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
         else:
-            q, v, s = block.search(ids[ask], x[ask], packed[ask], codes.radius, k)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+            found = block.search(own[ask], x[ask], packed[ask], codes.radius, k)
+        return pa.table([pa.array(c) for c in found], names=[f.split()[0] for f in HITS.split(", ")])
 
     return run
 
@@ -162,38 +166,45 @@ def nearest(vectors: DataFrame, ws: Workspace, *, k: int = NEAREST, every: int =
     a hash; every block of vectors is sent once for each block of queries, and
     returns k rows at most for each query. A query with fewer than k hits from
     all blocks is asked again without a radius, so that it has k rows, or all
-    others if there are fewer. Vectors whose dimension isn't the
-    commonest take no part, nor do those that usable() leaves out. Rows with
-    the same vec_id are vectors of their own and none is its own neighbour.
+    others if there are fewer.
+
+    Vectors are compared with those of their own dimension, each of which has
+    codes of its own; those that usable() leaves out take no part. Rows with the
+    same vec_id are vectors of their own: each asks, and is found by the others.
+    Only vec_id and embedding are read. An empty table gives an empty one.
     """
-    rows = usable(vectors)
-    common = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not common:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = ws.save(rows.where(F.size("embedding") == common[0].n), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toPandas()  # at most FIT_ROWS rows
+    rows = ws.save(usable(vectors).withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.size("embedding")), "vectors")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n, count in sorted(tuple(r) for r in rows.groupBy("n").count().collect()):  # a row for each dimension
+        out = out.union(nearest_of(rows.where(F.col("n") == n).drop("n"), count, ws, f"dim-{n}", k, every, row_block, query_block))
+    return out
+
+
+def nearest_of(rows: DataFrame, count: int, ws: Workspace, name: str, k: int, every: int, row_block: int, query_block: int) -> DataFrame:
+    """nearest() for `count` vectors of one dimension (row, vec_id, embedding)."""
+    sample = rows.orderBy(F.xxhash64("vec_id", "row"), "row").limit(FIT_ROWS).select("embedding").toPandas()  # at most FIT_ROWS rows
     model = fit(np.stack(sample["embedding"].to_numpy()))
-    row_blocks = -(-rows.count() // row_block)
+    row_blocks = -(-count // row_block)
 
     def hits(queries: DataFrame, n_q: int, model: Codes) -> DataFrame:
         query_blocks = max(1, -(-n_q // query_block))
         queries = queries.withColumn("is_query", F.lit(True))
-        queries = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-        others = rows.withColumn("is_query", F.lit(False)).withColumn("r_block", F.pmod(F.xxhash64(F.col("vec_id") + 1), F.lit(row_blocks)).cast("int"))
+        queries = queries.withColumn("q_block", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+        others = rows.withColumn("is_query", F.lit(False)).withColumn("r_block", F.pmod(F.xxhash64(F.col("row") + 1), F.lit(row_blocks)).cast("int"))
         others = others.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
         both = queries.unionByName(others)
-        return both.groupBy("q_block", "r_block").applyInArrow(searcher(vars(model), k), "query_id long, vec_id long, score double")
+        return both.groupBy("q_block", "r_block").applyInArrow(searcher(vars(model), k), HITS)
 
     queries = rows.where(F.col("vec_id") % every == 0)
-    found = ws.save(hits(queries, queries.count(), model), "found")
-    enough = found.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= k).select("vec_id")
-    short = ws.save(queries.join(enough, "vec_id", "left_anti").select(*rows.columns), "short")
+    found = ws.save(hits(queries, queries.count(), model), f"found-{name}")
+    enough = found.groupBy(F.col("query_row").alias("row")).count().where(F.col("count") >= k).select("row")
+    short = ws.save(queries.join(enough, "row", "left_anti").select(*rows.columns), f"short-{name}")
     n_short = short.count()
     if n_short:  # all bits: exact, and holds what the first search found
         again = hits(short, n_short, replace(model, radius=model.axes.shape[1]))
-        found = found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(again)
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("best"))
-    out = best.select("query_id", F.posexplode("best").alias("rank", "hit"))
+        found = found.join(enough.withColumnRenamed("row", "query_row"), "query_row", "left_semi").unionByName(again)
+    best = found.groupBy("query_row").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "row"))), 1, k).alias("best"))
+    out = best.join(queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row").select("query_id", F.posexplode("best").alias("rank", "hit"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.less")).alias("score"))
 
 

@@ -54,7 +54,7 @@ def test_probing_finds_every_code_in_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 16, (400, 3)).astype(np.uint16)
     codes[200:] = codes[:200] ^ (1 << rng.integers(0, 16, (200, 3))).astype(np.uint16)
-    block = ann.Block(np.arange(400), np.zeros((400, 2)), codes)
+    block = ann.Block(np.arange(400), np.arange(400), np.zeros((400, 2)), codes)
     for radius in (0, 2, 3, 7, 20):
         for c in codes[::40]:
             assert set(block.within(c, radius)) == set(np.flatnonzero(ann.distances(c[None], codes)[0] <= radius))
@@ -85,3 +85,19 @@ def test_every_candidate_where_there_are_few(spark):
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.standard_normal((21, 8)))]
     got, want = run(spark, rows), exact(rows)
     assert {q: [v for v, _ in h] for q, h in got.items()} == {q: [v for v, _ in h] for q, h in want.items()}
+
+
+def test_rows_with_one_id_and_other_dimensions(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.standard_normal((400, 16)))]
+    twice = [(400, rng.standard_normal(16).astype(np.float32).tolist()) for _ in range(2)]
+    short = [(1000 + i, rng.standard_normal(3).astype(np.float32).tolist()) for i in range(30)]
+    df = spark.createDataFrame([(i, e, 0, 0.0) for i, e in rows + twice + short], SCHEMA)
+    got = ann.nearest(df, Workspace(spark, "t")).collect()
+    own = [r for r in got if r.query_id == 400]
+    assert sorted(r.rank for r in own) == sorted([*range(1, 21)] * 2)
+    both = [np.array(e, float) for _, e in twice]
+    lists = [sorted(((-float(q @ np.array(e, float)), i) for i, e in [*rows, (400, o)]))[:20] for q, o in (both, both[::-1])]
+    found = {(r.rank, r.vec_id, round(r.score, 9)) for r in own}
+    assert np.mean([(k + 1, i, round(-s, 9)) in found for hits in lists for k, (s, i) in enumerate(hits)]) > 0.8
+    assert {r.vec_id for r in got if r.query_id in (1000, 1020)} <= {i for i, _ in short} and sum(r.query_id == 1000 for r in got) == 20
