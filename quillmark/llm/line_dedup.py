@@ -70,26 +70,32 @@ class LineRuns:
 def dedup_lines(
     docs: DataFrame, ws: Workspace, *, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, salts: int = 8
 ) -> DataFrame:
-    """docs, each row with q_n_lines, q_n_dropped and q_kept_text.
+    """doc, n_lines, n_dropped and kept_text of every row of docs; doc is the row itself, as a struct.
 
     A line's key is the line without white space at its ends, A-Z in lower
     case. Keys of min_chars or more that min_docs or more documents hold lose
     all their lines, but for those in the largest doc_id that holds the key.
 
-    The hashes of all long lines are written once, in `batches` by doc_id. Each
-    batch adds its sorted run to the levelled runs. Then the batches' lines are
-    joined with the runs' frequent hashes: what matches and isn't in the last
-    document is dropped. The frequent side is copied to `salts` salts, so that
-    a line that a third of all documents hold is dealt over that many tasks.
+    The hashes and places of all long lines are written once, in `batches` by
+    doc_id. Each batch adds its sorted run to the levelled runs. Then the
+    batches' lines are joined with the runs' frequent hashes: the places of what
+    matches and isn't in the last document are dropped. The frequent side is
+    copied to `salts` salts, so that a line that a third of all documents hold
+    is dealt over that many tasks.
 
     Null text is one empty line. Rows with the same doc_id count as one
-    document, and each gives a row of its own. Rows whose doc_id is null keep
-    all their lines and count for no key. An empty table gives an empty table.
+    document, and each gives a row of its own, by its own text. Rows whose
+    doc_id is null keep all their lines and count for no key. Very long texts
+    cost time in proportion to their lines. Columns of docs may have any name.
+    An empty table gives an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), line_key), lambda k: F.char_length(k) >= min_chars))
-    lines = docs.where("doc_id is not null").select("doc_id", F.explode(F.transform(keys, key_hash)).alias("k"))
-    lines = lines.select("doc_id", "k.h1", "k.h2", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+    by = ["doc_id", "key", "key_too"]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "doc_id", F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key_too"), text.alias("text"))
+    keys = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("place"), line_key(x).alias("k")))
+    long = F.filter(keys, lambda x: F.char_length(x["k"]) >= min_chars)
+    lines = rows.where("doc_id is not null").select(*by, F.explode(F.transform(long, lambda x: F.struct(x["place"], key_hash(x["k"]).alias("h")))).alias("x"))
+    lines = lines.select(*by, "x.place", "x.h.h1", "x.h.h2", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
     lines = ws.save(lines, "lines")
     runs = LineRuns(ws, fanout)
     for b in range(batches):
@@ -97,21 +103,20 @@ def dedup_lines(
     frequent = runs.frequent(min_docs).select("h1", "h2", "last_doc", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("h2", "doc_id"), F.lit(salts)).cast("int"))
     drops = salted.join(frequent, ["h1", "h2", "salt"]).where(F.col("doc_id") < F.col("last_doc"))
-    drops = drops.groupBy(F.col("doc_id").alias("q_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("q_drops"))
-    both = docs.join(drops, docs.doc_id == drops.q_id, "left").withColumn("q_lines", F.split(text, "\n"))
-    stays = F.filter("q_lines", lambda x: (F.char_length(line_key(x)) < min_chars) | ~F.array_contains(F.col("q_drops"), key_hash(line_key(x))))
-    both = both.withColumn("q_stays", F.when(F.col("q_drops").isNull(), F.col("q_lines")).otherwise(stays))
-    return both.select(
-        *[docs[c] for c in docs.columns],
-        F.size("q_lines").cast("long").alias("q_n_lines"),
-        (F.size("q_lines") - F.size("q_stays")).cast("long").alias("q_n_dropped"),
-        F.when(F.col("q_drops").isNull(), text).otherwise(F.array_join("q_stays", "\n")).alias("q_kept_text"),
-    )
+    drops = drops.groupBy(*by).agg(F.collect_list("place").alias("drops"))
+    both = rows.join(drops, by, "left").withColumn("lines", F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    kept = F.transform(F.array(F.struct(F.col("lines").alias("lines"), stay.alias("stay"))), lambda r: F.transform(r["stay"], lambda i: F.get(r["lines"], i)))  # an array of one: both are made once
+    both = both.withColumn("kept", F.when(F.col("drops").isNotNull(), F.get(kept, F.lit(0))))
+    n = F.size("lines").cast("long")
+    none = F.col("drops").isNull()
+    dropped = F.when(none, F.lit(0).cast("long")).otherwise(n - F.size("kept"))
+    return both.select("doc", n.alias("n_lines"), dropped.alias("n_dropped"), F.when(none, F.col("text")).otherwise(F.array_join("kept", "\n")).alias("kept_text"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark, "op10"))
-    return out.select("doc_id", F.col("q_n_lines").alias("n_lines"), F.col("q_n_dropped").alias("n_dropped"), F.sha2("q_kept_text", 256).alias("kept_sha256"))
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -15,22 +15,30 @@ def test_lines(spark):
     docs = {i: (t, "s") for i, t in enumerate(texts)}
     df = spark.createDataFrame([(i, t, "q", 1, "s") for i, (t, _) in docs.items()], SCHEMA)
     for batches, fanout in ((1, 2), (5, 2), (4, 4)):
-        got = {r.doc_id: r for r in dedup_lines(df, Workspace(spark, "t"), batches=batches, fanout=fanout, salts=3).collect()}
-        assert {d: r.q_kept_text for d, r in got.items()} == {d: t for d, (t, _) in lines_brute(docs).items()}
-        assert all(r.q_n_lines == len((docs[d][0] or "").split("\n")) for d, r in got.items())
-        assert all(r.q_n_lines - r.q_n_dropped == len(r.q_kept_text.split("\n")) for r in got.values() if r.q_kept_text)
+        got = {r.doc.doc_id: r for r in dedup_lines(df, Workspace(spark, "t"), batches=batches, fanout=fanout, salts=3).collect()}
+        assert {d: r.kept_text for d, r in got.items()} == {d: t for d, (t, _) in lines_brute(docs).items()}
+        assert all(r.n_lines == len((docs[d][0] or "").split("\n")) for d, r in got.items())
+        assert all(r.n_lines - r.n_dropped == len(r.kept_text.split("\n")) for r in got.values() if r.kept_text)
 
 
 def test_repeated_rows_null_ids_empty(spark):
     line = "a line that many rows repeat"
     rows = [(1, line), (1, line), (None, line), (2, line)]
     df = spark.createDataFrame([(d, t, "q", 1, None) for d, t in rows], SCHEMA)
-    assert all(r.q_n_dropped == 0 for r in dedup_lines(df, Workspace(spark, "t")).collect())  # two documents only
+    assert all(r.n_dropped == 0 for r in dedup_lines(df, Workspace(spark, "t")).collect())  # two documents only
     more = df.union(spark.createDataFrame([(3, line, "q", 1, None)], SCHEMA))
-    assert sorted((str(r.doc_id), r.q_n_dropped) for r in dedup_lines(more, Workspace(spark, "t")).collect()) == [("1", 1), ("1", 1), ("2", 1), ("3", 0), ("None", 0)]
+    assert sorted((str(r.doc.doc_id), r.n_dropped) for r in dedup_lines(more, Workspace(spark, "t")).collect()) == [("1", 1), ("1", 1), ("2", 1), ("3", 0), ("None", 0)]
     assert dedup_lines(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_rows_of_one_doc_id_go_by_their_own_text(spark):
+    line, other = "a line that many rows repeat", "a second line of some length"
+    rows = [(1, f"x\n{line}"), (1, f"{line}\nx\n{other}"), (2, line), (3, line)]
+    df = spark.createDataFrame([(d, t, "q", 1, None) for d, t in rows], SCHEMA)
+    got = sorted((r.doc.doc_id, r.kept_text) for r in dedup_lines(df, Workspace(spark, "t")).collect())
+    assert got == [(1, "x"), (1, f"x\n{other}"), (2, ""), (3, line)]
+
+
 def test_levels_stay_few(spark):
     runs = LineRuns(Workspace(spark, "t"), fanout=2)
     for b in range(5):
