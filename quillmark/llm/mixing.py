@@ -51,7 +51,10 @@ def mix(docs: DataFrame, ws: Workspace, *, seed: str = "mix", weights: tuple[int
     source may be cut there. No row is taken more than `most` times.
 
     Rows with the same doc_id are rows of their own; those alike in doc_id and
-    size are equal, and so is what they may get. Empty tables give empty ones.
+    size are equal, and so is what they may get. A null source is a source, the
+    last one; a source without words gets nothing. Very long texts are counted
+    whole. Only doc_id, source, text and `carry` are read of docs. Empty tables
+    give empty ones.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
     rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
@@ -68,16 +71,19 @@ def mix(docs: DataFrame, ws: Workspace, *, seed: str = "mix", weights: tuple[int
 
 
 def mixed(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The mix as rows of docs: one for each time a row is taken; the row at a source's cut holds its first words only."""
-    rows = ws.save(docs.withColumn("q_row", F.monotonically_increasing_id()), "rows")
-    taken = mix(rows, ws, carry=("q_row",)).where("taken > 0").select(F.col("q_row").alias("q_taken_row"), F.col("size").alias("q_size"), F.col("taken").alias("q_taken"))
-    whole = F.array_repeat(F.col("q_size"), F.floor(F.col("q_taken") / F.col("q_size")).cast("int"))
-    cut = F.col("q_taken") % F.col("q_size")
+    """The mix as rows of docs: one for each time a row is taken; the row at a source's cut holds its first words only.
+
+    Columns of docs may have any name. Rows without a word aren't taken.
+    """
+    rows = ws.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "rows")
+    taken = mix(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), ws, carry=("row",)).where("taken > 0").select("row", "size", "taken")
+    whole = F.array_repeat(F.col("size"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    cut = F.col("taken") % F.col("size")
     takes = F.concat(whole, F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))
-    out = rows.join(taken.withColumn("q_take", F.explode(takes)), rows.q_row == taken.q_taken_row)
-    start = F.slice(F.filter(F.split("text", SPACE + "+"), lambda w: w != ""), 1, F.col("q_take").cast("int"))
-    text = F.when(F.col("q_take") == F.col("q_size"), F.col("text")).otherwise(F.array_join(start, " "))
-    return out.withColumn("text", text).select(*docs.columns)
+    out = rows.join(taken.withColumn("take", F.explode(takes)), "row")
+    start = F.slice(F.filter(F.split("doc.text", SPACE + "+"), lambda w: w != ""), 1, F.col("take").cast("int"))
+    text = F.when(F.col("take") == F.col("size"), F.col("doc.text")).otherwise(F.array_join(start, " "))
+    return out.select(*[(text if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,18 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert check(packed.collect(), dict(rows)) < 2048
     assert sum(r.length for r in outs[4].collect()) == sum(r.length for r in packed.collect())
     assert sorted(corpus_pipeline.run(spark, sf_dir).select("doc_id", "start", "ids_crc32").collect()) == sorted(outs[4].select("doc_id", "start", "ids_crc32").collect())
+
+
+def test_stages_with_repeated_rows_nulls_and_any_column_names(spark, sf_dir):
+    names = ["middle", "q_lines", "q_take", "row", "doc", "key", "size", "q_key", "half", "salt", "first"]
+    words = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(3, words("x"), "a"), (3, words("x"), "a"), (5, words("x"), "a"), (5, words("y"), "b"), (6, None, None), (None, words("z"), "b"), (None, words("z"), "b"), (7, "", "c")]
+    df = spark.createDataFrame([(d, t, "en", s, len(t or ""), *[9] * len(names)) for d, t, s in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars int", *[f"`{n}` int" for n in names]]))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        for docs in (df, df.limit(0)):
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == df.columns
+            assert all(r[n] == 9 for r in out.collect() for n in names)
+    once = corpus_pipeline.one_of_each_group(spark, df, sf_dir).collect()
+    assert sorted(((r.doc_id, r.text) for r in once), key=repr) == sorted([(3, words("x")), (5, words("y")), (6, None), (7, ""), (None, words("z")), (None, words("z"))], key=repr)
+    assert corpus_pipeline.pack_sequences(spark, df, sf_dir).where("start = 0").count() == len(rows)
