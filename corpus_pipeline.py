@@ -15,11 +15,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines of three documents or more stay in the last of them only; n_chars follows."""
+    """Long lines of three documents or more stay in the last of them only; n_chars follows.
+
+    Null texts stay null. Rows keep their number and their other columns.
+    """
     out = line_dedup.dedup_lines(docs, Workspace(spark, "stage-lines"))
-    text = F.when(F.col("text").isNotNull(), F.col("q_kept_text"))
+    text = F.when(F.col("doc.text").isNotNull(), F.col("kept_text"))
     new = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(new).select(*docs.columns)
+    return out.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
