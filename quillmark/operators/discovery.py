@@ -50,3 +50,12 @@ def split_windows(start: int, end: int, total: Callable[[int, int], int], room:
 def period(today: str, years: int) -> str:
     """SQL for the day `years` before today; 29 February becomes the 28th."""
     return f"add_months(date'{today}', -12 * {int(years)})"
+
+
+def thread_ids(*found: DataFrame) -> DataFrame:
+    """thread_id: the ids of all sources (a column thread_id or id each), each once."""
+    one = [f.select(F.col("thread_id" if "thread_id" in f.columns else "id").cast("long").alias("thread_id")) for f in found]
+    out = one[0]
+    for f in one[1:]:
+        out = out.unionByName(f)
+    return out.where("thread_id is not null").distinct()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.session import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str] = ()) -> DataFrame:
     """old with new's rows by key; columns in `keep` stay as they were first. new: one row for each key."""
@@ -20,6 +22,25 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str] = ()) -> Da
     return both.select(*map(value, old.columns))
 
 
+def added(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, is_new of new's rows: whether upsert() inserts them."""
+    there = old.select(key).distinct().withColumn("there", F.lit(True))
+    return new.join(there, key, "left").select(key, F.col("there").isNull().alias("is_new"))
+
+
+def numbered(rows: DataFrame, order: str, number: str, after: int = 0) -> DataFrame:
+    """rows with numbers from after + 1 on, in the order of a column.
+
+    Ranges of the column are counted and numbered each for itself; only the
+    ranges' sizes, a row for each, meet in one place.
+    """
+    ranges = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(order))
+    return ranges.withColumn("own", own).join(sizes, "range").select(*rows.columns, (F.lit(after) + F.col("before") + F.col("own")).cast("long").alias(number))
+
+
 def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The row of each key with the largest order columns."""
     rest = [c for c in rows.columns if c != key and c not in order]

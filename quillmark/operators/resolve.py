@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import author_agrees, author_identities, authors_complete, normal_title, title_similarity
+from quillmark.functions.text import author_agrees, author_identities, authors_complete, normal_name, normal_title, title_similarity
+from quillmark.sources.config import excluded_works, reviewed_works
 
 TITLE_SCORE, MARGIN, GATE = 0.94, 0.04, 0.7
 GRAPHIC = r"(?i)\b(?:comics?|graphic novels?|manga)\b"
@@ -23,16 +24,26 @@ def gated(spans: DataFrame, require_author: bool = False) -> DataFrame:
     return out.where("author is not null or work_id is not null") if require_author else out
 
 
-def against_books(spans: DataFrame, books: DataFrame) -> DataFrame:
+def against_books(spans: DataFrame, books: DataFrame, version: int | None = None, review_digest: str | None = None) -> DataFrame:
     """span_id, book_id, confidence, n_books: spans that books of the library match.
 
     Titles have to be equal in normal form, so this is an equi-join, not a
     comparison of every span with every book; work links join on the link. A
-    span that several books match stays unresolved: book_id is null.
+    span that several books match stays unresolved: book_id is null. With a
+    version (or digest of reviews), books that another one resolved don't count,
+    so that their spans are looked up again. A work that reviews exclude for the
+    span's author matches by its link only.
     """
     s = spans.withColumn("normal", normal_title("title"))
+    if version is not None:
+        books = books.where(F.col("resolution_version") == version)
+    if review_digest is not None:
+        books = books.where(F.col("review_digest") == review_digest)
     b = books.select(F.col("id").alias("book_id"), "canonical_title", "openlibrary_id", "authors", F.col("normalized_title").alias("normal"))
     titled = s.where("work_id is null").join(b, "normal").where(F.col("author").isNull() | (author_agrees("author", "authors") & authors_complete("author", "authors")))
+    barred = F.broadcast(excluded_works(spans.sparkSession))  # a fixed list
+    titled = titled.join(barred, F.col("openlibrary_id") == F.col("excluded_key"), "left")
+    titled = titled.where(F.col("excluded_key").isNull() | F.col("author").isNull() | ~authors_complete("author", "excluded_authors"))
     linked = s.where("work_id is not null").join(b.withColumnRenamed("openlibrary_id", "work_id"), "work_id")
     hits = titled.select("span_id", "book_id", "title", "canonical_title").union(linked.select("span_id", "book_id", "title", "canonical_title"))
     hits = hits.withColumn("score", title_similarity("title", "canonical_title"))
@@ -41,6 +52,42 @@ def against_books(spans: DataFrame, books: DataFrame) -> DataFrame:
     return per.select("span_id", F.when(one, F.col("book_id")).alias("book_id"), F.when(one, F.greatest("score", F.lit(TITLE_SCORE))).otherwise(0.0).alias("confidence"), "n_books")
 
 
+LOOKUP = ("key", "candidate_title", "names", "subjects", "isbns", "year", "cover_i")
+MOST_FOUND = 8
+
+
+def looked_up(spans: DataFrame, found: DataFrame, works: DataFrame, authors: DataFrame) -> DataFrame:
+    """spans with a row for each record to choose from, LOOKUP.
+
+    found: answers of the catalogue's search: query (normal title), query_author
+    (normal name, null where it was asked without), place (from 0), and LOOKUP.
+    The first MOST_FOUND of an answer count. A span that links to a work has that
+    work's own record. One with an author has what was found with it, or, if
+    that is nothing, by the title alone. Where a review knows the span's title
+    and author, what was found for the reviewed work's own title joins in, unless
+    that work was found already.
+    """
+    named = works.select("key", F.explode_outer("author_keys").alias("author_key")).join(authors.select(F.col("key").alias("author_key"), "name"), "author_key", "left")
+    records = works.where("title <> ''").join(named.groupBy("key").agg(F.array_sort(F.collect_list("name")).alias("names")), "key")
+    none = F.lit(None)
+    records = records.select("key", F.col("title").alias("candidate_title"), "names", none.cast("array<string>").alias("subjects"), none.cast("array<string>").alias("isbns"), none.cast("int").alias("year"), none.cast("long").alias("cover_i"))
+    linked = spans.where("work_id is not null").join(records, F.col("work_id") == F.col("key"))
+
+    top = found.where(F.col("place") < MOST_FOUND).select("query", "query_author", *LOOKUP)
+    asks = spans.where("work_id is null").withColumns({"ask": normal_title("title"), "ask_author": F.when(F.col("author").isNotNull(), normal_name("author"))})
+    both = asks.join(top, (F.col("ask") == F.col("query")) & F.col("ask_author").eqNullSafe(F.col("query_author")))
+    alone = asks.where("author is not null").join(both.select("span_id").distinct(), "span_id", "left_anti").join(top.where("query_author is null"), F.col("ask") == F.col("query"))
+    columns = [*spans.columns, *LOOKUP]
+    own = both.select(*columns).union(alone.select(*columns))
+
+    reviewed = F.broadcast(reviewed_works(spans.sparkSession))  # a fixed list
+    meant = asks.where("author is not null").join(reviewed, F.array_contains("review_titles", F.col("ask"))).where(authors_complete("author", "review_authors"))
+    meant = meant.join(own.select(F.col("span_id").alias("had"), F.col("key").alias("had_key")), (F.col("span_id") == F.col("had")) & (F.col("reviewed_key") == F.col("had_key")), "left_anti")
+    meant = meant.withColumns({"own_title": normal_title("review_title"), "own_author": normal_name(F.get("review_authors", F.lit(0)))})
+    more = meant.join(top, (F.col("own_title") == F.col("query")) & F.col("own_author").eqNullSafe(F.col("query_author")))
+    return linked.select(*columns).union(own).union(more.select(*columns))
+
+
 def scored_candidates(candidates: DataFrame) -> DataFrame:
     """Adds what cascade() asks of each (span, candidate) row, by Arrow functions.
 

@@ -7,6 +7,10 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.text import html_parts
+from quillmark.operators.incremental import digest
+from quillmark.session import cut
+
 TEXT_CAP = 6000
 
 
@@ -20,18 +24,13 @@ def reachable(items: DataFrame, roots: DataFrame) -> DataFrame:
     level = seen
     edges = items.select("id", F.explode("kids").alias("kid"))
     for depth in count(1):
-        level = level.join(edges, "id").select(F.col("kid").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        level = cut(level.join(edges, "id").select(F.col("kid").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if not level.limit(1).count():
             break
         seen = seen.union(level)
     return seen.join(items.select("id"), "id", "left_semi")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed; on the executors where no checkpoint folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def depths(comments: DataFrame) -> DataFrame:
     """thread_id, reachable, depth: how many items hang on the thread's items without a stored parent, and how deep.
 
@@ -71,7 +70,26 @@ def ancestors(comments: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
 
 
 def model_input(comments: DataFrame, threads: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
-    """thread_id, id, payload (JSON) and its digest: what a model is shown of each comment."""
-    rows = ancestors(comments, cap).join(threads.select(F.col("id").alias("thread_id"), "title"), "thread_id")
-    payload = F.to_json(F.struct("title", "ancestors", F.struct(F.left("text", F.lit(cap)).alias("text")).alias("current_comment")))
-    return rows.select("thread_id", "id", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    """thread_id, id, payload (JSON) and its digest: what a model is shown of each comment.
+
+    Texts are plain. Those of the thread and of ancestors, which only give
+    context, end after `cap` characters; the comment itself is shown whole, with
+    its links. A comment without a stored thread has an empty title and text.
+    """
+    parsed = comments.withColumn("h", html_parts("text")).select("thread_id", "id", "parent_id", F.col("h.plain").alias("text"), F.col("h.links").alias("links"))
+    own = threads.select(F.col("id").alias("thread_id"), "title", (html_parts("text")["plain"] if "text" in threads.columns else F.lit("")).alias("about"))
+    rows = ancestors(parsed, cap).join(own, "thread_id", "left")
+    shown = F.struct(
+        F.coalesce("title", F.lit("")).alias("thread_title"),
+        F.left(F.coalesce("about", F.lit("")), F.lit(cap)).alias("thread_text"),
+        "ancestors",
+        F.struct("text", "links").alias("current_comment"),
+    )
+    return rows.select("thread_id", "id", F.to_json(shown).alias("payload")).withColumn("digest", F.sha2("payload", 256))
+
+
+def model_keys(inputs: DataFrame, backend: str, model: str, prompt: str, topics: list[str]) -> DataFrame:
+    """inputs with cache_key: the answer depends on who is asked, by which prompt, for which topics, about what."""
+    asked = {"backend": backend, "model": model, "prompt": prompt, "topics": "\n".join(sorted(topics))}
+    rows = inputs.withColumns({f"asked_{k}": F.lit(v) for k, v in asked.items()})
+    return rows.withColumn("cache_key", digest(*[f"asked_{k}" for k in asked], "payload")).drop(*[f"asked_{k}" for k in asked])

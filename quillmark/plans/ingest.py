@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quillmark.functions import classify, extract
 from quillmark.functions.text import html_parts, normal_title
 from quillmark.operators import incremental, ranking, resolve, reviews, search, tree
+from quillmark.session import cut
 from quillmark.sources.config import topics
 
 PROCESSOR = "rules-1"
+START_WORDS = 4
 
 
 def threads_of(items: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def comments_of(items: DataFrame, roots: DataFrame) -> DataFrame:
     while True:
         level = level.join(edges, "id").select(F.col("kid").alias("id"), "thread_id").distinct()
         level = level if found is None else level.join(found.select("id"), "id", "left_anti")
-        level = level.checkpoint()
+        level = cut(level)
         if not level.limit(1).count():
             break
         found = level if found is None else found.union(level)
@@ -38,18 +40,19 @@ def spans_of(comments: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """span_id, comment, raw, title, author, confidence, work_id, context, label of the mentions in comments.
 
     known (title): titles of the library. As the list grows with the library,
-    it is joined, not broadcast: a comment gets the titles whose first two
-    words, which a title must have, it holds.
+    it is joined, not broadcast: a comment gets the titles of two words or more
+    whose first words, up to START_WORDS of them, it holds in a row. So common
+    first words alone don't bring a title.
     """
     parsed = comments.withColumn("h", html_parts("text")).select("*", F.col("h.plain").alias("plain")).drop("h")
     titles = F.lit(None).cast("array<string>")
     if known is not None:
-        start = lambda c: F.array_join(F.slice(F.split(normal_title(c), " "), 1, 2), " ")
-        k = known.select("title", start("title").alias("pair")).where("instr(pair, ' ') > 0")
+        start = lambda c: F.array_join(F.slice(F.split(normal_title(c), " "), 1, START_WORDS), " ")
+        k = known.select("title", start("title").alias("start")).where("instr(start, ' ') > 0")
         words = F.split(normal_title("plain"), " ")
-        pairs = parsed.select("id", words.alias("w")).where("size(w) > 1")
-        pairs = pairs.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(2)), " ")))).alias("pair"))
-        held = pairs.join(k, "pair").groupBy("id").agg(F.array_sort(F.collect_set("title")).alias("known"))
+        runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+        starts = parsed.select("id", words.alias("w")).select("id", F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(2, START_WORDS + 1)]))).alias("start"))
+        held = starts.join(k, "start").groupBy("id").agg(F.array_sort(F.collect_set("title")).alias("known"))
         parsed, titles = parsed.join(held, "id", "left"), F.col("known")
     spans = parsed.withColumn("known_titles", titles).select("*", F.posexplode(extract.mentions_in_known("text", "known_titles")).alias("place", "m"))
     spans = spans.select(F.col("id").alias("comment_id"), "thread_id", "author", "created_at", "plain", "place", "m.raw", "m.title", F.col("m.author").alias("work_author"), "m.confidence", "m.work_id")
@@ -66,9 +69,11 @@ def resolved(spans: DataFrame, books: DataFrame, candidates: DataFrame, works: D
     """
     s = resolve.gated(spans.select("span_id", "title", F.col("work_author").alias("author"), "work_id", "confidence"))
     own = resolve.against_books(s, books).where("book_id is not null").join(books.select(F.col("id").alias("book_id"), "openlibrary_id"), "book_id").select("span_id", "openlibrary_id", "confidence")
-    rest = s.join(own.select("span_id"), "span_id", "left_anti").withColumn("asked", normal_title("title"))
-    c = candidates.select(F.col("query").alias("asked"), "key", F.col("title").alias("candidate_title"), F.col("author_name").alias("names"), F.col("subject").alias("subjects"), F.col("isbn").alias("isbns"), F.col("first_publish_year").alias("year"), "cover_i")
-    listed = resolve.scored_candidates(rest.drop("confidence").join(c, "asked"))
+    rest = s.join(own.select("span_id"), "span_id", "left_anti").drop("confidence")
+    asked_by = F.col("query_author") if "query_author" in candidates.columns else F.lit(None).cast("string")
+    place = F.col("place") if "place" in candidates.columns else F.lit(0)
+    c = candidates.select("query", asked_by.alias("query_author"), place.alias("place"), "key", F.col("title").alias("candidate_title"), F.col("author_name").alias("names"), F.col("subject").alias("subjects"), F.col("isbn").alias("isbns"), F.col("first_publish_year").alias("year"), "cover_i")
+    listed = resolve.scored_candidates(resolve.looked_up(rest, c, works, authors))
     picked = resolve.cascade(reviews.with_reviews(listed)).where("key is not null")
     chosen = listed.join(picked.select("span_id", "key", F.col("confidence").alias("sure")), ["span_id", "key"])
     sound = resolve.verified_works(chosen, works, authors)
@@ -77,18 +82,18 @@ def resolved(spans: DataFrame, books: DataFrame, candidates: DataFrame, works: D
 
 def build(spark: SparkSession, items: DataFrame, roots: DataFrame, books: DataFrame, candidates: DataFrame, works: DataFrame, authors: DataFrame, as_of: int) -> dict[str, DataFrame]:
     """All tables of a version. books: those of the version before, whose ids stay."""
-    threads, comments = threads_of(items), comments_of(items, roots).checkpoint()
-    spans = spans_of(comments, books.select(F.col("canonical_title").alias("title"))).checkpoint()  # texts are parsed once
+    threads, comments = threads_of(items), cut(comments_of(items, roots))
+    spans = cut(spans_of(comments, books.select(F.col("canonical_title").alias("title"))))  # texts are parsed once
     found, new = resolved(spans, books, candidates, works, authors)
     new = new.join(books.select("openlibrary_id"), "openlibrary_id", "left_anti")
-    last = F.broadcast(books.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")))  # one row
-    place = F.row_number().over(Window.orderBy("openlibrary_id"))  # only works new in this run
-    new = new.crossJoin(last).withColumn("id", (F.col("last") + place).cast("long")).select(*books.columns)
-    books = books.unionByName(new).checkpoint()
+    last = books.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first().last
+    new = incremental.numbered(new, "openlibrary_id", "id", after=last)
+    new = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(books.schema[c].dataType).alias(c) for c in books.columns])
+    books = cut(books.unionByName(new))
     m = spans.withColumnRenamed("confidence", "extraction_confidence").join(found, "span_id", "left").join(books.select(F.col("id").alias("book_id"), "openlibrary_id"), "openlibrary_id", "left")
     m = m.withColumns({"normalized_mention": normal_title("title"), "status": F.when(F.col("book_id").isNull(), "unresolved").otherwise("resolved")})
     one = Window.partitionBy("comment_id", "normalized_mention").orderBy("place")
-    m = m.withColumn("n", F.row_number().over(one)).where("n = 1").checkpoint()
+    m = cut(m.withColumn("n", F.row_number().over(one)).where("n = 1"))
     mentions = m.select(
         F.xxhash64("comment_id", "normalized_mention").alias("id"), "book_id", "comment_id", "thread_id", "author", "created_at", F.col("raw").alias("raw_mention"), "normalized_mention", F.col("context").alias("context_text"),
         "extraction_confidence", F.coalesce("confidence", F.lit(0.0)).alias("resolution_confidence"), classify.strength(F.col("label")).alias("recommendation_strength"), classify.sentiment(F.col("label")).alias("sentiment"), "status",
@@ -99,10 +104,10 @@ def build(spark: SparkSession, items: DataFrame, roots: DataFrame, books: DataFr
     mention_tags = tagged.select("mention_id", "tag_id", "confidence")
     shelf = ranking.score_books(books, mentions, as_of)
     tags = ranking.book_tags(mentions, mention_tags, dimension)
-    texts = mentions.where("book_id is not null").groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_list("context_text")), " ").alias("said"))
     names = tags.groupBy(F.col("book_id")).agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("topics"))
-    indexed = shelf.where("mention_count > 0").select(F.col("id").alias("book_id"), "canonical_title", "authors", "description").join(texts, "book_id", "left").join(names, "book_id", "left")
-    terms = search.term_index(indexed, "book_id", "canonical_title", "authors", "description", "topics", "said")
+    indexed = shelf.where("mention_count > 0").select(F.col("id").alias("book_id"), "canonical_title", "authors", "description").join(names, "book_id", "left")
+    said = mentions.where("book_id is not null").select("book_id", "context_text")  # word by word: a book with very many mentions is no row
+    terms = search.term_index(indexed, "book_id", "canonical_title", "authors", "description", "topics").union(search.term_index(said, "book_id", "context_text")).distinct()
     processed = comments.select("id", "thread_id", incremental.digest("text", "parent_id").alias("digest"))
     checkpoints = threads.select(F.col("id").alias("thread_id"), F.lit(True).alias("raw_complete"), F.lit(PROCESSOR).alias("processed_version"))
     return {"threads": threads, "comments": comments, "books": shelf, "mentions": mentions, "mention_tags": mention_tags, "tags": dimension, "book_tags": tags, "terms": terms, "processed": processed, "checkpoints": checkpoints, "missing": tree.missing(items)}

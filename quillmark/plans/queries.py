@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import classify, extract
-from quillmark.functions.text import grounded_excerpt, html_parts, normal_title, title_similarity
+from quillmark.functions.text import author_agrees, author_list, authors_complete, grounded_excerpt, html_parts, normal_title, title_similarity
 from quillmark.operators import discovery, evaluate, incremental, mentions, ranking, resolve, search, tree
-from quillmark.plans import oracle
+from quillmark.plans import api, oracle
 from quillmark.sources import views
 from quillmark.sources.views import read
 from quillmark.streaming import stream
@@ -188,6 +188,88 @@ def stream_latest_opinion(spark, sf_dir):
     return stream.run_available(ranking.latest_opinions(views.as_mentions(events)), "latest-opinion")
 
 
+# The published library's own queries, over these tables ------------------------------------------
+
+
+def _api(spark: SparkSession, sf_dir: str) -> api.Api:
+    """Parts as books, their order lines as mentions, nations as threads, turns as comments, users' events as runs."""
+
+    def read_table(name: str) -> DataFrame:
+        m = views.order_mentions(spark, sf_dir)
+        if name == "mentions":
+            return m.drop("topics").withColumn("status", F.when(F.col("id") % 7 == 0, "unresolved").otherwise("resolved"))
+        if name == "books":
+            return views.order_books(spark, sf_dir).join(m.groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("mention_count")), "id")
+        if name == "tags":
+            return views.order_tags(spark, sf_dir).withColumn("description", F.lower("name"))
+        if name == "mention_tags":
+            return views.order_mention_tags(m)
+        if name == "threads":
+            return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), (F.col("n_nationkey") % 5).cast("long").alias("created_at"))
+        if name == "comments":
+            return views.conversation_comments(spark, sf_dir)
+        e = read(spark, sf_dir, "events")
+        return e.groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("finished_at")).withColumn("status", F.when(F.col("id") % 3 == 0, "failed").otherwise("completed"))
+
+    return api.Api(read_table)
+
+
+_API_MENTIONS = "am as (select *, case when id % 7 = 0 then 'unresolved' else 'resolved' end as status from om)"
+
+
+@query(f"""with {oracle.ORDERS}
+select (select count(distinct book_id) from om join part on book_id = p_partkey) as books, (select count(*) from nation) as threads, (select count(*) from conversations) as comments,
+  (select count(distinct author) from om where recommendation_strength >= 0.6 and sentiment > 0) as recommenders, (select max(event_id) from events where user_id % 3 <> 0) as last_updated""")
+def api_stats(spark, sf_dir):
+    return _api(spark, sf_dir).stats()
+
+
+@query(f"""with {oracle.ORDERS}
+select strftime(to_timestamp(created_at) at time zone 'UTC', '%Y-%m') as month, count(*) as mentions, count(distinct case when recommendation_strength >= 0.6 and sentiment > 0 then author end) as recommenders
+from om where book_id = 7 group by 1""")
+def api_book_months(spark, sf_dir):
+    return _api(spark, sf_dir).book(7)[1]
+
+
+@query(f"""with {oracle.ORDERS}, {oracle.TOPICS}, page as (select * from om where book_id = 7 order by recommendation_strength desc, created_at desc, id limit 20 offset 20)
+select id, author, n_name as thread_title, created_at, recommendation_strength, (select array_to_string(list_sort(list(name)), ',') from ot where mention_id = page.id) as topics
+from page join nation on thread_id = n_nationkey""")
+def api_evidence_second_page(spark, sf_dir):
+    rows = _api(spark, sf_dir).evidence(7, page=2)
+    return rows.select("id", "author", "thread_title", "created_at", "recommendation_strength", F.array_join("topics", ",").alias("topics"))
+
+
+@query(f"""with {oracle.ORDERS}, {oracle.TOPICS},
+t as (select distinct c_mktsegment as name from customer union select distinct o_orderpriority from orders union select 'UNUSED')
+select t.name, lower(t.name) as description, count(distinct ot.book_id) as book_count from t left join ot using (name) where t.name is not null group by t.name""")
+def api_topics(spark, sf_dir):
+    return _api(spark, sf_dir).topics()
+
+
+@query("""
+select n_nationkey::bigint as id, n_name as title, (n_nationkey % 5)::bigint as created_at, (select count(*) from conversations where conv_id = n_nationkey) as stored_comments
+from nation order by n_nationkey % 5 desc, n_nationkey limit 20""")
+def api_threads_page(spark, sf_dir):
+    return _api(spark, sf_dir).threads()
+
+
+@query("""
+select turn::bigint as id, (turn - 1)::bigint as parent_id, role as author, (turn * 60)::bigint as created_at, trim(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), E' \n\t\r') as text
+from conversations where conv_id = 3 order by turn limit 50""")
+def api_thread_page(spark, sf_dir):
+    return _api(spark, sf_dir).thread(3)
+
+
+@query(f"with {oracle.ORDERS}, {_API_MENTIONS} select id, book_id, author from am where status = 'unresolved' order by id limit 50 offset 50")
+def api_unresolved_second_page(spark, sf_dir):
+    return _api(spark, sf_dir).unresolved(page=2).select("id", "book_id", "author")
+
+
+@query("select user_id as id, max(event_id) as finished_at, case when user_id % 3 = 0 then 'failed' else 'completed' end as status from events group by user_id order by id desc limit 30")
+def api_status(spark, sf_dir):
+    return _api(spark, sf_dir).status()
+
+
 # Trees -------------------------------------------------------------------------------------------
 
 
@@ -213,6 +295,35 @@ def reply_tree_depth(spark, sf_dir):
     return tree.depths(views.conversation_comments(spark, sf_dir))
 
 
+_PLAIN = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '[ \\t]+', ' ', 'g'), E' \\n\\t\\r')"  # noqa: E731  the turns hold no tags or entities
+
+
+@query(f"""
+with c as (select conv_id, turn, {_PLAIN("text")} as t from conversations),
+th as (select conv_id, arg_min(t, turn) as about from c group by conv_id)
+select c.conv_id as thread_id, c.turn as id, (a.turn is not null)::int + (b.turn is not null)::int as n_ancestors,
+  sha256(concat_ws('|', 'Thread ' || c.conv_id, left(about, 6000), b.turn || ':' || left(b.t, 6000), a.turn || ':' || left(a.t, 6000), c.t)) as shown_sha256
+from c join th using (conv_id) left join c a on a.conv_id = c.conv_id and a.turn = c.turn - 1 left join c b on b.conv_id = c.conv_id and b.turn = a.turn - 1""")
+def model_inputs(spark, sf_dir):
+    """What a model is shown of each turn: the thread's title and first text, two turns before, the turn."""
+    c = views.conversation_comments(spark, sf_dir)
+    threads = c.groupBy(F.col("thread_id").alias("id")).agg(F.min_by("text", F.col("id")).alias("text")).withColumn("title", F.concat(F.lit("Thread "), "id"))
+    kind = "thread_title string, thread_text string, ancestors array<struct<id: long, text: string>>, current_comment struct<text: string>"
+    p = tree.model_input(c, threads).select("thread_id", "id", F.from_json("payload", kind).alias("p"))
+    before = F.transform("p.ancestors", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["text"]))
+    shown = F.concat_ws("|", "p.thread_title", "p.thread_text", before, "p.current_comment.text")
+    return p.select("thread_id", "id", F.size("p.ancestors").alias("n_ancestors"), F.sha2(shown, 256).alias("shown_sha256"))
+
+
+@query("""
+with e as (select event_id, user_id, cast(json_extract_string(props, '$.k') as bigint) as k from events)
+select conv_id as thread_id from conversations union select k from e where k is not null union select event_id % 37 from e""")
+def discovered_threads(spark, sf_dir):
+    """Ids of threads from three sources, each once."""
+    m = views.event_mentions(spark, sf_dir)
+    return discovery.thread_ids(views.conversation_comments(spark, sf_dir), m.select(F.col("book_id").alias("thread_id")), m.select("thread_id"))
+
+
 # Text --------------------------------------------------------------------------------------------
 
 _SAYS = lambda x, phrases: f"regexp_matches(lower(coalesce({x}, '')), '\\b(?:{'|'.join(phrases).replace(chr(39), chr(39) * 2)})\\b')"
@@ -293,6 +404,30 @@ def html_emphasis(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.posexplode("h.emphasis").alias("place", "part"))
 
 
+@query(r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9]+') as w from documents where len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9]+')) >= 4)
+select doc_id, unnest([0, 1]) as place, unnest([w[2] || ' ' || w[3], w[4]]) as part from w""")
+def emphasised_parts(spark, sf_dir):
+    """Emphasis in HTML that is made of each document's first words."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-zA-Z0-9]+"), F.lit(0)).alias("w")).where("size(w) >= 4")
+    page = F.concat(F.lit("<p>"), F.get("w", F.lit(0)), F.lit(" <i>"), F.get("w", F.lit(1)), F.lit(" "), F.get("w", F.lit(2)), F.lit("</i>, <b>"), F.get("w", F.lit(3)), F.lit("</b></p>"))
+    return d.select("doc_id", F.posexplode(html_parts(page)["emphasis"]).alias("place", "part"))
+
+
+@query("""
+with a as (select p_partkey, split(p_name, ' ') as w from part),
+n as (select p_partkey, upper(w[1][1]) || w[1][2:] as one, upper(w[2][1]) || w[2][2:] as two from a)
+select p_partkey, one || ' ' || two || ' and Ann ' || two as author, one || ' ' || two || '; Ann ' || two as parts, true as listed, p_partkey % 2 = 0 as all_there from n where one <> 'Ann'""")
+def author_names(spark, sf_dir):
+    """Two persons with one surname, made of each part's name: their single names, and whether a list of names has them."""
+    w = F.split(F.initcap("p_name"), " ")
+    name = F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1)))
+    other = F.concat(F.lit("Ann "), F.get(w, F.lit(1)))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(name, F.lit(" and "), other).alias("author"), F.array(other, name).alias("names"), F.array(other).alias("one"))
+    there = author_agrees("author", F.when(F.col("p_partkey") % 2 == 0, F.col("names")).otherwise(F.col("one")))
+    return rows.select("p_partkey", "author", F.array_join(author_list("author"), "; ").alias("parts"), authors_complete("author", "names").alias("listed"), there.alias("all_there"))
+
+
 @query()
 def extract_mentions(spark, sf_dir):
     """Spans of pages and of conversations' turns, with the sentiment of their context."""
@@ -418,6 +553,43 @@ def resolve_against_books(spark, sf_dir):
     return resolve.against_books(spans, books)
 
 
+@query("""
+with f as (select p_name as q, case when p_size > 20 then lower(p_type) end as qa, p_partkey as k, row_number() over (partition by p_name, case when p_size > 20 then lower(p_type) end order by p_partkey) - 1 as place from part),
+t as (select * from f where place < 8),
+s as (select p_partkey as id, p_name as q, case when p_partkey % 3 = 0 then lower(p_type) end as a, p_partkey % 10 = 1 as linked from part),
+b as (select s.id, t.k from s join t on s.q = t.q and s.a is not distinct from t.qa where not linked),
+o as (select s.id, t.k from s join t on s.q = t.q and t.qa is null where not linked and s.a is not null and s.id not in (select id from b)),
+r as (select * from b union all select * from o union all select id, id from s where linked)
+select id as span_id, count(*) as n, cast(sum(k) as bigint) as keys from r group by id""")
+def lookup_records(spark, sf_dir):
+    """Parts as spans, and as the catalogue: by a link, by title and author, else by title alone; the first eight answers count."""
+    p = read(spark, sf_dir, "part")
+    key, by = F.concat(F.lit("/works/OL"), "p_partkey", F.lit("W")), F.when(F.col("p_size") > 20, F.lower("p_type"))
+    spans = p.select(F.col("p_partkey").alias("span_id"), F.upper("p_name").alias("title"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("author"), F.when(F.col("p_partkey") % 10 == 1, key).alias("work_id"))
+    place = F.row_number().over(Window.partitionBy("p_name", by).orderBy("p_partkey")) - 1
+    none = F.lit(None)
+    found = p.select(F.col("p_name").alias("query"), by.alias("query_author"), place.alias("place"), key.alias("key"), F.col("p_name").alias("candidate_title"), F.array("p_type").alias("names"), none.cast("array<string>").alias("subjects"), none.cast("array<string>").alias("isbns"), none.cast("int").alias("year"), none.cast("long").alias("cover_i"))
+    works = p.select(key.alias("key"), F.col("p_name").alias("title"), F.array(F.concat(F.lit("/authors/OL"), F.col("p_partkey") % 100, F.lit("A"))).alias("author_keys"))
+    authors = read(spark, sf_dir, "supplier").select(F.concat(F.lit("/authors/OL"), "s_suppkey", F.lit("A")).alias("key"), F.col("s_name").alias("name"))
+    rows = resolve.looked_up(spans, found, works, authors)
+    return rows.groupBy("span_id").agg(F.count("*").alias("n"), F.sum(F.regexp_extract("key", r"(\d+)", 1).cast("long")).alias("keys"))
+
+
+@query("""
+with b as (select p_name, min(p_partkey) as id, min(p_partkey) % 4 = 0 as barred from part where p_size % 3 <> 0 group by p_name)
+select p_partkey as span_id, id as book_id, 1.0::double as confidence, 1::bigint as n_books from part s join b using (p_name) where not (barred and s.p_size % 2 = 0)""")
+def resolve_by_version(spark, sf_dir):
+    """As resolve_against_books(), where books of another version don't count and reviews bar a work for one author."""
+    p = read(spark, sf_dir, "part")
+    who = "James S. A. Corey"
+    books = p.groupBy("p_name", (F.col("p_size") % 3 == 0).alias("old")).agg(F.min("p_partkey").alias("id")).select(
+        "id", F.col("p_name").alias("canonical_title"), normal_title("p_name").alias("normalized_title"), F.array(F.lit(who)).alias("authors"),
+        F.when(F.col("id") % 4 == 0, "/works/OL20185071W").otherwise(F.concat(F.lit("/works/OL"), "id", F.lit("W"))).alias("openlibrary_id"), F.when(F.col("old"), 1).otherwise(2).alias("resolution_version"),
+    )
+    spans = p.select(F.col("p_partkey").alias("span_id"), F.upper("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, who).alias("author"), F.lit(None).cast("string").alias("work_id"))
+    return resolve.against_books(spans, books, version=2)
+
+
 # Incremental runs --------------------------------------------------------------------------------
 
 _BATCHES = """
@@ -475,6 +647,18 @@ def run_status_rollup(spark, sf_dir):
     return r.groupBy("status").agg(F.count("*").alias("runs"), F.sum("n").alias("events"), F.sum("failures").alias("failures"))
 
 
+@query(f"""with {_BATCHES} select user_id, o.user_id is null as is_new from n left join o using (user_id)""")
+def upsert_added(spark, sf_dir):
+    old, new = _batches(spark, sf_dir)
+    return incremental.added(old, new, "user_id")
+
+
+@query("select p_partkey, p_name, 100 + row_number() over (order by p_name, p_partkey) as number from part")
+def numbered_in_ranges(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_name", F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("place"))
+    return incremental.numbered(rows, "place", "number", after=100).drop("place")
+
+
 # Discovery ---------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "quillmark", **conf: str) -> SparkSession:
@@ -19,3 +21,22 @@ def session(master: str | None = None, app: str = "quillmark", **conf: str) -> S
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode a temporary one where that isn't set."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it has to be a folder that all executors share")
+        known = "file://" + tempfile.mkdtemp(prefix="quillmark-")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the shared folder: executors that are lost later cost no steps before."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="quillmark-stream-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+from quillmark.session import shared_folder
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
