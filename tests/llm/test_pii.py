@@ -59,6 +59,12 @@ def test_checksum_and_context(spark):
     assert score[0] > score[1]
 
 
+def test_secrets_and_context_in_other_languages(spark):
+    texts = ['x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', "password: short1", "api_key=abcdefghijklmnopqrstuvwx", "my tokens = 5", "seguridad social 123-45-6789", "Passwort Secret:AB12CD34EF56GH78IJ"]
+    got = spans(find_pii(spark.createDataFrame(rows(texts), SCHEMA)))
+    assert got == {0: ["secret:2:51"], 1: [], 2: [], 3: [], 4: ["national_id:17:28"], 5: ["secret:9:34"]}
+
+
 def test_repeated_rows_and_empty_table(spark):
     twice = spark.createDataFrame([(1, "a@b.co", "", ""), (1, "a@b.co", "", ""), (None, "c@d.ef", "", "")], SCHEMA)
     assert find_pii(twice).count() == 3
