@@ -9,7 +9,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import Workspace, table
@@ -178,6 +178,18 @@ def repeats(docs: DataFrame, ws: Workspace, *, window: int = WINDOW, gram: int =
     return same.union(parts)
 
 
+def maximal(spans: DataFrame) -> DataFrame:
+    """doc_id, variant, start, stop: overlapping and touching spans of a document joined to maximal repeats.
+
+    Windows that repeat lie one word apart where a match goes on to either side,
+    so joining them extends each match both ways until it ends.
+    """
+    by = Window.partitionBy("doc_id", "variant").orderBy("start", "stop")
+    rows = spans.withColumn("reach", F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(by))
+    return rows.groupBy("doc_id", "variant", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+
+
 def dedup_substrings(docs: DataFrame, ws: Workspace, *, window: int = WINDOW, gram: int = GRAM, salts: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row of docs.
 
@@ -186,9 +198,12 @@ def dedup_substrings(docs: DataFrame, ws: Workspace, *, window: int = WINDOW, gr
 
     Null text has no words; texts shorter than a window lose nothing. Rows with
     the same doc_id are one document: they take nothing from each other. Rows
-    with a null doc_id lose nothing and take nothing.
+    with a null doc_id lose nothing and take nothing. Very long texts are read
+    whole. Only doc_id and text are read of docs. An empty table gives an empty
+    one. Windows are compared by hashes of 128 bits, which no structure of words
+    makes equal.
     """
-    cuts = repeats(docs, ws, window=window, gram=gram, salts=salts)
+    cuts = maximal(repeats(docs, ws, window=window, gram=gram, salts=salts))
     cuts = cuts.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     texts = docs.select("doc_id", "text").mapInArrow(packed, PACKED)
     both = texts.join(cuts, ["doc_id", "variant"], "left").select("doc_id", "packed", "cuts")

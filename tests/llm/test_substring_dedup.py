@@ -2,7 +2,7 @@ import hashlib
 import random
 
 from quillmark.llm.common import Workspace
-from quillmark.llm.substring_dedup import dedup_substrings, op6_substring_dedup
+from quillmark.llm.substring_dedup import dedup_substrings, maximal, op6_substring_dedup
 
 SCHEMA = "doc_id long, text string, cuts string, variant int"
 
@@ -55,6 +55,20 @@ def test_copies_and_empty(spark):
     assert run(spark, [(1, None)]) == [(1, 0, 0, "")]
 
 
+def test_no_match_by_colliding_hashes(spark):
+    bits = [bin(i).count("1") % 2 for i in range(2048)]  # words that polynomial hashes mod 2**64 take for equal
+    a, b = ("".join(x[k] for k in bits) for x in ("ab", "ba"))
+    around = [f"t{i}" for i in range(60)]
+    docs = [(1, " ".join([*around[:30], a, *around[30:]])), (2, " ".join([*around[:30], b, *around[30:]])), (3, " ".join([*around[:30], a, *around[30:]]))]
+    assert [g[2] for g in run(spark, docs)] == [0, 0, 61]
+
+
+def test_spans_join_to_maximal_repeats(spark):
+    rows = [(1, 5, 0, 50), (1, 5, 1, 51), (1, 5, 51, 101), (1, 5, 103, 150), (1, 6, 0, 50), (2, 5, 10, 60), (2, 5, 12, 20)]
+    got = {tuple(r) for r in maximal(spark.createDataFrame(rows, "doc_id long, variant long, start int, stop int")).collect()}
+    assert got == {(1, 5, 0, 101), (1, 5, 103, 150), (1, 6, 0, 50), (2, 5, 10, 60)}
+
+
 def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = {(d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in brute(docs, 50)}
