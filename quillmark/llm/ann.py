@@ -32,7 +32,6 @@ FIT_ROWS, CALIBRATION_QUERIES = 4096, 256
 ROTATIONS, ROUNDS, SUBSTRING = 4, 20, 16
 NEAREST, QUERY_EVERY, TARGET = 20, 20, 0.985
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
-ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
 @dataclass
@@ -52,7 +51,7 @@ def encode(x: np.ndarray, mean: np.ndarray, axes: np.ndarray) -> np.ndarray:
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros((len(a), len(b)), np.uint16)
     for j in range(a.shape[1]):
-        out += ONES[a[:, j, None] ^ b[None, :, j]]
+        out += np.bitwise_count(a[:, j, None] ^ b[None, :, j])
     return out
 
 
@@ -111,11 +110,11 @@ class Block:
         """All rows whose code is within radius."""
         near, seen = radius // len(code), np.zeros(len(self.ids), bool)
         for j, values in enumerate(self.values):
-            hit = ONES[values ^ code[j]] <= near
+            hit = np.bitwise_count(values ^ code[j]) <= near
             marks = np.repeat(hit, np.diff(self.ends[j]))
             seen[self.holders[j][marks]] = True
         rows = np.flatnonzero(seen)
-        return rows[ONES[self.codes[rows] ^ code].sum(axis=1) <= radius]
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.uint16) <= radius]
 
     def search(self, query_rows, q, codes, radius: int, k: int):
         out = []

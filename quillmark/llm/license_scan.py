@@ -160,8 +160,9 @@ def scan_licenses(docs: DataFrame, *, templates: list[tuple[str, str]] | None =
     row names the best over all segments (ties to the smaller name), its score,
     and how many segments match. Without a match: null, 0.0 and 0.
 
-    Null text has no match. Texts are scanned where they are read; the
-    templates are a fixed list. Repeated rows give a row each.
+    Null text has no match. Texts are scanned where they are read, very long
+    ones whole; the templates are a fixed list. Repeated rows give a row each.
+    Only doc_id and text are read of docs. An empty table gives an empty one.
     """
     run = scan(TEMPLATES if templates is None else templates, full_texts() if templates is None else [], least)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, license string, score double, n_matches long")

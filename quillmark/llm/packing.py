@@ -195,7 +195,9 @@ def pack(docs: DataFrame, ws: Workspace, *, path: str | None = None, window: int
     read once and not shuffled: crc32 of every piece that a cut can make is
     known where the text is read, or the ids of the tail are kept.
 
-    Null text is empty: one id. Repeated rows are documents of their own. An
+    Null text is empty: one id. Repeated rows are documents of their own, and
+    equal bodies keep the order in which they were read. Very long texts are cut
+    into whole windows and a rest. Only doc_id and text are read of docs. An
     empty table gives no pieces.
     """
     parts = window // unit
