@@ -10,7 +10,11 @@ from quillmark.llm.common import Workspace, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the language model reject go."""
+    """Documents that the rules or the language model reject go.
+
+    Rows alike in text and language stay or go together; nulls are judged as
+    empty texts. Columns keep their values, whatever their names.
+    """
     return quality.keep_good(docs, Workspace(spark, "stage-quality"))
 
 
@@ -39,12 +43,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them; a source's budget may cut one row."""
+    """Rows as often as the mix takes them; a source's budget may cut one row.
+
+    Rows without a word aren't taken. A null source is a source.
+    """
     return mixing.mixed(docs, Workspace(spark, "stage-mix"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each row."""
+    """A row for each piece of each row; rows with null text have one id."""
     return packing.pack(docs, Workspace(spark, "stage-pack"))
 
 
