@@ -433,23 +433,30 @@ def extract_mentions(spark, sf_dir):
     """Spans of pages and of conversations' turns, with the sentiment of their context."""
     p = read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("key"), F.col("html").alias("value"))
     c = read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("key"), F.col("text").alias("value"))
-    rows = p.union(c).select("key", html_parts("value")["plain"].alias("plain"), F.posexplode(extract.mentions_in("value")).alias("place", "m"))
-    rows = rows.select("key", "place", "m.*", extract.mention_context("plain", "m.raw").alias("context"))
+    rows = p.union(c).select("key", F.posexplode(extract.mentions_in_context("value")).alias("place", "m")).select("key", "place", "m.*")
     return rows.withColumn("label", classify.label(F.col("context")))
 
 
 @query()
 def grounded_excerpts(spark, sf_dir):
-    """Benchmark passages as quotes: the documents that share a run of five words, and the excerpt there, if any."""
+    """Benchmark passages as quotes: the documents that hold a passage's rarest run of five words, and the excerpt there, if any.
 
-    def runs(df, key, text):
-        w = F.filter(F.split(F.lower(text), r"[^\p{L}0-9]+"), lambda x: x != "")
-        df = df.select(key, text, w.alias("w"))
-        starts = F.when(F.size("w") >= 5, F.sequence(F.lit(1), F.size("w") - 4)).otherwise(F.array().cast("array<int>"))
+    A document that holds the quote holds every run of its words but the first
+    and the last, which may be parts of words there. Quotes have seven words or
+    more.
+    """
+
+    def runs(df, key, text, edge):
+        df = df.select(key, F.split(normal_title(text), " ").alias("w"))
+        starts = F.when(F.size("w") >= 5 + 2 * edge, F.sequence(F.lit(1 + edge), F.size("w") - 4 - edge)).otherwise(F.array().cast("array<int>"))
         return df.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(5)), " "))))).alias("run"))
 
     d, b = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("raw"))
-    pairs = runs(d, "doc_id", "text").join(runs(b, "item_id", "raw"), "run").select("doc_id", "item_id").distinct()
+    asked = runs(b, "item_id", "raw", 1)
+    held = runs(d, "doc_id", "text", 0).join(asked.select("run").distinct(), "run", "left_semi")
+    counted = asked.join(held.groupBy("run").count(), "run", "left")
+    rarest = counted.groupBy("item_id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "run")).alias("r"))
+    pairs = held.join(rarest.select("item_id", "r.run"), "run").select("doc_id", "item_id").distinct()
     rows = pairs.join(d, "doc_id").join(b, "item_id")
     return rows.select("doc_id", "item_id", grounded_excerpt("raw", "text").alias("excerpt")).where("excerpt is not null")
 
