@@ -60,3 +60,55 @@ def confusion(rows: DataFrame, truth: str, guess: str, cases: str) -> DataFrame:
     n = lambda cond: F.count(F.when(cond, 1))
     out = rows.groupBy("case").agg(n(t & g).alias("tp"), n(~t & g).alias("fp"), n(t & ~g).alias("fn"), n(~t & ~g).alias("tn"))
     return out.select("*", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+
+
+def set_metrics(expected: DataFrame, actual: DataFrame, by: list[str], item: str) -> DataFrame:
+    """by, tp, fp, fn: how the sets of items of each group agree; groups that only one side has count too."""
+    e = expected.select(*by, item).distinct().withColumn("in_expected", F.lit(True))
+    a = actual.select(*by, item).distinct().withColumn("in_actual", F.lit(True))
+    both = e.join(a, [*by, item], "full")
+    there = lambda c: F.coalesce(F.col(c), F.lit(False))
+    e, a = there("in_expected"), there("in_actual")
+    return both.groupBy(*by).agg(F.count_if(e & a).alias("tp"), F.count_if(~e & a).alias("fp"), F.count_if(e & ~a).alias("fn"))
+
+
+def compared(gold: DataFrame, predictors: dict[str, DataFrame], by: list[str] = ()) -> DataFrame:
+    """mention_metrics() of several predictors on one gold, with the predictor's name; what was saved, a baseline, what reviews replaced."""
+    out = None
+    for name, predicted in predictors.items():
+        rows = mention_metrics(matched(gold, predicted).withColumn("predictor", F.lit(name)), ["predictor", *by])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def review_faults(snapshot: DataFrame, labels: DataFrame, topics: list[str], partial: bool = False) -> dict[str, DataFrame]:
+    """The rules of a complete review, each as a frame of the rows that break it.
+
+    snapshot: comment_id, text, source_digest, processed; labels: comment_id,
+    source_digest, status, mentions (array of raw, titles, tags, identity_status,
+    work_id), null while pending. A partial review may leave comments out.
+    """
+    twice = lambda df: df.groupBy("comment_id").count().where("count > 1")
+    both = labels.join(snapshot.select("comment_id", "text", F.col("source_digest").alias("now")), "comment_id")
+    said = both.where("status = 'reviewed'").select("comment_id", "text", F.explode("mentions").alias("m"))
+    titles = said.select("comment_id", F.explode("m.titles").alias("title"))
+    open_ = F.col("m.identity_status").isin("ambiguous", "pending")
+    out = {
+        "stored twice": twice(snapshot),
+        "reviewed twice": twice(labels),
+        "unknown comments": labels.join(snapshot, "comment_id", "left_anti"),
+        "other source": both.where(~F.col("source_digest").eqNullSafe(F.col("now"))),
+        "status unknown": labels.where(~F.coalesce(F.col("status").isin("pending", "reviewed"), F.lit(False))),
+        "status and labels disagree": labels.where((F.col("status") == "pending") != F.col("mentions").isNull()),
+        "titles empty or repeated": titles.groupBy("comment_id", "title").count().where("count > 1 or trim(title) = ''"),
+        "not in the text": said.where(~F.contains("text", F.col("m.raw"))),
+        "topics unknown": said.where(F.size(F.array_except("m.tags", F.array(*map(F.lit, topics)))) > 0),
+        "identity and work disagree": said.where(((F.col("m.identity_status") == "verified") & F.col("m.work_id").isNull()) | (open_ & F.col("m.work_id").isNotNull())),
+    }
+    if not partial:
+        out |= {
+            "not reviewed": snapshot.join(labels.where("status = 'reviewed'"), "comment_id", "left_anti"),
+            "not processed": snapshot.where(~F.coalesce("processed", F.lit(False))),
+            "identities pending": said.where("m.identity_status = 'pending'"),
+        }
+    return out

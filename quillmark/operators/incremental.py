@@ -100,3 +100,33 @@ def refetched(checkpoints: DataFrame, threads: DataFrame) -> DataFrame:
     again = threads.select("thread_id").withColumn("again", F.lit(True))
     rows = checkpoints.join(again, "thread_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     return rows.select("thread_id", (F.col("raw_complete") & ~F.col("again")).alias("raw_complete"), F.when(~F.col("again"), F.col("processed_version")).alias("processed_version"))
+
+
+def metadata_key(base: Column, path: Column, params: Column) -> Column:
+    """The key of a cached answer: base, path and parameters (a map), whatever the parameters' order."""
+    return F.sha2(F.to_json(F.struct(base.alias("base"), path.alias("path"), F.array_sort(F.map_entries(params)).alias("params"))), 256)
+
+
+# What a run counts.
+RUN_COUNTERS = (
+    "threads_discovered", "threads_fetched", "threads_skipped", "threads_reused_raw", "threads_remaining", "comments_fetched", "new_comments",
+    "comments_total", "comments_processed", "comments_skipped", "mentions_extracted", "books_resolved", "unresolved_mentions", "metadata_lookups",
+    "classifications_performed", "failures", "runtime_seconds", "llm_requests", "llm_cache_hits", "llm_input_tokens", "llm_cached_input_tokens", "llm_output_tokens",
+)
+
+
+def run_metrics(counted: DataFrame, by: list[str] = ()) -> DataFrame:
+    """A column for each of RUN_COUNTERS, 0 where nothing was counted. counted: counter, n, from any steps of a run."""
+    sums = [F.coalesce(F.sum(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).alias(c) for c in RUN_COUNTERS]
+    return counted.groupBy(*by).agg(*sums)
+
+
+def dry_run(candidates: DataFrame, checkpoints: DataFrame, version: str, limit: int | None = None, refresh: bool = False, preview: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(one row of counts; the first threads that a run would take). candidates: thread_id, title, comments, created_at; oldest first."""
+    done = completed(checkpoints, version).withColumn("done", F.lit(not refresh))
+    rows = candidates.join(done, "thread_id", "left").withColumn("todo", ~F.coalesce("done", F.lit(False)))
+    todo = rows.where("todo").orderBy("created_at", "thread_id")
+    todo = todo.limit(limit) if limit else todo
+    counts = rows.agg(F.count("*").alias("threads_discovered"), F.count_if("todo").alias("threads_pending"), F.count_if(~F.col("todo")).alias("threads_skipped"))
+    taken = todo.agg(F.count("*").alias("threads_to_process"), F.coalesce(F.sum("comments"), F.lit(0)).alias("estimated_comments"))
+    return counts.crossJoin(taken), todo.limit(preview).select("thread_id", "title", "comments", "created_at")  # one row each

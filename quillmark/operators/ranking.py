@@ -8,7 +8,7 @@ share of all mentions does not meet in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.classify import is_positive
@@ -130,6 +130,13 @@ def no_case(title: str) -> Column:
     return F.translate(title, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def ranked(page_rows: DataFrame, sort: str = "all-time", page: int = 1, page_size: int = 12) -> DataFrame:
+    """A shelf() page with each book's rank on the whole shelf: numbered within the page, which has page_size rows at most."""
+    a, b = ORDERS[sort]
+    place = Window.orderBy(F.desc(a), F.desc(b), no_case("canonical_title"), "id")
+    return page_rows.withColumn("rank", F.row_number().over(place) + F.lit((page - 1) * page_size))
+
+
 def shelf(books: DataFrame, sort: str = "all-time", page: int = 1, page_size: int = 12) -> DataFrame:
     """One page of the books that are mentioned. Top-k per task, then of those: no full sort."""
     if not (1 <= page_size <= 100 and page >= 1):

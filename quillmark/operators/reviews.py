@@ -66,3 +66,13 @@ def reclassified(mentions: DataFrame, comments: DataFrame) -> DataFrame:
     rows = mentions.join(texts, "comment_id").withColumn("context_text", extract.mention_context("plain", "raw_mention"))
     label = classify.label(F.col("context_text"))
     return rows.withColumns({"sentiment": classify.sentiment(label), "recommendation_strength": classify.strength(label)}).select(*mentions.columns)
+
+
+def retagged(mentions: DataFrame, tags: DataFrame) -> DataFrame:
+    """mention_id, tag_id, confidence: the topics of reclassified() mentions, read anew from their context and title."""
+    from quillmark.functions import classify
+
+    title = F.coalesce("canonical_title", "raw_mention") if "canonical_title" in mentions.columns else F.col("raw_mention")
+    said = mentions.select(F.col("id").alias("mention_id"), normal_title(F.concat_ws(" ", "context_text", title)).alias("said"))
+    found = classify.tag_topics(said, "said", "mention_id")
+    return found.join(F.broadcast(tags.select(F.col("id").alias("tag_id"), F.col("name").alias("topic"))), "topic").select("mention_id", "tag_id", "confidence")  # a fixed list

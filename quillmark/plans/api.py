@@ -47,7 +47,7 @@ class Api:
     def books(self, q: str = "", tags: list[str] = (), exclude: list[str] = (), sort: str = "all-time", page: int = 1, page_size: int = 12) -> tuple[DataFrame, int]:
         """A page of find(), with each book's topics, and how many there are."""
         found = self.find(q, tags, exclude)
-        page_rows = ranking.shelf(found, sort, page, page_size)
+        page_rows = ranking.ranked(ranking.shelf(found, sort, page, page_size), sort, page, page_size)
         topics = self.read("book_tags").groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("mention_count")).alias("less"), "name", "confidence"))).alias("topics"))
         a, b = ranking.ORDERS[sort]
         return page_rows.join(topics, "id", "left").orderBy(F.desc(a), F.desc(b), ranking.no_case("canonical_title"), "id"), found.count()
@@ -92,6 +92,11 @@ class Api:
         """The latest runs."""
         return self.read("runs").orderBy(F.desc("id")).limit(RUNS_PAGE)
 
+    def label_template(self, thread_id: int) -> DataFrame:
+        """What a reviewer fills in: a row for each comment of a thread, all pending."""
+        rows = self.snapshot(thread_id)
+        return rows.select("comment_id", "source_digest", F.lit("pending").alias("status"), F.lit(None).cast("array<struct<raw:string,titles:array<string>,tags:array<string>,identity_status:string,work_id:string>>").alias("mentions"))
+
     def snapshot(self, thread_id: int) -> DataFrame:
         """Every comment of a thread with its mentions and a digest of both; the label template is its comment_id column."""
         books = self.read("books").select(F.col("id").alias("book_id"), "openlibrary_id", F.col("authors").alias("book_authors"))

@@ -76,6 +76,38 @@ class Library:
         context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(new, pointer, options)
 
+    @staticmethod
+    def _sums(name: str, df: DataFrame) -> DataFrame:
+        """table, rows, digest: the digest doesn't depend on the order of rows."""
+        each = F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)")
+        return df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.coalesce(F.sum(each), F.lit(0)).cast("string").alias("digest"))
+
+    def manifest(self, folder: str, names: list[str]) -> DataFrame:
+        out = None
+        for n in names:
+            one = self._sums(n, self.spark.read.parquet(f"{folder}/{n}"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def backup(self, folder: str, version: str | None = None) -> None:
+        """Copies a version to a folder that doesn't exist, with a manifest, and reads it back."""
+        version = version or self.current()
+        names = self.tables(version)
+        if self._fs.exists(self._path(folder)):
+            raise FileExistsError(folder)
+        for n in names:
+            self.read(n, version).write.mode("errorifexists").parquet(f"{folder}/{n}")
+        self.manifest(f"{self.root}/versions/{version}", names).write.mode("errorifexists").parquet(f"{folder}/manifest.parquet")
+        self.verify(folder)
+
+    def verify(self, folder: str) -> None:
+        """CheckFailed if a table of a backup isn't what the manifest says."""
+        want = {r.table: (r.rows, r.digest) for r in self.spark.read.parquet(f"{folder}/manifest.parquet").collect()}  # a row for each table
+        have = {r.table: (r.rows, r.digest) for r in self.manifest(folder, sorted(want)).collect()}
+        broken = sorted(n for n in want if want[n] != have.get(n))
+        if broken:
+            raise CheckFailed(", ".join(broken))
+
     @contextmanager
     def lock(self) -> Iterator[None]:
         """One writer at a time; readers aren't kept out."""

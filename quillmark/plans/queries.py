@@ -63,6 +63,14 @@ def score_details(spark, sf_dir):
     return ranking.scores(views.order_mentions(spark, sf_dir), AS_OF_ORDERS)
 
 
+@query(f"""with {oracle.EVENTS},{oracle.scores("em", AS_OF)}
+select book_id as id, row_number() over (order by recent_score desc, independent_recommenders desc, lower('Book ' || book_id), book_id) as rank, recent_score from score
+qualify rank between 31 and 60""")
+def ranked_shelf_second_page(spark, sf_dir):
+    books = ranking.score_books(views.event_books(spark, sf_dir), views.event_mentions(spark, sf_dir), AS_OF)
+    return ranking.ranked(ranking.shelf(books, "recent", 2, 30), "recent", 2, 30).select("id", F.col("rank").cast("long").alias("rank"), "recent_score")
+
+
 # The library's fixed queries ---------------------------------------------------------------------
 
 
@@ -666,6 +674,33 @@ def numbered_in_ranges(spark, sf_dir):
     return incremental.numbered(rows, "place", "number", after=100).drop("place")
 
 
+_METRICS = {"view": "comments_fetched", "click": "comments_processed", "purchase": "mentions_extracted", "signup": "new_comments", "error": "failures"}
+
+
+@query(f"""
+select user_id, {", ".join(f"cast(count(*) filter (event_type = '{ {v: k for k, v in _METRICS.items()}.get(c, '-') }') as bigint) as {c}" for c in incremental.RUN_COUNTERS)}
+from events group by user_id""")
+def run_counters(spark, sf_dir):
+    """Each user's events as the steps of a run."""
+    names = F.create_map(*[F.lit(x) for kv in _METRICS.items() for x in kv])
+    e = read(spark, sf_dir, "events").select("user_id", names[F.col("event_type")].alias("counter"), F.lit(1).cast("long").alias("n"))
+    return incremental.run_metrics(e, ["user_id"])
+
+
+@query("""
+with t as (select conv_id, count(*) as comments, max(turn) as last from conversations group by conv_id),
+p as (select *, not (comments % 3 = 0 and last >= 2) as todo from t),
+k as (select * from p where todo order by comments, conv_id limit 25)
+select count(*) as threads_discovered, count(*) filter (todo) as threads_pending, count(*) filter (not todo) as threads_skipped,
+  (select count(*) from k) as threads_to_process, (select cast(sum(comments) as bigint) from k) as estimated_comments from p""")
+def dry_run_report(spark, sf_dir):
+    """What a run that takes 25 threads would do."""
+    per = views.conversation_comments(spark, sf_dir).groupBy("thread_id").agg(F.count("*").alias("comments"), F.max("id").alias("last"))
+    done = per.select("thread_id", (F.col("last") >= 2).alias("raw_complete"), F.when(F.col("comments") % 3 == 0, "v2").otherwise("v1").alias("processed_version"))
+    threads = per.select("thread_id", F.concat(F.lit("Thread "), "thread_id").alias("title"), "comments", F.col("comments").alias("created_at"))
+    return incremental.dry_run(threads, done, "v2", limit=25)[0]
+
+
 # Discovery ---------------------------------------------------------------------------------------
 
 
@@ -744,6 +779,43 @@ def title_set_ops(spark, sf_dir):
     return both.select("item_id", size(F.array_intersect("w", "v")).alias("tp"), size(F.array_except("w", "v")).alias("fn"), size(F.array_except("v", "w")).alias("fp"), (F.size(F.array_except("v", "w")) == 0).alias("subset"))
 
 
+@query("""
+with e as (select distinct l_suppkey as g, l_partkey as i from lineitem where l_quantity > 25), a as (select distinct l_suppkey as g, l_partkey as i from lineitem where l_discount > 0.05)
+select coalesce(e.g, a.g) as supplier, count(*) filter (e.i is not null and a.i is not null) as tp, count(*) filter (e.i is null) as fp, count(*) filter (a.i is null) as fn
+from e full join a on e.g = a.g and e.i = a.i group by 1""")
+def set_agreement(spark, sf_dir):
+    """Parts that each supplier sold in large lines against those sold at a discount."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_partkey", "l_quantity", "l_discount")
+    return evaluate.set_metrics(rows.where("l_quantity > 25"), rows.where("l_discount > 0.05"), ["supplier"], "l_partkey")
+
+
+def _one_title(m: DataFrame, prefix: str, label, strength) -> DataFrame:
+    return m.groupBy(F.col("thread_id").alias("comment_id"), "title").agg(label.alias(f"{prefix}_sentiment"), strength.alias(f"{prefix}_strength"))
+
+
+@query(f"""with {oracle.EVENTS},
+g as (select thread_id, book_id, max(label) as label, max(recommendation_strength) as s from em where label <> 'neutral' group by all),
+p as (
+  select 'saved' as predictor, thread_id, book_id, min(label) as label, min(recommendation_strength) as s from em where label <> 'recommended' group by all
+  union all select 'baseline', thread_id, book_id, min(label), min(recommendation_strength) from em where status = 'resolved' group by all
+),
+n as (select predictor, count(*) as all_p from p group by predictor),
+j as (select p.predictor, count(*) as tp, count(*) filter (g.label = p.label) as ok, count(*) filter (abs(g.s - p.s) <= 0.1 + 1e-9) as strong from g join p on g.thread_id = p.thread_id and g.book_id = p.book_id group by all)
+select predictor, tp, all_p - tp as fp, (select count(*) from g) - tp as fn, ok as sentiment_correct, strong as strength_correct from j join n using (predictor)""")
+def compared_predictions(spark, sf_dir):
+    """Two predictors on one gold."""
+    m = views.event_mentions(spark, sf_dir).withColumn("title", F.concat(F.lit("b"), "book_id"))
+    gold = _one_title(m.where("label <> 'neutral'"), "g", F.max("label"), F.max("recommendation_strength"))
+    gold = gold.select("comment_id", F.xxhash64("title").alias("gold_no"), F.array("title").alias("titles"), F.array("g_sentiment").alias("g_tags"), "g_sentiment", "g_strength")
+
+    def predicted(rows: DataFrame) -> DataFrame:
+        rows = _one_title(rows, "p", F.min("label"), F.min("recommendation_strength"))
+        return rows.select("comment_id", F.xxhash64("title").alias("pred_no"), "title", F.array("p_sentiment").alias("p_tags"), "p_sentiment", "p_strength")
+
+    out = evaluate.compared(gold, {"saved": predicted(m.where("label <> 'recommended'")), "baseline": predicted(m.where("status = 'resolved'"))})
+    return out.select("predictor", "tp", "fp", "fn", "sentiment_correct", "strength_correct")
+
+
 @query("""
 with d as (select conv_id, sha256(string_agg(turn || ':' || sha256(coalesce(text, '')), ',' order by turn)) as digest, count(*) as n, list_sort(list_distinct(list(role))) as roles from conversations group by conv_id)
 select conv_id as thread_id, digest, n, array_to_string(roles, ',') as versions from d""")

@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -220,3 +221,48 @@ def test_depths_of_long_threads_and_other_first_turns(spark, tmp_path):
     rows = [("long", i, i - 1) for i in range(106)] + [("late", i, i - 1) for i in range(5, 8)]
     got = tree.depths(spark.createDataFrame(rows, "thread_id string, id long, parent_id long"))
     assert {tuple(r) for r in got.collect()} == {("long", 106, 105), ("late", 3, 2)}
+
+
+def test_model_input_shows_context_and_links(spark):
+    from quillmark.operators import tree
+
+    c = spark.createDataFrame([(1, 1, None, "<p>root &amp; more " + "x" * 7000), (1, 2, 1, '<p>see <a href="http://a.b">this</a> ' + "y" * 7000), (9, 3, 1, "no thread")], "thread_id long, id long, parent_id long, text string")
+    t = spark.createDataFrame([(1, "T", "<i>about</i> " + "z" * 7000)], "id long, title string, text string")
+    got = {r.id: json.loads(r.payload) for r in tree.model_input(c, t).collect()}
+    assert got[2]["thread_title"] == "T" and got[2]["thread_text"].startswith("about z") and len(got[2]["thread_text"]) == 6000
+    assert [(a["id"], len(a["text"])) for a in got[2]["ancestors"]] == [(1, 6000)] and got[2]["ancestors"][0]["text"].startswith("root & more")
+    assert got[2]["current_comment"]["links"] == [{"url": "http://a.b", "label": "this"}] and len(got[2]["current_comment"]["text"]) > 7000
+    assert got[3]["thread_title"] == "" and got[3]["ancestors"] == []
+    inputs = tree.model_input(c, t)
+    key = lambda *a: {r.id: r.cache_key for r in tree.model_keys(inputs, *a).collect()}
+    base = key("b", "m", "p", ["x", "y"])
+    assert key("b", "m", "p", ["y", "x"]) == base and len(set(base.values())) == 3
+    assert all(key(*a)[1] != base[1] for a in (("c", "m", "p", ["x", "y"]), ("b", "n", "p", ["x", "y"]), ("b", "m", "q", ["x", "y"]), ("b", "m", "p", ["x"])))
+
+
+def test_lookup_of_reviewed_works_and_links(spark):
+    from quillmark.operators import resolve
+
+    spans = spark.createDataFrame([(1, "1Q84", "Murakami Haruki", None), (2, "Dune", "F. Herbert", None), (3, "any label", None, "/works/OL9W"), (4, "Emma", None, None), (5, "gone", None, "/works/OL404W")], "span_id long, title string, author string, work_id string")
+    found = [("1q84", "haruki murakami", 0, "/works/OL15029001W", "1Q84", ["Haruki Murakami"]), ("dune", None, 0, "/works/OL2W", "Dune", ["Frank Herbert"]), ("dune", None, 8, "/works/OL3W", "Dune 9", ["Frank Herbert"]), ("emma", "jane austen", 0, "/works/OL4W", "Emma", ["Jane Austen"])]
+    f = spark.createDataFrame(found, "query string, query_author string, place int, key string, candidate_title string, names array<string>")
+    f = f.selectExpr("*", "cast(null as array<string>) as subjects", "cast(null as array<string>) as isbns", "cast(null as int) as year", "cast(null as long) as cover_i")
+    works = spark.createDataFrame([("/works/OL9W", "Walden", ["/authors/OL1A"])], "key string, title string, author_keys array<string>")
+    authors = spark.createDataFrame([("/authors/OL1A", "H. D. Thoreau")], "key string, name string")
+    got = {(r.span_id, r.key, r.candidate_title, tuple(r.names)) for r in resolve.looked_up(spans, f, works, authors).collect()}
+    assert got == {(1, "/works/OL15029001W", "1Q84", ("Haruki Murakami",)), (2, "/works/OL2W", "Dune", ("Frank Herbert",)), (3, "/works/OL9W", "Walden", ("H. D. Thoreau",))}
+
+
+def test_review_faults_and_keys(spark):
+    from quillmark.operators import evaluate
+
+    snap = spark.createDataFrame([(1, "I read Emma", "d1", True), (2, "nothing", "d2", True), (3, "more", "d3", False)], "comment_id long, text string, source_digest string, processed boolean")
+    kind = "comment_id long, source_digest string, status string, mentions array<struct<raw:string,titles:array<string>,tags:array<string>,identity_status:string,work_id:string>>"
+    good = [(1, "d1", "reviewed", [("Emma", ["emma"], ["fiction"], "verified", "/works/OL1W")]), (2, "d2", "reviewed", [])]
+    broken = lambda rows, partial: {k for k, v in evaluate.review_faults(snap, spark.createDataFrame(rows, kind), ["fiction"], partial).items() if v.count()}
+    assert broken(good, True) == set()
+    assert broken(good, False) == {"not reviewed", "not processed"}
+    bad = [(1, "old", "reviewed", [("Walden", ["w", "w"], ["?"], "pending", "/works/OL1W")]), (7, "d", "pending", [])]
+    assert broken(bad, True) == {"other source", "not in the text", "topics unknown", "titles empty or repeated", "identity and work disagree", "unknown comments", "status and labels disagree"}
+    k = spark.range(1).select(*[incremental.metadata_key(F.lit("b"), F.lit("p"), F.create_map(*map(F.lit, m))).alias(n) for n, m in {"a": ["x", "1", "y", "2"], "b": ["y", "2", "x", "1"], "c": ["x", "1", "y", "3"]}.items()]).first()
+    assert k.a == k.b != k.c

@@ -122,3 +122,17 @@ def test_windows_close_after_late_rows(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("q_windows").collect()
     assert got and all(r.n == 1 for r in got) and len(got) < 10  # the last days may still get rows
+
+
+def test_backup_is_checked_and_never_overwritten(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.stage("v1", books=spark.range(20).withColumnRenamed("id", "n"), threads=spark.range(3))
+    lib.publish("v1", {})
+    folder = str(tmp_path / "copy")
+    lib.backup(folder)
+    lib.verify(folder)
+    with pytest.raises(FileExistsError):
+        lib.backup(folder)
+    spark.range(19).withColumnRenamed("id", "n").write.mode("overwrite").parquet(f"{folder}/books")
+    with pytest.raises(CheckFailed, match="books"):
+        lib.verify(folder)
