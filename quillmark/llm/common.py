@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The white space that splits words and is stripped from lines.
 SPACE = r"[\x20\x09-\x0D]"
+#: Shuffle files go once the query that made them has ended, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,12 +42,16 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:
