@@ -112,6 +112,6 @@ p as (
   from d join g on d.source is not distinct from g.source
 )
 select doc_id, cast(size as bigint) as size, source_size, target,
-  cast((budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) as bigint) as taken
+  cast(case when source_size = 0 then 0 else (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) end as bigint) as taken
 from p
 """
