@@ -9,9 +9,10 @@ queries' true neighbours among the sample.
 Index: every vector's code, cut into substrings; in each block of vectors the
 substrings' different values are sorted, with the vectors that have each.
 
-Search: a code within radius r of the query's has a substring within
-floor(r / substrings) of the query's (pigeonhole). Probing all values that near
-in each substring finds every code within r; their whole distance is checked and
+Search: where r = a x substrings + b, a code within radius r of the query's has one
+of the first b + 1 substrings within a of the query's, or one of the others within
+a - 1 (pigeonhole). Probing all values that near in each substring finds every code
+within r; their whole distance is checked and
 those that pass are ranked by the inner product of the original vectors. A query
 that finds too few that way is searched again with a radius of all bits.
 """
@@ -29,7 +30,7 @@ from quillmark.llm.common import Workspace, table
 
 #: Fit on at most FIT_ROWS vectors, calibrate on at most CALIBRATION_QUERIES of them.
 FIT_ROWS, CALIBRATION_QUERIES = 4096, 256
-ROTATIONS, ROUNDS, SUBSTRING = 4, 20, 16
+ROTATIONS, ROUNDS, SUBSTRING = 4, 20, 64
 NEAREST, QUERY_EVERY, TARGET = 20, 20, 0.985
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 
@@ -42,10 +43,10 @@ class Codes:
 
 
 def encode(x: np.ndarray, mean: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """Codes as substrings of SUBSTRING bits (uint16)."""
+    """Codes as substrings of SUBSTRING bits (uint64)."""
     bits = (x - mean) @ axes > 0
     pad = -bits.shape[1] % SUBSTRING
-    return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1).view(np.uint16)
+    return np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1).view(np.uint64)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,9 +109,9 @@ class Block:
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code is within radius."""
-        near, seen = radius // len(code), np.zeros(len(self.ids), bool)
+        (near, rest), seen = divmod(radius, len(code)), np.zeros(len(self.ids), bool)
         for j, values in enumerate(self.values):
-            hit = np.bitwise_count(values ^ code[j]) <= near
+            hit = np.bitwise_count(values ^ code[j]).astype(int) <= near - (j > rest)
             marks = np.repeat(hit, np.diff(self.ends[j]))
             seen[self.holders[j][marks]] = True
         rows = np.flatnonzero(seen)
