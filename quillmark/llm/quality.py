@@ -145,56 +145,52 @@ def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tup
 
 
 class Statistics:
-    """Of classes, for a half: counts as a left word, its kinds of pairs seen once, twice and more often, and pairs as a right word; and how many pairs were seen once to four times."""
+    """Of the classes in one half: counts as a left word, its kinds of pairs seen once, twice and more often, and kinds of pairs as a right word; and how many pairs were seen once to four times."""
 
-    def __init__(self) -> None:
-        self.of = np.zeros((2, 5, CLASSES), np.int64)
-        self.seen = np.zeros((2, 4), np.int64)
+    def __init__(self, half: int) -> None:
+        self.half, self.of, self.seen = half, np.zeros((5, CLASSES), np.int64), np.zeros(4, np.int64)
 
-    def add(self, half: int, hashes: np.ndarray, n: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, n: np.ndarray) -> None:
         left, right = pair_classes(hashes)
-        np.add.at(self.of[half, 0], left, n.astype(np.int64))
+        np.add.at(self.of[0], left, n.astype(np.int64))
         for k in (1, 2, 3):
-            np.add.at(self.of[half, k], left[(n == k) if k < 3 else (n >= 3)], 1)
-        np.add.at(self.of[half, 4], right, 1)
-        self.seen[half] += [(n == k).sum() for k in (1, 2, 3, 4)]
+            np.add.at(self.of[k], left[(n == k) if k < 3 else (n >= 3)], 1)
+        np.add.at(self.of[4], right, 1)
+        self.seen += [(n == k).sum() for k in (1, 2, 3, 4)]
 
     def rows(self) -> list[tuple]:
         """(half, -1 - piece, classes, their counts); the counts of counts end the first piece's."""
-        wide, out = CLASSES // PIECES, []
-        for h in (0, 1):
-            some = np.flatnonzero(self.of[h].any(axis=0))
-            at = np.searchsorted(some, np.arange(PIECES + 1) * wide)
-            for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                if b > a or i == 0:
-                    out.append((h, -1 - i, steps(some[a:b]), squeezed(np.r_[self.of[h][:, some[a:b]].ravel(), self.seen[h] * (i == 0)])))
-        return out
-
-    def take(self, half: int, classes: bytes, numbers: bytes) -> None:
+        some = np.flatnonzero(self.of.any(axis=0))
+        at = np.searchsorted(some, np.arange(PIECES + 1) * (CLASSES // PIECES))
+        cut = enumerate(zip(at[:-1], at[1:]))
+        return [(self.half, -1 - i, steps(some[a:b]), squeezed(np.r_[self.of[:, some[a:b]].ravel(), self.seen * (i == 0)])) for i, (a, b) in cut if b > a or i == 0]
+
+    def take(self, classes: bytes, numbers: bytes) -> None:
         """Adds a row of rows()."""
         at, n = unstepped(classes).astype(np.int64), unsqueezed(numbers).astype(np.int64)
-        self.of[half][:, at] += n[:-4].reshape(5, -1)
-        self.seen[half] += n[-4:]
+        self.of[:, at] += n[:-4].reshape(5, -1)
+        self.seen += n[-4:]
 
 
 def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over COUNTS sorted by half and place: each range's sorted pairs, and at negative places this task's Statistics."""
-    stats = Statistics()
-    for (half, place), rows in grouped(batches, "half", "place"):
-        got = [(unstepped(r["hashes"]), unsqueezed(r["counts"])) for r in rows]
-        hashes, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([g[1] for g in got])).astype(U64)
-        stats.add(half, hashes, n)
-        yield arrow(COUNTS, [(half, place, steps(hashes), squeezed(n))])
-    yield arrow(COUNTS, stats.rows())
+    for half, ranges in groupby(grouped(batches, "half", "place"), lambda g: g[0][0]):
+        stats = Statistics(half)
+        for (_, place), rows in ranges:
+            got = [(unstepped(r["hashes"]), unsqueezed(r["counts"])) for r in rows]
+            hashes, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([g[1] for g in got])).astype(U64)
+            stats.add(hashes, n)
+            yield arrow(COUNTS, [(half, place, steps(hashes), squeezed(n))])
+        yield arrow(COUNTS, stats.rows())
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over Statistics.rows() sorted by half and place: their sums."""
     for (half, place), rows in grouped(batches, "half", "place"):
-        stats = Statistics()
+        stats = Statistics(half)
         for r in rows:
-            stats.take(half, r["hashes"], r["counts"])
+            stats.take(r["hashes"], r["counts"])
         yield arrow(COUNTS, [r for r in stats.rows() if r[:2] == (half, place)])
 
 
@@ -261,10 +257,10 @@ def fit(docs: DataFrame, ws: Workspace) -> Model:
     found = rows.mapInArrow(count_pairs(n_ranges), COUNTS).repartition("half", "place").sortWithinPartitions("half", "place")
     got = ws.save(found.mapInArrow(merge_pairs, COUNTS), "pairs")
     stats = got.where("place < 0").repartition(2 * PIECES, "half", "place").sortWithinPartitions("half", "place").mapInArrow(add_up, COUNTS)
-    total = Statistics()
+    totals = [Statistics(h) for h in (0, 1)]
     for r in stats.collect():  # 2 * PIECES rows, of at most CLASSES classes in all
-        total.take(r.half, r.hashes, r.counts)
-    return Model(got.where("place >= 0"), [words_of(total.of[h], total.seen[h]) for h in (0, 1)], n_ranges)
+        totals[r.half].take(r.hashes, r.counts)
+    return Model(got.where("place >= 0"), [words_of(t.of, t.seen) for t in totals], n_ranges)
 
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
