@@ -61,6 +61,18 @@ class LineRuns:
         once = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         self._write(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
 
+    def held(self, lines: DataFrame, how: str = "left_semi") -> DataFrame:
+        """The lines (h1, h2 and more) that a run holds, or with "left_anti" those that none does: merge joins with the sorted runs, newest first."""
+        runs = [r.select("h1", "h2") for level in self.levels for _, r in reversed(level)]
+        if how == "left_anti":
+            for r in runs:
+                lines = lines.join(r, ["h1", "h2"], "left_anti")
+            return lines
+        out = lines.limit(0)
+        for r in runs:
+            out = out.unionByName(lines.join(r, ["h1", "h2"], "left_semi"))
+        return out.distinct() if len(runs) > 1 else out
+
     def frequent(self, min_docs: int) -> DataFrame:
         runs = [r for level in self.levels for _, r in level]
         merged = self._merged(runs) if len(runs) > 1 else runs[0]
@@ -89,29 +101,60 @@ def dedup_lines(
     cost time in proportion to their lines. Columns of docs may have any name.
     An empty table gives an empty table.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    by = ["doc_id", "key", "key_too"]
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "doc_id", F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key_too"), text.alias("text"))
-    keys = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("place"), line_key(x).alias("k")))
-    long = F.filter(keys, lambda x: F.char_length(x["k"]) >= min_chars)
-    lines = rows.where("doc_id is not null").select(*by, F.explode(F.transform(long, lambda x: F.struct(x["place"], key_hash(x["k"]).alias("h")))).alias("x"))
-    lines = lines.select(*by, "x.place", "x.h.h1", "x.h.h2", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+    rows = keyed(docs)
+    lines = long_lines(rows, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     lines = ws.save(lines, "lines")
     runs = LineRuns(ws, fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
     frequent = runs.frequent(min_docs).select("h1", "h2", "last_doc", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("h2", "doc_id"), F.lit(salts)).cast("int"))
-    drops = salted.join(frequent, ["h1", "h2", "salt"]).where(F.col("doc_id") < F.col("last_doc"))
-    drops = drops.groupBy(*by).agg(F.collect_list("place").alias("drops"))
-    both = rows.join(drops, by, "left").withColumn("lines", F.split("text", "\n"))
+    return without(rows, salted.join(frequent, ["h1", "h2", "salt"]).where(F.col("doc_id") < F.col("last_doc")))
+
+
+BY = ["doc_id", "key", "key_too"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc (the row as a struct), BY (doc_id and 128 bits of the text), and text, empty for null."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "doc_id", F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key_too"), text.alias("text"))
+
+
+def long_lines(rows: DataFrame, min_chars: int) -> DataFrame:
+    """BY, place, h1, h2 of the lines with a key of min_chars or more."""
+    keys = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("place"), line_key(x).alias("k")))
+    long = F.filter(keys, lambda x: F.char_length(x["k"]) >= min_chars)
+    lines = rows.where("doc_id is not null").select(*BY, F.explode(F.transform(long, lambda x: F.struct(x["place"], key_hash(x["k"]).alias("h")))).alias("x"))
+    return lines.select(*BY, "x.place", "x.h.h1", "x.h.h2")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """doc, n_lines, n_dropped and kept_text of keyed() rows after the lines at the given places (BY, place) are dropped."""
+    drops = dropped.groupBy(*BY).agg(F.collect_list("place").alias("drops"))
+    both = rows.join(drops, BY, "left").withColumn("lines", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
     kept = F.transform(F.array(F.struct(F.col("lines").alias("lines"), stay.alias("stay"))), lambda r: F.transform(r["stay"], lambda i: F.get(r["lines"], i)))  # an array of one: both are made once
     both = both.withColumn("kept", F.when(F.col("drops").isNotNull(), F.get(kept, F.lit(0))))
     n = F.size("lines").cast("long")
     none = F.col("drops").isNull()
-    dropped = F.when(none, F.lit(0).cast("long")).otherwise(n - F.size("kept"))
-    return both.select("doc", n.alias("n_lines"), dropped.alias("n_dropped"), F.when(none, F.col("text")).otherwise(F.array_join("kept", "\n")).alias("kept_text"))
+    left = F.when(none, F.lit(0).cast("long")).otherwise(n - F.size("kept"))
+    return both.select("doc", n.alias("n_lines"), left.alias("n_dropped"), F.when(none, F.col("text")).otherwise(F.array_join("kept", "\n")).alias("kept_text"))
+
+
+def dedup_batch(docs: DataFrame, runs: LineRuns, ws: Workspace, *, min_chars: int = 20) -> DataFrame:
+    """As dedup_lines(), for documents that arrive batch by batch: long lines that an earlier batch held are dropped.
+
+    The batch anti-joins the runs of the batches before, and adds what they
+    don't hold as a run of its own. Within a batch lines stay.
+    """
+    rows = keyed(docs)
+    name = f"batch-{runs.made}"
+    lines = ws.save(long_lines(rows, min_chars), name)
+    old = runs.held(lines)
+    out = ws.save(without(rows, old), f"{name}-kept")
+    runs.add(runs.held(lines, "left_anti"))
+    return out
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

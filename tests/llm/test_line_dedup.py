@@ -1,7 +1,7 @@
 import pytest
 
 from quillmark.llm.common import Workspace
-from quillmark.llm.line_dedup import LineRuns, dedup_lines
+from quillmark.llm.line_dedup import LineRuns, dedup_batch, dedup_lines
 from quillmark.llm.mixing import mix, targets
 
 from .test_pipeline import lines_brute
@@ -47,6 +47,18 @@ def test_levels_stay_few(spark):
     assert {(r.h1, r.n_docs, r.last_doc) for r in runs.frequent(1).collect()} == {(0, 17, 48), (1, 17, 49), (2, 16, 47)}
 
 
+def test_batches_drop_what_earlier_ones_held(spark):
+    ws, seen = Workspace(spark, "t"), set()
+    runs = LineRuns(ws, fanout=2)
+    for b in range(4):
+        texts = {10 * b + i: "\n".join(f"a line of many letters {(7 * i + 3 * b + k) % 23}" if k % 3 else f"short {k}" for k in range(8)) for i in range(3)}
+        df = spark.createDataFrame([(d, t, "q", 1, None) for d, t in texts.items()], SCHEMA)
+        got = {r.doc.doc_id: r.kept_text for r in dedup_batch(df, runs, ws).collect()}
+        assert got == {d: "\n".join(x for x in t.split("\n") if x not in seen) for d, t in texts.items()}
+        seen |= {x for t in texts.values() for x in t.split("\n") if len(x) >= 20}
+    assert sum(map(len, runs.levels)) <= 3
+
+
 def test_targets_and_taken(spark):
     rows = [(i, "w " * (i % 7 * 50), f"s{i % 5}") for i in range(60)] + [(100 + i, "v " * 3000, "S") for i in range(30)] + [(200, None, None), (201, "a b c", None), (202, "", "empty"), (203, "tie tie", "t"), (203, "tie tie", "t")]
     df = spark.createDataFrame([(d, t, "q", 1, s) for d, t, s in rows], SCHEMA)
