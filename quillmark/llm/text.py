@@ -27,7 +27,7 @@ LONG = 1024
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
+    x *= U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
     x *= U64(0x94D049BB133111EB)
     x ^= x >> U64(31)
@@ -81,17 +81,23 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each `size` hashes in a row, from those of its two halves."""
-    known = {1: hashes}
-
-    def of(n: int) -> np.ndarray:
-        if n not in known:
-            a, b = of(n // 2), of(n - n // 2)
-            many = max(0, len(hashes) - n + 1)
-            known[n] = mix(a[:many] * U64(0xD1342543DE82EF95) + b[n // 2 : n // 2 + many])
-        return known[n]
-
-    return of(size)
+    """A hash of each `size` hashes in a row, joined from those of runs of 1, 2, 4, ... of them."""
+    joined, n, run, of = None, 0, hashes, 1
+    while True:
+        if size & of:
+            joined = run if joined is None else pairwise(joined, run, n)
+            n += of
+        if n == size:
+            return joined
+        run, of = pairwise(run, run, of), 2 * of
+
+
+def pairwise(a: np.ndarray, b: np.ndarray, apart: int) -> np.ndarray:
+    """A hash of a[i] and b[i + apart], for every i that has both."""
+    many = max(0, min(len(a), len(b) - apart))
+    out = a[:many] * U64(0xD1342543DE82EF95)
+    out += b[apart : apart + many]
+    return mix(out)
 
 
 def counts(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
