@@ -32,7 +32,7 @@ from quillmark.llm.text import NOT_SPACE, chunks, counts, mix, row_of, windows,
 CLASS_BITS = 20
 CLASSES = 1 << CLASS_BITS
 #: Texts are read in chunks of so many bytes; a range of pairs is for so many bytes of text; texts are scored in so many rounds.
-CHUNK, RANGE, ROUNDS = 8 << 20, 4 << 20, 4
+CHUNK, RANGE, ROUNDS = 2 << 20, 8 << 20, 4
 #: Bands in quartile distances beyond the quartile, at least so wide in nats a word, and what chance allows short texts.
 SPREADS, LEAST_BAND, SHORT_BAND = 2.0, 0.6, 9.0
 #: Statistics of classes travel in so many pieces.
