@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmark.llm import ann, classifier, collocations, license_scan, line_dedup, mixing, near_dedup, packing, pii, quality, resample, substring_dedup
+from quillmark.llm import ann, classifier, collocations, fingerprint, license_scan, line_dedup, mixing, near_dedup, packing, pii, quality, resample, substring_dedup
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_fingerprints": fingerprint.op11_fingerprints,
     "op12_collocations": collocations.op12_collocations,
     "op13_resample": resample.op13_resample,
 }
