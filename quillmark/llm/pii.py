@@ -42,19 +42,30 @@ CONTEXT_GAIN, CONTEXT_CHARS, MIN_SCORE = 0.4, 40, 0.6
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
+#: Matches of a kind are placed in blocks of so many, so that a text's cost grows with its matches.
+BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
 def luhn(number: Column, width: int = 19) -> Column:
     """True if the digits pass; leading zeros, which add nothing, make up the width."""
-    padded = F.lpad(number, width, "0")
-    total = F.lit(0)
-    for i in range(1, width + 1):
-        d = F.substring(padded, i, 1).cast("int")
-        twice = d * 2
-        total = total + (d if (width - i) % 2 == 0 else F.when(twice > 9, twice - 9).otherwise(twice))
-    return total % 10 == 0
+
+    def sum_of(padded: Column) -> Column:
+        total = F.lit(0)
+        for i in range(1, width + 1):
+            d = F.substring(padded, i, 1).cast("int")
+            total = total + (d if (width - i) % 2 == 0 else (d * 2) % 10 + F.floor(d / 5).cast("int"))
+        return total
+
+    return let(F.lpad(number, width, "0"), sum_of) % 10 == 0
 
 
 def mod97(iban: Column) -> Column:
@@ -73,7 +84,7 @@ def confirmed(kind: str, m: Column) -> Column:
     if kind == "ip":
         return m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
     if kind == "card":
-        return F.char_length(digits(m)).between(16, 19) & luhn(digits(m))
+        return let(digits(m), lambda d: F.char_length(d).between(16, 19) & luhn(d))
     if kind == "phone":
         return F.char_length(digits(m)).between(8, 15)
     if kind == "iban":
@@ -85,6 +96,55 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+SPANS = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
+
+
+def spans_of(kind: str, text: Column) -> Column:
+    """The confirmed spans of a kind with their scores.
+
+    The text between matches gives their places. They are added up within
+    blocks of matches, and then over the blocks; a span's context is looked up
+    in its block's text and what stands before it.
+    """
+    pattern = PATTERNS[kind]
+
+    def blocks(s: Column) -> Column:
+        n = F.size(s["m"])
+        piece = lambda i: F.struct(F.get(s["gaps"], i).alias("gap"), F.get(s["m"], i).alias("m"))
+        parts = F.transform(F.sequence(F.lit(0), n - 1, F.lit(BLOCK)), lambda b: F.transform(F.sequence(b, F.least(b + BLOCK, n) - 1), piece))
+        return F.transform(parts, lambda p: F.struct(p.alias("parts"), F.array_join(F.transform(p, lambda x: F.concat(x["gap"], x["m"])), "").alias("text")))
+
+    def place(acc: Column, x: Column) -> Column:
+        """Adds a match to the places in its block."""
+        start = acc["pos"] + F.char_length(x["gap"])
+        end = start + F.char_length(x["m"])
+        new = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))
+        return F.struct(end.alias("pos"), F.when(confirmed(kind, x["m"]), F.concat(acc["found"], new)).otherwise(acc["found"]).alias("found"))
+
+    def add(acc: Column, block: Column) -> Column:
+        """Adds a block's spans."""
+        none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+        found = F.aggregate(block["parts"], F.struct(F.lit(0).alias("pos"), none.alias("found")), place, lambda a: a["found"])
+        before = F.char_length(acc["tail"])
+
+        def span(s: Column, around: Column) -> Column:
+            at = s["start"] + before
+            left = F.substr(around, F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)))
+            score = F.least(F.lit(PRIOR[kind]) + F.when(F.lower(left).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0), F.lit(1.0))
+            return F.struct(F.lit(kind).alias("kind"), (s["start"] + acc["pos"]).alias("start"), (s["end"] + acc["pos"]).alias("end"), s["m"].alias("value"), score.alias("score"))
+
+        spans = let(F.concat(acc["tail"], block["text"]), lambda around: F.transform(found, lambda s: span(s, around)))
+        kept = spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
+        tail = F.right(F.concat(acc["tail"], block["text"]), F.lit(CONTEXT_CHARS))
+        return F.struct((acc["pos"] + F.char_length(block["text"])).alias("pos"), tail.alias("tail"), F.concat(acc["spans"], F.array(kept)).alias("spans"))
+
+    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(f"array<{SPANS}>").alias("spans"))
+    some = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(HINTS[kind])
+    matches = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    found = let(matches, lambda s: F.when(F.size(s["m"]) > 0, F.aggregate(blocks(s), zero, add, lambda a: F.flatten(a["spans"]))))
+    return F.coalesce(F.when(some, found), F.array().cast(SPANS))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, text and pii of every row: array of (kind, start, end, value, score).
 
@@ -95,43 +155,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     national_id reaches only with a context word in the CONTEXT_CHARS before it.
 
     Null or empty text gives an empty array; repeated rows give a row each. Very
-    long texts are scanned whole. Only doc_id and text are read of docs. An
-    empty table gives an empty one.
+    long texts are scanned whole, at a cost that grows with their length and
+    matches. Only doc_id and text are read of docs. An empty table gives an
+    empty one.
     """
-    empty = F.array().cast("array<string>")
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    may = {k: F.contains("text", F.lit("@")) if k == "email" else F.col("text").rlike(h) for k, h in HINTS.items()}
-    rows = rows.withColumns({f"m_{k}": F.when(may[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(empty) for k, p in PATTERNS.items()})
-    # the text between matches gives their places
-    gaps = {f"g_{k}": F.when(F.size(f"m_{k}") > 0, F.transform(F.split("text", p), F.char_length)) for k, p in PATTERNS.items()}
-    rows = rows.withColumns(gaps)
-
-    def placed(k: str) -> Column:
-        pairs = F.zip_with(F.slice(f"g_{k}", 1, F.size(f"m_{k}")), f"m_{k}", lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-        none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["pos"] + x["gap"]
-            end = start + F.char_length(x["m"])
-            return F.struct(end.alias("pos"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("spans"))
-
-        found = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"])
-        return F.when(F.size(f"m_{k}") > 0, found).otherwise(none)
-
-    def scored(k: str) -> Column:
-        def score(s: Column) -> Column:
-            left = F.substr("text", F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-            gain = F.when(F.lower(left).rlike(CONTEXT[k]), CONTEXT_GAIN).otherwise(0.0)
-            return F.least(F.lit(PRIOR[k]) + gain, F.lit(1.0))
-
-        kept = F.transform(
-            F.filter(f"s_{k}", lambda s: confirmed(k, s["m"])),
-            lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("value"), score(s).alias("score")),
-        )
-        return kept if k in BASE else F.filter(kept, lambda s: s["score"] >= MIN_SCORE)
-
-    rows = rows.withColumns({f"s_{k}": placed(k) for k in PATTERNS})
-    return rows.select("doc_id", "text", F.concat(*[scored(k) for k in PATTERNS]).alias("pii"))
+    return rows.select("doc_id", "text", F.concat(*[spans_of(k, F.col("text")) for k in PATTERNS]).alias("pii"))
 
 
 def listed(spans: Column) -> Column:

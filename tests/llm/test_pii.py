@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from quillmark.llm.pii import find_pii, op4_pii
 
@@ -77,3 +78,31 @@ def test_query_against_brute_force(spark, sf_dir):
         want = brute(docs[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert r.n_email + r.n_ip + r.n_card + r.n_phone == len(want)
+
+
+def test_many_matches_in_one_text(spark):
+    """A megabyte of each kind in a text, and of numbers that no check confirms, in seconds."""
+
+    texts = [
+        " ".join(f"{i % 250}.{i % 199}.{i % 100}.{i % 260} x" for i in range(62_000)),
+        " x ".join(f"{i % 90 + 10}" for i in range(200_000)),
+        " ".join(f"user{i}@host{i % 100}.com" for i in range(50_000)),
+        " x ".join(f"4111 1111 1111 {i % 9000 + 1000}" for i in range(45_000)),
+        "é".join(f"+49 30 {i % 900_000 + 100_000} " for i in range(60_000)),
+    ]
+    docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(5)
+    find_pii(docs.limit(0)).collect()
+    began = time.time()
+    got = spans(find_pii(docs))
+    assert time.time() - began < 90
+    for i, t in enumerate(texts):
+        assert [s for s in got[i] if s.split(":")[0] in BASE] == brute(t)
+
+
+def test_context_reaches_over_earlier_matches_and_blocks(spark):
+    n = 700
+    text = " ".join(["ssn 123-45-6789, 123-45-6788"] + ["word"] * 9 + ["123-45-6787"]) + "\n" + "\n".join(f"ssn {i % 600 + 100:03d}-45-{i + 1000} and {i % 600 + 100:03d}-44-{i + 1000}" for i in range(n))
+    got = [s for s in spans(find_pii(spark.createDataFrame(rows([text]), SCHEMA)))[0] if s.startswith("national")]
+    want = [m for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text)]
+    near = [m for m in want if "ssn" in text[max(0, m.start() - 40) : m.start()] and not re.search(r"^(000|666|9)|-00-|-0000$", m[0])]
+    assert got == [f"national_id:{m.start()}:{m.end()}" for m in near] and len(got) > 2 * n - 20
