@@ -22,6 +22,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from quillmark.llm.text import LOWER, chunks, mix, row_of, word_hashes
 
 MOST, LEAST, TOP, INSIDE = 4, 30, 2000, 80
 #: Bytes of text read at once, words whose windows are combined at once, bytes of text whose windows make a bucket.
-CHUNK, STEP, RANGE = 8 << 20, 2 << 20, 16 << 20
+CHUNK, STEP, RANGE = 4 << 20, 1 << 20, 8 << 20
 U64 = np.uint64
 
 BREAK = np.zeros(256, bool)
@@ -61,17 +62,15 @@ class Windows:
 
     def combined(self) -> Windows:
         """Equal windows once, sorted."""
-        keys = [self.columns[k].astype(U64) << U64(32) | (self.columns[k + 1].astype(U64) if k + 1 < len(self.columns) else U64(0)) for k in range(0, len(self.columns), 2)]
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for key in keys:
-            new[1:] |= key[order][1:] != key[order][:-1]
-        at = np.flatnonzero(new)
-        first = order[at]
-        n = np.add.reduceat(self.n[order], at) if len(at) else self.n
-        known = np.maximum.reduceat(self.known[order], at) if len(at) else self.known
-        return Windows([c[first] for c in self.columns], n, known, self.words)
+        order = ascending(self.columns, len(self.words) + 1)
+        return Windows([c[order] for c in self.columns], self.n[order], self.known[order], self.words).grouped()
+
+    def grouped(self) -> Windows:
+        """Equal windows once, where they stand side by side."""
+        at = np.flatnonzero(changes(self.columns))
+        if not len(at):
+            return self
+        return Windows([c[at] for c in self.columns], np.add.reduceat(self.n, at), np.maximum.reduceat(self.known, at), self.words)
 
     def blocks(self, lang: str, length: int, buckets: int) -> Iterator[tuple]:
         """Rows of shape(): the windows, which are sorted, dealt by their first words."""
@@ -86,31 +85,75 @@ class Windows:
         at = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else [0]
         for a, b in zip(at[:-1], at[1:]):
             part = order[a:b]
-            used, ids = np.unique(np.concatenate([[0], *[c[part] for c in self.columns]]), return_inverse=True)
-            ids = ids[1:].reshape(len(self.columns), -1)
-            words = b"\n".join(self.words.take(pa.array(used[1:] - 1)).to_pylist())
-            body = np.concatenate([np.diff(ids[0], prepend=0), *ids[1:], self.n[part], self.known[part]])
-            yield lang, int(bucket[part[0]]), zstandard.compress(words, 3), squeezed(body)
-
-
-def squeezed(numbers: np.ndarray) -> bytes:
-    """Numbers that aren't negative, byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
-
-
-def unsqueezed(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+            ids = np.stack([c[part] for c in self.columns])
+            used, ids = renumbered(ids, len(self.words) + 1)
+            ids[0] = np.diff(ids[0], prepend=0)
+            yield lang, int(bucket[part[0]]), zstandard.compress(lines(self.words.take(pa.array(used[1:] - 1))), 1), squeezed(ids, self.n[part], self.known[part])
+
+
+def changes(columns: list[np.ndarray]) -> np.ndarray:
+    """True where the columns' values are others than in the row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def ascending(columns: list[np.ndarray], below: int) -> np.ndarray:
+    """The order of rows of numbers under `below`: by as many columns as fit in 63 bits, and then by the others where these are equal."""
+    bits = max(1, int(below).bit_length())
+    keys = []
+    for k in range(0, len(columns), 63 // bits):
+        key = np.zeros(len(columns[0]), np.int64)
+        for c in columns[k : k + 63 // bits]:
+            key = key << bits | c
+        keys.append(key)
+    order = np.argsort(keys[0])
+    if len(keys) > 1:
+        first = keys[0][order]
+        same = np.r_[False, first[1:] == first[:-1]]
+        tied = np.flatnonzero(same | np.r_[same[1:], False])
+        order[tied] = order[tied][np.lexsort([k[order[tied]] for k in keys[::-1]])]
+    return order
+
+
+def renumbered(ids: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that occur, with 0, ascending, and each number's place among them."""
+    if 8 * ids.size < below:
+        used, at = np.unique(np.append(ids.ravel(), 0), return_inverse=True)
+        return used, at[:-1].reshape(ids.shape)
+    seen = np.zeros(below, bool)
+    seen[0] = True
+    seen[ids.ravel()] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[ids]
+
+
+def lines(words: pa.Array) -> bytes:
+    """Words, which hold no line ends, line by line."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b"\n")[0].as_py()
+
+
+def squeezed(ids: np.ndarray, n: np.ndarray, known: np.ndarray) -> bytes:
+    """Columns of numbers byte plane by byte plane, which compresses well."""
+    planes = lambda x, kind: np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(n), -1).T).tobytes()
+    return zstandard.compress(b"".join([*(planes(c, "<u4") for c in ids), planes(n, "<u8"), known.astype(np.uint8).tobytes()]), 1)
 
 
 def opened(words: bytes, body: bytes, most: int) -> Windows:
-    numbers = unsqueezed(body).reshape(most + 2, -1)
-    columns = [np.cumsum(numbers[0]).astype(np.int32), *numbers[1:most].astype(np.int32)]
-    return Windows(columns, numbers[-2].copy(), numbers[-1].astype(np.int8), pa.array(zstandard.decompress(words).split(b"\n"), pa.binary()))
+    raw = np.frombuffer(zstandard.decompress(body), np.uint8)
+    n = len(raw) // (4 * most + 9)
+    planes = raw[: (4 * most + 8) * n].reshape(-1, n)
+    ids = [np.ascontiguousarray(planes[4 * k : 4 * k + 4].T).view("<i4").ravel() for k in range(most)]
+    ids[0] = np.cumsum(ids[0], dtype=np.int32)
+    count = np.ascontiguousarray(planes[4 * most :].T).view("<i8").ravel()
+    return Windows(ids, count, raw[-n:].view(np.int8), pc.split_pattern(pa.array([zstandard.decompress(words)], pa.binary()), "\n")[0].values)
 
 
 def joined(parts: list[Windows]) -> Windows:
     """The windows of all parts over one list of words, combined."""
+    if len(parts) == 1:
+        return parts[0].combined()
     own = pa.concat_arrays([p.words for p in parts]).dictionary_encode()
     ids, first, columns = own.indices.to_numpy().astype(np.int32) + 1, 0, []
     for p in parts:
@@ -145,7 +188,7 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, most: int, step: int) -> I
             same = piece[a + k : b + k] == piece[a : min(b, len(piece) - k)]
             lead[: len(same)] = np.where(same, first[k : k + len(same)], 0)
             columns.append(lead)
-        yield Windows(columns, np.ones(b - a, np.int64), np.zeros(b - a, np.int8), words.dictionary).combined()
+        yield Windows(columns, np.ones(b - a, np.int64), np.zeros(b - a, np.int8), words.dictionary)
 
 
 def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -164,7 +207,7 @@ def count_windows(most: int, buckets: int, step: int):
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             for code, lang in enumerate(langs.dictionary.to_pylist()):
-                texts = batch.column(1).filter(pa.compute.equal(langs.indices, code))
+                texts = batch.column(1).filter(pc.equal(langs.indices, code))
                 for _, data, offsets in chunks(texts, CHUNK):
                     for found in windows_of(data, offsets, most, step):
                         held.setdefault(lang, []).append(found)
@@ -199,18 +242,14 @@ def fold(most: int, length: int, least: int, buckets: int, step: int):
             held, size = {lang: []}, 0
             for _, blocks in groups:
                 met = joined([opened(r["words"], r["body"], most) for r in blocks])
-                new = np.zeros(len(met.n), bool)
-                new[:1] = True
-                for c in met.columns[:length]:
-                    new[1:] |= c[1:] != c[:-1]
+                new = changes(met.columns[:length])
                 at, group = np.flatnonzero(new), np.cumsum(new) - 1
                 often = (np.add.reduceat(met.n, at) >= least) | (np.maximum.reduceat(met.known, at) > 0)
                 good = often[group] & (met.columns[length - 1] > 0)
                 yield counted(schema, lang, met.where(good & (met.n > 0)))
-                met.columns[length - 1] = np.where(good, 0, met.columns[length - 1])
-                for c in met.columns[length - 1 :]:  # frequent windows leave a mark, rare ones go on without the word
-                    c[:] = 0
-                rest = Windows(met.columns, np.where(good, 0, met.n), np.where(good, 1, met.known).astype(np.int8), met.words).combined()
+                # frequent windows leave a mark, rare ones go on without the word; the order stays
+                columns = [c if k < length - 1 else np.zeros_like(c) for k, c in enumerate(met.columns)]
+                rest = Windows(columns, np.where(good, 0, met.n), np.where(good, np.int8(1), met.known), met.words).grouped()
                 if length == 1:
                     yield counted(schema, lang, rest.where(rest.n > 0))
                     continue
