@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import classify, extract
 from quillmark.functions.text import author_agrees, author_list, authors_complete, grounded_excerpt, html_parts, normal_title, title_similarity
-from quillmark.operators import discovery, evaluate, incremental, mentions, ranking, resolve, search, tree
+from quillmark.operators import catalog, discovery, evaluate, incremental, mentions, ranking, resolve, search, tree
 from quillmark.plans import api, oracle
+from quillmark.session import cut
 from quillmark.sources import views
 from quillmark.sources.views import read
 from quillmark.streaming import stream
@@ -590,6 +591,36 @@ def lookup_records(spark, sf_dir):
     return rows.groupBy("span_id").agg(F.count("*").alias("n"), F.sum(F.regexp_extract("key", r"(\d+)", 1).cast("long")).alias("keys"))
 
 
+_CATALOG = """
+with r as (
+  select '/works/OL' || p_partkey || 'W' as key, string_split(lower(p_name || ' ' || p_type), ' ') as w, string_split(lower(replace(s_name, '#', ' ')), ' ') as a
+  from part left join supplier on s_suppkey = p_partkey % 100
+),
+q as (
+  select distinct upper(p_name) || ' ' || lower(p_type) as title, s_name as author, string_split(lower(p_name || ' ' || p_type), ' ') as w, string_split(lower(replace(s_name, '#', ' ')), ' ') as a
+  from part left join supplier on s_suppkey = (p_partkey * 7 + 3) % 100
+),
+rt as (select key, len(w) as n_words, unnest(list_distinct(list_concat(['t ' || x for x in w], ['p ' || w[i] || ' ' || w[i + 1] for i in range(1, len(w))], ['a ' || x for x in coalesce(a, [])]))) as term from r),
+qt as (select title, author, unnest(list_distinct(list_concat(['t ' || x for x in w], ['p ' || w[i] || ' ' || w[i + 1] for i in range(1, len(w))], ['a ' || x for x in coalesce(a, [])]))) as term from q),
+df as (select term, cast(floor(1000 * ln(1 + (select count(*) from r)::double / count(*))) as bigint) as weight from rt group by term),
+i as (select key, term, case when term[1] = 'a' then weight else greatest(1, weight * 4 // (3 + n_words)) end as impact from rt join df using (term)),
+s as (select title, author, key, cast(sum(impact) as bigint) as score from qt join i using (term) group by all having bool_or(term like 't %'))
+select title, author, row_number() over (partition by title, author order by score desc, key) - 1 as place, key, score from s qualify place < 8"""
+
+
+@query(_CATALOG)
+def catalog_search_top8(spark, sf_dir):
+    """Every part's name and type, with a supplier as author, asked of an index of all parts: the best eight of each question."""
+    p, s = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    by = lambda n: p.join(s, F.col("s_suppkey") == n, "left")
+    names = F.when(F.col("s_name").isNotNull(), F.array("s_name"))
+    records = by(F.col("p_partkey") % 100).select(F.concat(F.lit("/works/OL"), "p_partkey", F.lit("W")).alias("key"), F.concat_ws(" ", "p_name", "p_type").alias("title"), names.alias("names"))
+    asks = by((F.col("p_partkey") * 7 + 3) % 100).select(F.concat_ws(" ", F.upper("p_name"), F.lower("p_type")).alias("title"), F.col("s_name").alias("author"), names.alias("names")).distinct()
+    asks = cut(catalog.with_terms(asks, "title", "names").select(F.to_json(F.array("title", "author")).alias("ask"), "title", "author", "terms"))
+    found = catalog.search(asks.select("ask", "terms"), catalog.build(records))
+    return asks.join(found, "ask").select("title", "author", F.col("place").cast("long").alias("place"), "key", "score")
+
+
 @query("""
 with b as (select p_name, min(p_partkey) as id, min(p_partkey) % 4 = 0 as barred from part where p_size % 3 <> 0 group by p_name)
 select p_partkey as span_id, id as book_id, 1.0::double as confidence, 1::bigint as n_books from part s join b using (p_name) where not (barred and s.p_size % 2 = 0)""")
