@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,41 +12,67 @@ from quillmark.session import cut
 TEXT_CAP = 6000
 
 
-def reachable(items: DataFrame, roots: DataFrame) -> DataFrame:
-    """id, depth of the items that roots (id) reach over kids; each once, cycles end.
+def climbed(nodes: DataFrame) -> DataFrame:
+    """id, top, depth of the nodes (id, up) whose way up ends, at a node without `up`; ids and ups are of one type.
 
-    One join for each level of the trees; every level is checkpointed, so that
-    a lost executor costs no more than a level.
+    Pointer doubling: in each round a node's pointer goes on to where the node
+    that it points to points, so ways double and the rounds are the logarithm
+    of the longest. Only ways that haven't ended are joined. A round that ends
+    none shows that the rest goes round in cycles. `up` has to be a node.
     """
-    seen = roots.select("id", F.lit(0).alias("depth"))
-    level = seen
-    edges = items.select("id", F.explode("kids").alias("kid"))
-    for depth in count(1):
-        level = cut(level.join(edges, "id").select(F.col("kid").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if not level.limit(1).count():
+    ways = cut(nodes.select("id", F.coalesce("up", "id").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.col("up").isNull().alias("ended")))
+    left = ways.where("not ended").count()
+    while left:
+        on = ways.select(F.col("id").alias("at"), F.col("at").alias("beyond"), F.col("depth").alias("more"), F.col("ended").alias("ends"))
+        further = ways.where("not ended").join(on, "at").select("id", F.col("beyond").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("ended"))
+        ways = cut(ways.where("ended").union(further))
+        before, left = left, ways.where("not ended").count()
+        if left == before:
             break
-        seen = seen.union(level)
-    return seen.join(items.select("id"), "id", "left_semi")
+    return ways.where("ended").select("id", F.col("at").alias("top"), "depth")
+
+
+def under(items: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, root, depth of the items (id, kids) that roots (id) reach over kids; each once, cycles end.
+
+    An item that several others hold hangs on the smallest of them; if that one
+    isn't reached, on one that is.
+    """
+    held = items.select(F.col("id").alias("up"), F.explode("kids").alias("id")).distinct()
+    nodes = items.select("id").distinct()
+    found, start = None, roots.select("id", F.col("id").alias("root"), F.lit(0).alias("depth")).distinct()
+    while True:
+        parents = held.join(nodes.select(F.col("id").alias("up")), "up").groupBy("id").agg(F.min("up").alias("up"), F.count("*").alias("n"))
+        open_ = nodes.join(start.select("id", "root", F.col("depth").alias("above")), "id", "left").join(parents, "id", "left")
+        open_ = cut(open_.withColumn("up", F.when(F.col("root").isNull(), F.col("up"))))
+        ends = open_.where("root is not null").select(F.col("id").alias("top"), "root", "above")
+        got = climbed(open_.select("id", "up")).join(ends, "top").select("id", "root", (F.col("above") + F.col("depth")).alias("depth"))
+        found = got if found is None else found.union(got)
+        if not open_.where("n > 1").limit(1).count():
+            return found
+        found = cut(found)
+        nodes = cut(nodes.join(found.select("id"), "id", "left_anti"))
+        again = held.join(nodes, "id").join(found.select(F.col("id").alias("up"), "root", "depth"), "up")
+        start = cut(again.groupBy("id").agg(F.min(F.struct((F.col("depth") + 1).alias("depth"), "root")).alias("s")).select("id", "s.root", "s.depth"))
+        if not start.limit(1).count():
+            return found
+
+
+def reachable(items: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, depth of the items that roots (id) reach over kids."""
+    return under(items, roots).select("id", "depth")
 
 
 def depths(comments: DataFrame) -> DataFrame:
     """thread_id, reachable, depth: how many items hang on the thread's items without a stored parent, and how deep.
 
-    One join for each level, however many there are; every level is checkpointed.
-    Items of a cycle hang on none.
+    Items of a cycle hang on none. An item that is stored twice with different
+    parents hangs on the smaller one.
     """
-    rows = comments.select("thread_id", "id", "parent_id")
-    stored = rows.select("thread_id", F.col("id").alias("parent_id")).distinct()
-    level = cut(rows.join(stored, ["thread_id", "parent_id"], "left_anti").select("thread_id", "id"))
-    kids = rows.select("thread_id", F.col("parent_id").alias("id"), F.col("id").alias("kid"))
-    counts, depth = None, 0
-    while level.limit(1).count():
-        found = level.groupBy("thread_id").agg(F.count("*").alias("n"), F.lit(depth).alias("depth"))
-        counts = cut(found if counts is None else counts.unionByName(found).groupBy("thread_id").agg(F.sum("n").alias("n"), F.max("depth").alias("depth")))
-        level = cut(level.join(kids, ["thread_id", "id"]).select("thread_id", F.col("kid").alias("id")))
-        depth += 1
-    counts = level.select("thread_id", F.lit(0).cast("long").alias("n"), F.lit(0).alias("depth")) if counts is None else counts
-    return counts.select("thread_id", F.col("n").alias("reachable"), "depth")
+    rows = comments.groupBy(F.struct("thread_id", "id").alias("id")).agg(F.min("parent_id").alias("parent_id"))
+    rows = rows.withColumn("asked", F.struct(F.col("id.thread_id").alias("thread_id"), F.col("parent_id").alias("id")))
+    nodes = rows.join(rows.select(F.col("id").alias("up")), F.col("asked") == F.col("up"), "left").select("id", "up")
+    return climbed(nodes).groupBy("id.thread_id").agg(F.count("*").alias("reachable"), F.max("depth").alias("depth"))
 
 
 def missing(items: DataFrame) -> DataFrame:

@@ -21,18 +21,8 @@ def threads_of(items: DataFrame) -> DataFrame:
 
 def comments_of(items: DataFrame, roots: DataFrame) -> DataFrame:
     """Comments that the roots (id) reach, with their root as thread_id; deleted and dead ones stay, without text."""
-    edges = items.select("id", F.explode("kids").alias("kid"))
-    found, level = None, roots.select("id", F.col("id").alias("thread_id"))
-    while True:
-        level = level.join(edges, "id").select(F.col("kid").alias("id"), "thread_id").distinct()
-        level = level if found is None else level.join(found.select("id"), "id", "left_anti")
-        level = cut(level)
-        if not level.limit(1).count():
-            break
-        found = level if found is None else found.union(level)
+    rows = items.join(tree.under(items, roots).select("id", F.col("root").alias("thread_id")), "id")
     gone = F.coalesce("deleted", F.lit(False)) | F.coalesce("dead", F.lit(False))
-    rows = items if found is None else items.join(found, "id")
-    rows = rows.withColumn("thread_id", F.lit(None).cast("long")).limit(0) if found is None else rows
     return rows.where("type = 'comment'").select("id", "thread_id", F.col("parent").alias("parent_id"), F.col("by").alias("author"), F.when(gone, "").otherwise(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("time", F.lit(0)).alias("created_at"))
 
 
