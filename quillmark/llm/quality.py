@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Workspace, table
+from quillmark.llm.common import Workspace, lean, table
 from quillmark.llm.text import NOT_SPACE, chunks, counts, mix, row_of, windows, word_hashes, words
 
 CLASS_BITS = 20
@@ -254,9 +254,9 @@ def fit(docs: DataFrame, ws: Workspace) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = 1 + size // 2 // RANGE
     rows = keyed(docs.select("lang", "text")).select((F.col("q_round") % 2).alias("half"), "q_lang", "text")
-    found = rows.mapInArrow(count_pairs(n_ranges), COUNTS).repartition("half", "place").sortWithinPartitions("half", "place")
-    got = ws.save(found.mapInArrow(merge_pairs, COUNTS), "pairs")
-    stats = got.where("place < 0").repartition(2 * PIECES, "half", "place").sortWithinPartitions("half", "place").mapInArrow(add_up, COUNTS)
+    found = rows.mapInArrow(lean(count_pairs(n_ranges)), COUNTS).repartition("half", "place").sortWithinPartitions("half", "place")
+    got = ws.save(found.mapInArrow(lean(merge_pairs), COUNTS), "pairs")
+    stats = got.where("place < 0").repartition(2 * PIECES, "half", "place").sortWithinPartitions("half", "place").mapInArrow(lean(add_up), COUNTS)
     totals = [Statistics(h) for h in (0, 1)]
     for r in stats.collect():  # 2 * PIECES rows, of at most CLASSES classes in all
         totals[r.half].take(r.hashes, r.counts)
@@ -401,11 +401,11 @@ def scores(docs: DataFrame, model: Model, ws: Workspace) -> DataFrame:
     for k in range(ROUNDS):
         other = 1 - k % 2
         words_ = spark.sparkContext.broadcast(model.words[other])  # of fixed size
-        asked = rows.where(F.col("q_round") == k).select("q_key", "q_key_too", "doc_id", "lang", "q_lang", "text").mapInArrow(ask(words_, model.n_ranges), ASKED)
+        asked = rows.where(F.col("q_round") == k).select("q_key", "q_key_too", "doc_id", "lang", "q_lang", "text").mapInArrow(lean(ask(words_, model.n_ranges)), ASKED)
         held = model.pairs.where(F.col("half") == other).select("place", F.lit(-1).cast("long").alias("part"), "hashes", "counts", F.lit(None).cast("binary").alias("docs"))
         met = asked.union(held).repartition("place").sortWithinPartitions("place", "part")
-        answers = met.mapInArrow(answer(words_), ASKED).repartition("part").sortWithinPartitions("part")
-        got = ws.save(answers.mapInArrow(settle, SCORES), f"scores-{k}")
+        answers = met.mapInArrow(lean(answer(words_)), ASKED).repartition("part").sortWithinPartitions("part")
+        got = ws.save(answers.mapInArrow(lean(settle), SCORES), f"scores-{k}")
         out = out.union(got) if out else got
     return out
 
