@@ -27,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Workspace, table
+from quillmark.llm.common import Workspace, lean, table
 from quillmark.llm.text import LOWER, chunks, mix, row_of, word_hashes
 
 MOST, LEAST, TOP, INSIDE = 4, 30, 2000, 80
 #: Bytes of text read at once, words whose windows are combined at once, bytes of text whose windows make a bucket.
-CHUNK, STEP, RANGE = 4 << 20, 1 << 20, 8 << 20
+CHUNK, STEP, RANGE = 4 << 20, 1 << 19, 8 << 20
 U64 = np.uint64
 
 BREAK = np.zeros(256, bool)
@@ -279,10 +279,10 @@ def phrase_counts(docs: DataFrame, ws: Workspace, *, most: int = MOST, least: in
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, kind = 1 + size // span, ddl(shape(most))
     columns = [f"w{k + 1}" for k in range(most)]
-    blocks, rows = docs.select("lang", "text").mapInArrow(count_windows(most, buckets, step), kind), None
+    blocks, rows = docs.select("lang", "text").mapInArrow(lean(count_windows(most, buckets, step)), kind), None
     for length in range(most, 0, -1):
         met = blocks.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
-        got = ws.save(met.mapInArrow(fold(most, length, least, buckets, step), kind), f"round-{length}")
+        got = ws.save(met.mapInArrow(lean(fold(most, length, least, buckets, step)), kind), f"round-{length}")
         kept = ws.save(got.where("body is null").select("lang", *columns, "n"), f"windows-{length}")
         rows = rows.unionByName(kept) if rows else kept
         blocks = got.where("body is not null")
