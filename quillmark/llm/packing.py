@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Workspace, prefix_sums, table
+from quillmark.llm.common import Workspace, lean, prefix_sums, table
 
 WINDOW, UNIT, DEPTH, END_ID = 2048, 128, 4, 1
 SCHEMA = (
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, ws: Workspace, *, path: str | None = None, window: int
     empty table gives no pieces.
     """
     parts = window // unit
-    cut = docs.select("doc_id", "text").mapInArrow(cut_documents(path or tokenizer_path(), window, unit, end_id), SCHEMA)
+    cut = docs.select("doc_id", "text").mapInArrow(lean(cut_documents(path or tokenizer_path(), window, unit, end_id)), SCHEMA)
     cut = cut.withColumn("row_no", F.monotonically_increasing_id()).withColumn("q_part", F.spark_partition_id())
     cut = ws.save(cut, "cut")
     cut = cut.withColumn("n_windows", F.size("window_crcs").cast("long")).withColumn("n_tail", (F.octet_length("tail") / 4).cast("long"))
