@@ -25,11 +25,12 @@ def gated(spans: DataFrame, require_author: bool = False) -> DataFrame:
 
 
 def against_books(spans: DataFrame, books: DataFrame, version: int | None = None, review_digest: str | None = None) -> DataFrame:
-    """span_id, book_id, confidence, n_books: spans that books of the library match.
+    """span_id, book_id, confidence, n_books, candidates: spans that books of the library match.
 
     Titles have to be equal in normal form, so this is an equi-join, not a
     comparison of every span with every book; work links join on the link. A
-    span that several books match stays unresolved: book_id is null. With a
+    span that several books match stays unresolved: book_id is null, and the
+    books are its candidates (book_id, confidence), best first. With a
     version (or digest of reviews), books that another one resolved don't count,
     so that their spans are looked up again. A work that reviews exclude for the
     span's author matches by its link only.
@@ -47,9 +48,10 @@ def against_books(spans: DataFrame, books: DataFrame, version: int | None = None
     linked = s.where("work_id is not null").join(b.withColumnRenamed("openlibrary_id", "work_id"), "work_id")
     hits = titled.select("span_id", "book_id", "title", "canonical_title").union(linked.select("span_id", "book_id", "title", "canonical_title"))
     hits = hits.withColumn("score", title_similarity("title", "canonical_title"))
-    per = hits.groupBy("span_id").agg(F.count("*").alias("n_books"), F.min("book_id").alias("book_id"), F.max("score").alias("score"))
+    books_of = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "book_id"))), lambda b: F.struct(b["book_id"].alias("book_id"), (-b["down"]).alias("confidence")))
+    per = hits.groupBy("span_id").agg(F.count("*").alias("n_books"), F.min("book_id").alias("book_id"), F.max("score").alias("score"), books_of.alias("books"))
     one = F.col("n_books") == 1
-    return per.select("span_id", F.when(one, F.col("book_id")).alias("book_id"), F.when(one, F.greatest("score", F.lit(TITLE_SCORE))).otherwise(0.0).alias("confidence"), "n_books")
+    return per.select("span_id", F.when(one, F.col("book_id")).alias("book_id"), F.when(one, F.greatest("score", F.lit(TITLE_SCORE))).otherwise(0.0).alias("confidence"), "n_books", F.filter("books", lambda b: ~one).alias("candidates"))
 
 
 LOOKUP = ("key", "candidate_title", "names", "subjects", "isbns", "year", "cover_i")

@@ -556,8 +556,9 @@ def catalog_duplicate_pick(spark, sf_dir):
 
 @query("""
 with k as (select p_name, p_size > 49 as large, min(p_partkey) as id from part group by all),
-b as (select trim(lower(p_name)) as n, count(*) as n_books, min(id) as id from k group by n)
-select s.p_partkey as span_id, case when n_books = 1 then id end as book_id, case when n_books = 1 then 1.0 else 0.0 end::double as confidence, n_books
+b as (select trim(lower(p_name)) as n, count(*) as n_books, min(id) as id, string_agg(id, ',' order by id) as ids from k group by n)
+select s.p_partkey as span_id, case when n_books = 1 then id end as book_id, case when n_books = 1 then 1.0 else 0.0 end::double as confidence, n_books,
+  case when n_books > 1 then ids else '' end as candidates
 from part s join b on trim(lower(s.p_name)) = b.n""")
 def resolve_against_books(spark, sf_dir):
     """Parts as spans; each name as a book, and as a second one where a part is large."""
@@ -566,7 +567,7 @@ def resolve_against_books(spark, sf_dir):
         "id", F.initcap("p_name").alias("canonical_title"), normal_title("p_name").alias("normalized_title"), F.array().cast("array<string>").alias("authors"), F.lit(None).cast("string").alias("openlibrary_id")
     )
     spans = p.select(F.col("p_partkey").alias("span_id"), F.upper("p_name").alias("title"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("work_id"))
-    return resolve.against_books(spans, books)
+    return resolve.against_books(spans, books).withColumn("candidates", F.array_join(F.col("candidates.book_id").cast("array<string>"), ","))
 
 
 @query("""
@@ -633,7 +634,7 @@ def resolve_by_version(spark, sf_dir):
         F.when(F.col("id") % 4 == 0, "/works/OL20185071W").otherwise(F.concat(F.lit("/works/OL"), "id", F.lit("W"))).alias("openlibrary_id"), F.when(F.col("old"), 1).otherwise(2).alias("resolution_version"),
     )
     spans = p.select(F.col("p_partkey").alias("span_id"), F.upper("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, who).alias("author"), F.lit(None).cast("string").alias("work_id"))
-    return resolve.against_books(spans, books, version=2)
+    return resolve.against_books(spans, books, version=2).drop("candidates")
 
 
 # Incremental runs --------------------------------------------------------------------------------
