@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.functions.patterns import standing_in
 from quillmark.sources.config import topic_words
 
 # What a reader writes of a work, strongest statement first.
@@ -57,14 +58,9 @@ def ascii_normal(text: Column) -> Column:
 def tag_topics(rows: DataFrame, text: str, key: str, confidence: float = 0.8) -> DataFrame:
     """key, topic, confidence: topics whose words stand in the normalised text.
 
-    One array of the topics' words is tested against each text, so the
-    dimension's rows are neither shuffled nor crossed with the texts.
+    One pass over each text finds all words of all topics, so the dimension's
+    rows are neither shuffled nor crossed with the texts.
     """
-    words = [tuple(r) for r in topic_words(rows.sparkSession).collect()]  # a fixed list
-    fenced = F.concat(F.lit(" "), F.col(text), F.lit(" "))
-    by_topic: dict[str, Column] = {}
-    for topic, word in words:
-        hit = F.contains(fenced, F.lit(f" {word} "))
-        by_topic[topic] = by_topic[topic] | hit if topic in by_topic else hit
-    found = F.array_compact(F.array(*[F.when(hit, F.lit(topic)) for topic, hit in by_topic.items()]))
-    return rows.select(key, F.explode(found).alias("topic"), F.lit(confidence).alias("confidence"))
+    words = [(word, topic) for topic, word in map(tuple, topic_words(rows.sparkSession).collect())]  # a fixed list
+    found = rows.select(key, standing_in(F.col(text), words).alias("topics"))
+    return found.select(key, F.explode("topics").alias("topic"), F.lit(confidence).alias("confidence"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from quillmark.functions import classify, extract
 from quillmark.functions.text import author_agrees, author_list, authors_complete, grounded_excerpt, html_parts, normal_title, title_similarity
 from quillmark.operators import catalog, discovery, evaluate, incremental, mentions, ranking, resolve, search, tree
-from quillmark.plans import api, oracle
-from quillmark.session import cut
+from quillmark.plans import api, oracle, shards
+from quillmark.session import cut, shared_folder
 from quillmark.sources import views
 from quillmark.sources.views import read
 from quillmark.streaming import stream
@@ -639,6 +640,31 @@ def resolve_by_version(spark, sf_dir):
 
 # Incremental runs --------------------------------------------------------------------------------
 
+@query(f"""
+with c as (select conv_id, turn, text, case when turn = 2 then coalesce(text, '') || ' overrated' else text end as after from conversations),
+l as (select conv_id, turn, {_LABEL("after")} as label from c)
+select conv_id as thread_id, count(*) as comments, count(*) filter (turn = 2) as done_again, count(*) filter (label <> 'neutral') as opinions,
+  count(*) filter (label = 'negative') as negative from l group by conv_id""")
+def incremental_run(spark, sf_dir):
+    """Opinions of each thread's turns after two runs: over all turns, and over all turns with the third one edited, of which only these are read anew."""
+    store = shards.Shards(spark, f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}", shards=16, key="key")
+    c = views.conversation_comments(spark, sf_dir)
+    runs = []
+
+    def derive(todo):
+        label = classify.label(F.col("text"))
+        runs.append(todo.select("thread_id"))
+        return shards.Derived({"opinions": todo.select(F.col("key").alias("row_id"), "thread_id", label.alias("label")).where("label <> 'neutral'")})
+
+    for text in (F.col("text"), F.when(F.col("id") == 2, F.concat("text", F.lit(" overrated"))).otherwise(F.col("text"))):
+        rows = c.withColumns({"text": text, "key": F.concat_ws("-", "thread_id", "id")})
+        store.update(rows.select("key", "thread_id", "id", "text"), derive, version="1")
+    every = store.read("rows").groupBy("thread_id").agg(F.count("*").alias("comments"))
+    again = runs[-1].groupBy("thread_id").agg(F.count("*").alias("done_again"))
+    said = store.read("opinions").groupBy("thread_id").agg(F.count("*").alias("opinions"), F.count_if(F.col("label") == "negative").alias("negative"))
+    return every.join(again, "thread_id", "left").join(said, "thread_id", "left").na.fill(0)
+
+
 _BATCHES = """
 o as (select user_id, min(epoch_us(ts)) as created, max({'t': epoch_us(ts), 'id': event_id, 'v': value}) as m from events where event_type in ('view', 'click', 'signup') group by user_id),
 n as (select user_id, min(epoch_us(ts)) as created, max({'t': epoch_us(ts), 'id': event_id, 'v': value}) as m from events where event_type not in ('view', 'click', 'signup') group by user_id)"""

@@ -8,11 +8,13 @@ written last: after a crash their derived rows are simply derived again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.operators.incremental import digest
 from quillmark.session import cut
@@ -36,11 +38,12 @@ class Shards:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def has(self, name: str) -> bool:
-        return self._fs.exists(self._path(f"{self.root}/{name}"))
+        return self._fs.exists(self._path(f"{self.root}/schemas/{name}/_SUCCESS"))
 
     def read(self, name: str, shards: list[int] | None = None) -> DataFrame:
-        """A table; of given shards, only their folders are read."""
-        df = self.spark.read.parquet(f"{self.root}/{name}")
+        """A table; of given shards, only their folders are read. Its schema is kept, as it may have no row."""
+        schema = T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/schemas/{name}").first()[0]))
+        df = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         return df if shards is None else df.where(F.col("shard").isin(shards))
 
     def _old(self, name: str, like: DataFrame, shards: list[int]) -> DataFrame:
@@ -50,6 +53,8 @@ class Shards:
         """Writes the shards of a table and removes those that have no rows any more; how many rows were written."""
         seen = Observation()
         df = cut(df)
+        if not self.has(name):
+            self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/schemas/{name}")
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{self.root}/{name}")
         full = {r.shard for r in df.select("shard").distinct().collect()}  # SHARDS rows at most
         for shard in set(shards) - full:

@@ -133,3 +133,12 @@ def test_candidates_of_what_stays_unresolved(spark, inputs):
     assert got.keys() == {"a", "b"}
     assert got["a"].openlibrary_id is None and [(c.book_id, c.confidence) for c in got["a"].candidates] == [(1, 1.0), (2, 1.0)]
     assert got["b"].openlibrary_id is None and [c.key for c in got["b"].candidates] == ["/works/OL4W", "/works/OL5W"]
+
+
+def test_tables_without_rows(spark, tmp_path):
+    store = Shards(spark, str(tmp_path / "s"), shards=4)
+    rows = spark.createDataFrame([(i, i % 3, "a") for i in range(9)], "id long, thread_id long, text string")
+    derive = lambda todo: Derived({"words": todo.where("text = 'b'").select(F.col("id").alias("row_id"), "text")})
+    assert store.update(rows, derive, version="1")["words_written"] == 0 and store.read("words").count() == 0
+    store.update(rows.withColumn("text", F.when(F.col("id") == 4, "b").otherwise(F.col("text"))), derive, version="1")
+    assert [r.row_id for r in store.read("words").collect()] == [4]
