@@ -76,9 +76,13 @@ def scores(mentions: DataFrame, as_of: int) -> DataFrame:
     every = mentions.where("book_id is not null").groupBy("book_id").agg(
         F.count("*").alias("mention_count"), F.count(F.when(is_positive(), 1)).alias("recommendation_count"), F.countDistinct("thread_id").alias("thread_count")
     )
-    out = every.join(won, "book_id", "left").na.fill(0)
+    return rated(every.join(won, "book_id", "left").na.fill(0))
+
+
+def rated(sums: DataFrame) -> DataFrame:
+    """The scores of books from their sums and counts."""
     breadth = lambda c, rate, most: F.least(rate * F.log1p(F.greatest(F.lit(0), F.col(c) - 1)), F.lit(most))
-    out = out.withColumn("net_support", F.greatest(F.lit(0.0), F.col("positive_weight") - F.col("negative_weight")))
+    out = sums.withColumn("net_support", F.greatest(F.lit(0.0), F.col("positive_weight") - F.col("negative_weight")))
     out = out.withColumn("support_multiplier", F.col("voters") / (F.col("voters") + 2))
     out = out.withColumn("diversity_multiplier", 1 + breadth("positive_threads", 0.1, 0.15) + breadth("positive_dates", 0.05, 0.1))
     times = F.col("support_multiplier") * F.col("diversity_multiplier")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import classify, extract
 from quillmark.functions.text import author_agrees, author_list, authors_complete, grounded_excerpt, html_parts, normal_title, title_similarity
-from quillmark.operators import catalog, discovery, evaluate, incremental, mentions, ranking, resolve, search, tree
+from quillmark.operators import catalog, discovery, evaluate, incremental, kept, mentions, ranking, resolve, search, tree
 from quillmark.plans import api, oracle, shards
 from quillmark.session import cut, shared_folder
 from quillmark.sources import views
@@ -65,6 +65,37 @@ def score_details(spark, sf_dir):
     return ranking.scores(views.order_mentions(spark, sf_dir), AS_OF_ORDERS)
 
 
+def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[kept.Board, kept.State]:
+    """A board kept over two batches of mentions: that of the first one, with the books of the second counted again."""
+    m = views.order_mentions(spark, sf_dir)
+    first, second = m.where("created_at < 820454400"), m.where("created_at >= 820454400")  # 1996
+    old = kept.gathered(first)
+    old = kept.State(cut(old.opinions), cut(old.counts), cut(old.threads))
+    batch = kept.gathered(second)
+    batch = kept.State(cut(batch.opinions), cut(batch.counts), cut(batch.threads))
+    state = kept.merged(old, batch)
+    return kept.updated(kept.board(old), kept.State(cut(state.opinions), cut(state.counts), cut(state.threads)), batch.counts.select("book_id")), state
+
+
+@query(f"with {oracle.ORDERS},{oracle.scores('om', AS_OF_ORDERS)} select * from score")
+def score_details_kept(spark, sf_dir):
+    """score_details, from state that two batches were merged into."""
+    return kept.scores_at(_two_batches(spark, sf_dir)[0], AS_OF_ORDERS)
+
+
+#: In the middle of the orders, at their end, and ten years later.
+DATES = (AS_OF_ORDERS - 4 * 31_557_600 + 40_000, AS_OF_ORDERS, AS_OF_ORDERS + 10 * 31_557_600)
+
+
+@query(" union all ".join(f"select {d} as as_of, book_id, all_time_score, recent_score from (with {oracle.ORDERS},{oracle.scores('om', d)} select * from score)" for d in DATES))
+def scores_at_dates(spark, sf_dir):
+    """Scores at three dates from one board."""
+    board = _two_batches(spark, sf_dir)[0]
+    board = kept.Board(*map(cut, (board.standing, board.months, board.opinions)))
+    out = [kept.scores_at(board, d).select(F.lit(d).alias("as_of"), "book_id", "all_time_score", "recent_score") for d in DATES]
+    return out[0].union(out[1]).union(out[2])
+
+
 @query(f"""with {oracle.EVENTS},{oracle.scores("em", AS_OF)}
 select book_id as id, row_number() over (order by recent_score desc, independent_recommenders desc, lower('Book ' || book_id), book_id) as rank, recent_score from score
 qualify rank between 31 and 60""")
