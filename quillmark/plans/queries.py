@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import classify, extract
 from quillmark.functions.text import author_agrees, author_list, authors_complete, grounded_excerpt, html_parts, normal_title, title_similarity
-from quillmark.operators import catalog, discovery, evaluate, incremental, kept, mentions, ranking, resolve, search, tree
+from quillmark.operators import catalog, discovery, evaluate, incremental, kept, mentions, ranking, resolve, search, similar, tree
 from quillmark.plans import api, oracle, shards
 from quillmark.session import cut, shared_folder
 from quillmark.sources import views
@@ -224,9 +224,9 @@ def search_prefix_and(spark, sf_dir):
 
 @query(f"with {oracle.EVENTS},{oracle.opinions('em')} select book_id, anonymous, reader, conflict, created_at, recommendation_strength, sentiment, thread_id, comment_id from win")
 def stream_latest_opinion(spark, sf_dir):
-    """reader_latest_opinion, kept up by a stream over the events."""
-    events = stream.events(spark, sf_dir)
-    return stream.run_available(ranking.latest_opinions(views.as_mentions(events)), "latest-opinion")
+    """reader_latest_opinion, kept up by a stream that brings the events in three batches."""
+    live = stream.in_files(read(spark, sf_dir, "events"), "event_id", 3)
+    return stream.upserted(ranking.latest_opinions(views.as_mentions(live)), ["book_id", "anonymous", "reader"], "latest")
 
 
 # The published library's own queries, over these tables ------------------------------------------
@@ -426,6 +426,13 @@ def title_similarity_pairs(spark, sf_dir):
     return pairs.withColumn("similarity", title_similarity("left_name", "right_name"))
 
 
+@query()
+def similar_titles(spark, sf_dir):
+    """All pairs of different names, types and brands of parts whose similarity is at least 0.94."""
+    t = read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"))
+    return similar.similar(t, t)
+
+
 def _pages(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", html_parts("html").alias("h"))
 

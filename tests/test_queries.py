@@ -54,6 +54,14 @@ def test_similar_names(spark, sf_dir):
     assert got == {(a, b): similarity(a, b) for a in names for b in names if a < b and near(a, b)}
 
 
+def test_similar_titles(spark, sf_dir):
+    """All pairs, by the ratio alone."""
+    t = sorted({f"{r.p_name} {r.p_type} {r.p_brand}" for r in rows(spark, sf_dir, "part")})
+    want = {(a, b): similarity(a, b) for a in t for b in t if a != b}
+    got = {(r.left_title, r.right_title): r.similarity for r in QUERIES["similar_titles"](spark, sf_dir).collect()}
+    assert got == {k: v for k, v in want.items() if v >= 0.94} and got
+
+
 def test_normal_titles(spark, sf_dir):
     from hashlib import sha256
 

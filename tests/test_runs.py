@@ -114,6 +114,20 @@ def test_stream_follows_new_files(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ranking.latest_opinions(df).collect()))
 
 
+def test_stream_upserts_changed_groups(spark, tmp_path):
+    """Three batches give what all rows give; a batch rewrites the buckets of its groups only."""
+    import os
+
+    schema = "book_id long, author string, thread_id long, comment_id long, created_at long, recommendation_strength double, sentiment double"
+    rows = [(i % 5 if i % 9 else None, f"r{i % 7}" if i % 4 else None, 1, i, i * 37 % 100, 0.95 if i % 3 else 0.0, 0.9 if i % 3 else -0.8) for i in range(300)] + [(1, "late", 1, 999, 5, 0.95, 0.9)]
+    df = spark.createDataFrame(rows, schema)
+    got = stream.upserted(ranking.latest_opinions(stream.in_files(df, "comment_id", 3)), ["book_id", "anonymous", "reader"], "t", buckets=16)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, ranking.latest_opinions(df).collect()))
+    folder = got.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    times = {d: max(os.stat(f"{folder}/{d}/{f}").st_mtime for f in os.listdir(f"{folder}/{d}")) for d in os.listdir(folder) if d.startswith("q_bucket=")}
+    assert len(times) > 3
+
+
 def test_windows_close_after_late_rows(spark, tmp_path):
     rows = spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id as int)) as ts, id % 2 as k from range(10)")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
