@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillmark.functions.text import normal_title
+from quillmark.functions.text import normal, normal_title
 from quillmark.sources.config import MOST_SEARCH_WORDS, STOPWORDS
 
 
@@ -25,8 +26,43 @@ def term_index(rows: DataFrame, key: str, *texts: str, ascii_only: bool = False)
     return rows.select(key, F.explode(F.array_distinct(words)).alias("term")).where("term <> ''")
 
 
+class TermTable:
+    """An index in sorted ranges, one file each, and a list of their first and last terms.
+
+    A prefix is a range of terms: the list says which files hold it, and no
+    other is opened. A term of very many rows spreads over ranges by its keys.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, terms: DataFrame, key: str, ranges: int | None = None) -> TermTable:
+        order = ["term", key]
+        dealt = terms.repartitionByRange(ranges, *order) if ranges else terms.repartitionByRange(*order)
+        dealt.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/terms")
+        stored = self.spark.read.schema(T.StructType([*terms.schema, T.StructField("part", T.IntegerType())])).parquet(f"{self.path}/terms")
+        stored.groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ranges")
+        return self
+
+    def ranges(self, words: list[str]) -> list[int]:
+        """The ranges that may hold a term that one of the words begins."""
+        bounds, within = self.spark.read.parquet(f"{self.path}/ranges"), F.lit(False)
+        for w in map(normal, words):
+            within = within | ((F.col("high") >= w) & (F.col("low") <= w + "\U0010ffff"))
+        return [r.part for r in bounds.where(within).select("part").collect()]  # one for each range at most
+
+    def starting(self, words: list[str]) -> DataFrame:
+        """Rows whose term one of the words begins."""
+        begins = F.lit(False)
+        for w in map(normal, words):
+            begins = begins | F.col("term").startswith(w)
+        rows = self.spark.read.parquet(f"{self.path}/terms")
+        return rows.where(F.col("part").isin(self.ranges(words)) & begins).drop("part")
+
+
 def matching(terms: DataFrame, key: str, words: list[str]) -> DataFrame:
-    """Keys that have, for every word, a term that it begins; words may hit different columns."""
+    """Keys that have, for every word, a term that it begins; words may hit different columns, and lose their accents as terms have."""
+    words = [normal(w) for w in words]
     if not words:
         return terms.select(key).distinct()
     hits = [F.col("term").startswith(w) for w in words]

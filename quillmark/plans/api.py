@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.classify import is_positive
 from quillmark.functions.text import html_parts
 from quillmark.operators import ranking, search
+from quillmark.operators.incremental import RUN_COUNTERS
 
 EVIDENCE_PAGE, COMMENTS_PAGE, UNRESOLVED_PAGE, THREADS_PAGE, RUNS_PAGE = 20, 50, 50, 20, 30
 
@@ -19,7 +24,13 @@ class Api:
         self.read = read
 
     def health(self) -> bool:
-        return self.read("books").limit(1).count() >= 0
+        """Whether the tables that every page needs can be read."""
+        try:
+            for name in ("books", "mentions", "threads", "comments"):
+                self.read(name).first()
+        except Exception:  # noqa: BLE001  whatever the reason, the library can't be served
+            return False
+        return True
 
     def stats(self) -> DataFrame:
         """One row: books, threads, comments, recommenders, last_updated."""
@@ -125,3 +136,38 @@ def record_run(spark: SparkSession, runs: DataFrame, command: str, started: str,
     row = spark.createDataFrame([(last + 1, command, started, finished, status, metrics, error)], "id long, command string, started_at string, finished_at string, status string, metrics map<string,long>, error string")
     row = row.withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "finished_at")})
     return runs.unionByName(row)
+
+
+@contextmanager
+def tracked(spark: SparkSession, runs: DataFrame, command: str, now: Callable[[], datetime] = lambda: datetime.now(timezone.utc)) -> Iterator[Run]:
+    """A run whose counters are added up as its steps measure them; the run's row is there even if a step fails.
+
+    with tracked(spark, runs, "update") as run: run.add(counts)
+    then run.rows is `runs` with one more row.
+    """
+    run, began, error = Run(), now(), None
+    try:
+        yield run
+    except BaseException as e:
+        run.add({"failures": 1})
+        error = str(e)
+        raise
+    finally:
+        ended = now()
+        run.counters["runtime_seconds"] = round((ended - began).total_seconds())
+        status = "failed" if error else "partial" if run.counters.get("failures") else "completed"
+        last = runs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
+        metrics = dict.fromkeys(RUN_COUNTERS, 0) | run.counters
+        row = spark.createDataFrame([(last + 1, command, began, ended, status, metrics, error)], "id long, command string, started_at timestamp, finished_at timestamp, status string, metrics map<string,long>, error string")
+        run.rows = runs.unionByName(row)
+
+
+class Run:
+    def __init__(self) -> None:
+        self.counters: dict[str, int] = {}
+        self.rows: DataFrame | None = None
+
+    def add(self, counts: dict[str, int]) -> None:
+        """Adds what a step counted; other figures than RUN_COUNTERS are left out."""
+        for name in set(counts) & set(RUN_COUNTERS):
+            self.counters[name] = self.counters.get(name, 0) + int(counts[name])

@@ -222,6 +222,16 @@ def search_prefix_and(spark, sf_dir):
     return search.matching(terms, "book_id", search.search_words("a book on thin ere")).withColumnRenamed("book_id", "doc_id")
 
 
+@query(r"""with t as (select doc_id, list_distinct(regexp_split_to_array(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^\p{L}\p{N}]+')) as terms from documents)
+select doc_id from t where len(list_filter(terms, lambda x: starts_with(x, 'ele'))) > 0 and len(list_filter(terms, lambda x: starts_with(x, 'que'))) > 0""")
+def search_term_ranges(spark, sf_dir):
+    """Documents with words that begin with both of two words, accents or not, from an index in sorted ranges."""
+    terms = search.term_index(read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "book_id"), "book_id", "text")
+    index = search.TermTable(spark, f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}").write(terms, "book_id")
+    words = search.search_words("Élé QUE")
+    return search.matching(index.starting(words), "book_id", words).withColumnRenamed("book_id", "doc_id")
+
+
 @query(f"with {oracle.EVENTS},{oracle.opinions('em')} select book_id, anonymous, reader, conflict, created_at, recommendation_strength, sentiment, thread_id, comment_id from win")
 def stream_latest_opinion(spark, sf_dir):
     """reader_latest_opinion, kept up by a stream that brings the events in three batches."""

@@ -142,3 +142,36 @@ def test_tables_without_rows(spark, tmp_path):
     assert store.update(rows, derive, version="1")["words_written"] == 0 and store.read("words").count() == 0
     store.update(rows.withColumn("text", F.when(F.col("id") == 4, "b").otherwise(F.col("text"))), derive, version="1")
     assert [r.row_id for r in store.read("words").collect()] == [4]
+
+
+def test_a_tracked_run_has_measured_counters(spark, inputs, tmp_path):
+    from quillmark.plans import api
+
+    store = Shards(spark, str(tmp_path / "store"), shards=4)
+    runs = spark.createDataFrame([], "id long, command string, started_at timestamp, finished_at timestamp, status string, metrics map<string,long>, error string")
+    with api.tracked(spark, runs, "update") as run:
+        counts, books = ingest.update(spark, store, **inputs)
+        run.add(counts)
+    row = run.rows.first()
+    m = store.read("mentions")
+    assert (row.id, row.command, row.status, row.error) == (1, "update", "completed", None) and row.finished_at >= row.started_at
+    assert row.metrics["comments_processed"] == store.read("rows").count() and row.metrics["mentions_extracted"] == m.count()
+    assert row.metrics["unresolved_mentions"] == m.where("book_id is null").count() and "shards_written" not in row.metrics
+    with pytest.raises(ValueError, match="no luck"), api.tracked(spark, run.rows, "update") as broken:
+        broken.add({"comments_total": 5})
+        raise ValueError("no luck")
+    last = broken.rows.where("id = 2").first()
+    assert (last.status, last.error, last.metrics["failures"], last.metrics["comments_total"]) == ("failed", "no luck", 1, 5)
+
+
+def test_health(spark):
+    from quillmark.plans import api
+
+    one = spark.range(1)
+    assert api.Api(lambda name: one).health()
+
+    def gone(name):
+        raise LookupError("nothing is published")
+
+    assert not api.Api(gone).health()
+    assert not api.Api(lambda name: one.select(F.raise_error(F.lit("broken")).alias("x"))).health()

@@ -266,3 +266,20 @@ def test_review_faults_and_keys(spark):
     assert broken(bad, True) == {"other source", "not in the text", "topics unknown", "titles empty or repeated", "identity and work disagree", "unknown comments", "status and labels disagree"}
     k = spark.range(1).select(*[incremental.metadata_key(F.lit("b"), F.lit("p"), F.create_map(*map(F.lit, m))).alias(n) for n, m in {"a": ["x", "1", "y", "2"], "b": ["y", "2", "x", "1"], "c": ["x", "1", "y", "3"]}.items()]).first()
     assert k.a == k.b != k.c
+
+
+def test_prefixes_read_the_ranges_that_hold_them(spark, tmp_path):
+    from quillmark.operators import search
+
+    words = [f"{a}{b}{n}" for a in "abcdefg" for b in "xyz" for n in range(40)]
+    rows = [(i, w) for i, w in enumerate(words)] + [(10_000 + i, "the") for i in range(3000)]
+    terms = spark.createDataFrame(rows, "book_id long, term string")
+    index = search.TermTable(spark, str(tmp_path / "t")).write(terms, "book_id", ranges=24)
+    for prefix in (["by1"], ["the"], ["éz"], ["bx", "ez3"], ["nothing"], ["a"]):
+        got = index.starting(prefix)
+        assert sorted(r.book_id for r in got.collect()) == sorted(i for i, w in rows if any(w.startswith(p.replace("é", "e")) for p in prefix))
+    assert len(index.ranges(["by1"])) <= 2 and 8 < len(index.ranges(["the"])) < 24 and index.ranges(["zz"]) == []
+    plan = index.starting(["by1"])._jdf.queryExecution().toString()
+    assert "StringStartsWith(term,by1)" in plan and "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan
+    found = search.matching(index.starting(search.search_words("ÉZ1")), "book_id", search.search_words("ÉZ1"))
+    assert {words[r.book_id] for r in found.collect()} == {w for w in words if w.startswith("ez1")}
