@@ -8,9 +8,12 @@ driver's side only names and one small pointer pass.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,17 +112,31 @@ class Library:
             raise CheckFailed(", ".join(broken))
 
     @contextmanager
-    def lock(self) -> Iterator[None]:
-        """One writer at a time; readers aren't kept out."""
+    def lock(self, stale_after: float | None = None) -> Iterator[None]:
+        """One writer at a time; readers aren't kept out.
+
+        A lock that is older than `stale_after` seconds is one that a writer left
+        when it died, and is taken over: it is moved away, which only one of
+        several can do. So this has to be longer than any run takes.
+        """
         path = self._path(f"{self.root}/LOCK")
         self._fs.mkdirs(self._path(self.root))
-        if not self._fs.createNewFile(path):
+        if not self._fs.createNewFile(path) and not (stale_after is not None and self._taken_over(path, stale_after)):
             raise Busy(self.root)
         try:
             yield
         finally:
             self._fs.delete(path, False)
 
+    def _taken_over(self, path, stale_after: float) -> bool:
+        try:
+            age = time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000
+            if age <= stale_after or not self._fs.rename(path, self._path(f"{self.root}/LOCK.{uuid.uuid4().hex}")):
+                return False
+        except Py4JJavaError:  # another writer moved it or gave it back just now
+            pass
+        return bool(self._fs.createNewFile(path))
+
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).count().where("count > 1")

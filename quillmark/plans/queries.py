@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import classify, extract
-from quillmark.functions.text import author_agrees, author_list, authors_complete, grounded_excerpt, html_parts, normal_title, title_similarity
-from quillmark.operators import catalog, discovery, evaluate, incremental, kept, mentions, ranking, resolve, search, similar, tree
+from quillmark.functions.text import author_agrees, author_list, authors_complete, html_parts, normal_title, title_similarity
+from quillmark.operators import catalog, discovery, evaluate, grounding, incremental, kept, mentions, ranking, resolve, search, similar, tree
 from quillmark.plans import api, oracle, shards
 from quillmark.session import cut, shared_folder
 from quillmark.sources import views
@@ -248,9 +248,10 @@ def _api(spark: SparkSession, sf_dir: str) -> api.Api:
     def read_table(name: str) -> DataFrame:
         m = views.order_mentions(spark, sf_dir)
         if name == "mentions":
-            return m.drop("topics").withColumn("status", F.when(F.col("id") % 7 == 0, "unresolved").otherwise("resolved"))
+            return m.drop("topics").withColumns({"raw_mention": F.concat(F.lit("part "), "book_id"), "normalized_mention": F.concat(F.lit("part "), "book_id")}).withColumn("status", F.when(F.col("id") % 7 == 0, "unresolved").otherwise("resolved"))
         if name == "books":
-            return views.order_books(spark, sf_dir).join(m.groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("mention_count")), "id")
+            books = views.order_books(spark, sf_dir).withColumns({"openlibrary_id": F.concat(F.lit("/works/OL"), "id", F.lit("W")), "authors": F.array().cast("array<string>")})
+            return books.join(m.groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("mention_count")), "id")
         if name == "tags":
             return views.order_tags(spark, sf_dir).withColumn("description", F.lower("name"))
         if name == "mention_tags":
@@ -321,6 +322,16 @@ def api_status(spark, sf_dir):
     return _api(spark, sf_dir).status()
 
 
+@query(f"""with {oracle.ORDERS}, m as (select comment_id, count(*) as n from om where thread_id = 3 group by comment_id)
+select turn::bigint as comment_id, sha256('{{"comment_id":' || turn || ',"parent_id":' || (turn - 1) || ',"text":' || to_json(coalesce(text, ''))::varchar || '}}') as source_digest, coalesce(n, 0) as n_mentions, 'pending' as status
+from conversations left join m on comment_id = turn where conv_id = 3""")
+def api_snapshot(spark, sf_dir):
+    """A thread's comments as a reviewer gets them: digest of the source, mentions, and the template's status."""
+    a = _api(spark, sf_dir)
+    rows = a.snapshot(3).select("comment_id", F.when(F.col("mentions").isNull(), 0).otherwise(F.size("mentions")).cast("long").alias("n_mentions"))
+    return rows.join(a.label_template(3).select("comment_id", "source_digest", "status"), "comment_id")
+
+
 # Trees -------------------------------------------------------------------------------------------
 
 
@@ -459,7 +470,9 @@ def html_links(spark, sf_dir):
 
 @query()
 def html_emphasis(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", F.posexplode("h.emphasis").alias("place", "part"))
+    """Emphasised parts of pages whose headings are set in italics."""
+    pages = read(spark, sf_dir, "pages").select("page_id", html_parts(F.regexp_replace("html", "<(/?)h1>", "<$1i>"))["emphasis"].alias("e"))
+    return pages.select("page_id", F.posexplode("e").alias("place", "part"))
 
 
 @query(r"""
@@ -497,26 +510,8 @@ def extract_mentions(spark, sf_dir):
 
 @query()
 def grounded_excerpts(spark, sf_dir):
-    """Benchmark passages as quotes: the documents that hold a passage's rarest run of five words, and the excerpt there, if any.
-
-    A document that holds the quote holds every run of its words but the first
-    and the last, which may be parts of words there. Quotes have seven words or
-    more.
-    """
-
-    def runs(df, key, text, edge):
-        df = df.select(key, F.split(normal_title(text), " ").alias("w"))
-        starts = F.when(F.size("w") >= 5 + 2 * edge, F.sequence(F.lit(1 + edge), F.size("w") - 4 - edge)).otherwise(F.array().cast("array<int>"))
-        return df.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, F.lit(5)), " "))))).alias("run"))
-
-    d, b = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("raw"))
-    asked = runs(b, "item_id", "raw", 1)
-    held = runs(d, "doc_id", "text", 0).join(asked.select("run").distinct(), "run", "left_semi")
-    counted = asked.join(held.groupBy("run").count(), "run", "left")
-    rarest = counted.groupBy("item_id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "run")).alias("r"))
-    pairs = held.join(rarest.select("item_id", "r.run"), "run").select("doc_id", "item_id").distinct()
-    rows = pairs.join(d, "doc_id").join(b, "item_id")
-    return rows.select("doc_id", "item_id", grounded_excerpt("raw", "text").alias("excerpt")).where("excerpt is not null")
+    """Benchmark passages as quotes: the documents that hold them, and the excerpt there."""
+    return grounding.grounded_in(read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("raw")), read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 # Mentions and resolution -------------------------------------------------------------------------

@@ -114,3 +114,20 @@ def test_reports_are_not_overwritten(spark, tmp_path):
     write_report(spark.range(2), path)
     with pytest.raises(Exception, match="(?i)exist"):
         write_report(spark.range(2), path)
+
+
+def test_label_template_is_all_pending(api):
+    rows = api.label_template(9).collect()
+    assert [r.comment_id for r in rows] == [r.comment_id for r in api.snapshot(9).collect()]
+    assert {(r.status, r.mentions) for r in rows} == {("pending", None)} and len({r.source_digest for r in rows}) == len(rows)
+
+
+def test_retagged_reads_topics_anew(spark):
+    from quillmark.sources.config import topics
+
+    m = spark.createDataFrame([(1, "Dune", "a science fiction novel", None), (2, "Emma", "nothing said", "Philosophy of mind"), (3, "Zzz", None, None)], "id long, raw_mention string, context_text string, canonical_title string")
+    tags = topics(spark)
+    names = {r.id: r.name for r in tags.collect()}
+    got = {(r.mention_id, names[r.tag_id], r.confidence) for r in reviews.retagged(m, tags).collect()}
+    assert {(1, "science-fiction", 0.8), (2, "philosophy", 0.8)} <= got and {x[0] for x in got} == {1, 2}
+    assert {x[0] for x in ((r.mention_id,) for r in reviews.retagged(m.drop("canonical_title"), tags).collect())} == {1}

@@ -150,3 +150,20 @@ def test_backup_is_checked_and_never_overwritten(spark, tmp_path):
     spark.range(19).withColumnRenamed("id", "n").write.mode("overwrite").parquet(f"{folder}/books")
     with pytest.raises(CheckFailed, match="books"):
         lib.verify(folder)
+
+
+def test_a_lock_that_a_dead_writer_left_is_taken_over(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "LOCK").touch()
+    with pytest.raises(Busy), lib.lock():
+        pass
+    with pytest.raises(Busy), lib.lock(stale_after=3600):
+        pass
+    import os
+
+    os.utime(tmp_path / "lib" / "LOCK", (1, 1))
+    with lib.lock(stale_after=3600), pytest.raises(Busy), lib.lock(stale_after=3600):
+        pass
+    with lib.lock():
+        pass
