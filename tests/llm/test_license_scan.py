@@ -1,7 +1,8 @@
-from quillmark.llm.license_scan import TEMPLATES, Matcher, bigrams, full_texts, scan_licenses
-
+import random
 import re
 
+from quillmark.llm.license_scan import TEMPLATES, Matcher, Windows, bigrams, full_texts, scan_licenses
+
 SCHEMA = "doc_id long, text string, license string, score int"
 
 
@@ -29,6 +30,41 @@ def test_scan(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def windows_by_hand(text, templates, least=0.75):
+    """(score, name, first byte, end) of the best windows of a text, every window counted from scratch."""
+    low = text.lower().encode()
+    places = [m.span() for m in re.finditer(rb"[a-z0-9]+", low)]
+    pairs = [(low[a:b], low[c:d]) for (a, b), (c, d) in zip(places, places[1:])]
+    hits = []
+    for name, t in templates:
+        them = bigrams(re.findall(rb"[a-z0-9]+", t.lower().encode()))
+        most = int((len(re.findall(rb"[a-z0-9]+", t.lower().encode())) - 1) * (2 - least) / least + 1e-9)
+        for i in range(len(pairs)):
+            if them and pairs[i] in them:
+                scores = [2 * len(set(pairs[i : j + 1]) & them) / (len(set(pairs[i : j + 1])) + len(them)) for j in range(i, min(i + most, len(pairs)))]
+                end = max(range(len(scores)), key=lambda k: (scores[k], -k))
+                hits += [(scores[end], name, i, i + end + 2)] if scores[end] >= least else []
+    out, taken = [], set()
+    for score, name, i, j in sorted(hits, key=lambda h: (-h[0], h[2] - h[3], h[1], h[2])):
+        if not taken & set(range(i, j)):
+            taken |= set(range(i, j))
+            out.append((score, name, places[i][0], places[j - 1][1]))
+    return out
+
+
+def test_windows_against_every_window():
+    rng = random.Random(8)
+    templates = [t for t in TEMPLATES if len(t[1]) < 260]
+    finder = Windows(templates, 0.75)
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            t = rng.choice(templates)[1].split()
+            words += [w for w in t if rng.random() < 0.95] + [rng.choice(["other", "words", "the", "License", "version"]) for _ in range(rng.randint(0, 12))]
+        text = rng.choice([" ", "\n", " * "]).join(words)
+        assert finder.found(text.lower().encode()) == windows_by_hand(text, templates)
+
+
 def test_bounds_lose_no_template():
     loose, m = Matcher(TEMPLATES, 1e-6), Matcher(TEMPLATES, 0.75)
     for _, t in TEMPLATES:
@@ -45,8 +81,11 @@ def test_wrapped_notices_and_whole_files(spark):
     full = dict(full_texts())
     texts = [prose + wrapped + "\n" + prose, "We wrote this last year and it is released under the MIT License. Enjoy it with friends and family.", prose]
     texts += [full["GPL-3.0"], prose + full["MPL-2.0"], "Copyright 2020 A. Reader\n\n" + full["MIT"], full["Apache-2.0"]]
+    short = ["BSD-2-Clause", "BSL-1.0", "ISC", "Unlicense", "Zlib"]
+    texts += [f"Some software\n\n{full[n]}\nand its readme" for n in short]
     df = spark.createDataFrame([(i, t, "l", 1) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r for r in scan_licenses(df).collect()}
     assert [got[i].license for i in range(7)] == ["Apache-2.0", "MIT", None, "GPL-3.0", "MPL-2.0", "MIT", "Apache-2.0"]
+    assert [got[7 + i].license for i in range(len(short))] == short
     assert all(got[i].score > 0.95 for i in (0, 1, 3, 4, 5, 6))
     assert got[1].n_matches == 1 and got[2].n_matches == 0

@@ -165,3 +165,22 @@ def test_extra_columns_may_have_any_name(spark):
     docs = rows(spark, texts).select("doc_id", "text", "lang", *[q.F.lit(7).alias(n) for n in names])
     kept = q.keep_good(docs, Workspace(spark, "t"))
     assert kept.columns == docs.columns and all(r[n] == 7 for r in kept.collect() for n in names)
+
+
+def test_query_against_counts_and_its_own_verdicts(spark, sf_dir):
+    """The registered query over the whole table: counts by plain Python, the verdict from scores and bands."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = q.op9_quality_rules(spark, sf_dir)
+    assert out.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    rows, model, band = q.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), Workspace(spark, "t"))
+    verdicts = {r.doc_id: r for r in rows.collect()}
+    got = out.collect()
+    assert len(got) == len(docs)
+    for r in got:
+        n = brute(docs[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
+        v = verdicts[r.doc_id]
+        within = v.q_nll is None or (v.q_nll <= v.q_high and v.q_nll_one >= v.q_low)
+        assert r.kept == (not r.base_failed and within) and r.nll == v.q_nll
+    assert any(not r.kept and not r.base_failed for r in got)
