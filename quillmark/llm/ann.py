@@ -33,6 +33,8 @@ FIT_ROWS, CALIBRATION_QUERIES = 4096, 256
 ROTATIONS, ROUNDS, SUBSTRING = 4, 20, 64
 NEAREST, QUERY_EVERY, TARGET = 20, 20, 0.985
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
+#: Hits of a query from about so many blocks of rows are cut to the nearest before all of them meet.
+MERGED = 64
 
 
 @dataclass
@@ -203,10 +205,19 @@ def nearest_of(rows: DataFrame, count: int, ws: Workspace, name: str, k: int, ev
     if n_short:  # all bits: exact, and holds what the first search found
         again = hits(short, n_short, replace(model, radius=model.axes.shape[1]))
         found = found.join(enough.withColumnRenamed("row", "query_row"), "query_row", "left_semi").unionByName(again)
-    best = found.groupBy("query_row").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "row"))), 1, k).alias("best"))
+    best = best_of(best_of(found, k, -(-row_blocks // MERGED)), k)
+    best = best.groupBy("query_row").agg(F.sort_array(F.collect_list(F.struct("less", "vec_id", "row"))).alias("best"))  # k rows
     out = best.join(queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row").select("query_id", F.posexplode("best").alias("rank", "hit"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.less")).alias("score"))
 
 
+def best_of(found: DataFrame, k: int, groups: int = 1) -> DataFrame:
+    """query_row, less (the score, negative), vec_id, row: each query's k nearest in each of so many groups of rows."""
+    rows = found if "less" in found.columns else found.withColumn("less", -F.col("score"))
+    by = ["query_row", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group")]
+    top = rows.groupBy(*by).agg(F.slice(F.sort_array(F.collect_list(F.struct("less", "vec_id", "row"))), 1, k).alias("best"))
+    return top.select("query_row", F.explode("best").alias("b")).select("query_row", "b.*")
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), Workspace(spark, "op3"))

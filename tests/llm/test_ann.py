@@ -101,3 +101,17 @@ def test_rows_with_one_id_and_other_dimensions(spark):
     found = {(r.rank, r.vec_id, round(r.score, 9)) for r in own}
     assert np.mean([(k + 1, i, round(-s, 9)) in found for hits in lists for k, (s, i) in enumerate(hits)]) > 0.8
     assert {r.vec_id for r in got if r.query_id in (1000, 1020)} <= {i for i, _ in short} and sum(r.query_id == 1000 for r in got) == 20
+
+
+def test_nearest_of_groups_are_the_nearest_of_all(spark):
+    import random
+
+    from quillmark.llm.ann import best_of
+
+    rng = random.Random(3)
+    rows = [(q, rng.choice([0.5, rng.random()]), rng.randrange(500), i) for q in range(5) for i in range(400)]
+    found = spark.createDataFrame(rows, "query_row long, score double, vec_id long, row long").repartition(4)
+    got = best_of(best_of(found, 7, 9), 7)
+    for q in range(5):
+        want = sorted((-s, v, r) for k, s, v, r in rows if k == q)[:7]
+        assert sorted((r.less, r.vec_id, r.row) for r in got.where(f"query_row = {q}").collect()) == want
