@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import Workspace, table
-from quillmark.llm.text import chunks, counts, row_of, word_hashes
+from quillmark.llm.text import chunks, word_hashes
 
 #: Bytes of a window, neighbours it is compared with at a time, how often it has to be the rarest, kinds of entropy.
 WIDTH, RUN, POPULAR, KINDS = 64, 64, 8, 1000
@@ -29,11 +29,14 @@ DULL = 250
 #: Bits and features of a filter, bits that a feature sets, the share of the range above chance that counts as nothing.
 BITS, FEATURES, SETS, CHANCE = 2048, 160, 5, 0.1
 
+#: Places of a text looked at at a time, so that a very long text takes memory for little more than its bytes.
+SEGMENT = 1 << 20
+
 COUNTS = np.arange(WIDTH + 1, dtype=float)
 #: By how much one more copy of a byte, beside c of them, raises the sum of c * log2(c); in whole numbers, so that sums don't depend on their order.
 STEP = np.rint(np.diff(COUNTS * np.log2(np.maximum(COUNTS, 1))) * (1 << 20)).astype(np.int64)
 TOP = int(STEP.sum())
-BELOW = np.array([1 << 62], np.int64)
+BELOW, PLACE = np.array([1 << 62], np.int64), np.int64((1 << 40) - 1)
 
 
 def entropy_kinds(data: np.ndarray) -> np.ndarray:
@@ -55,10 +58,16 @@ def entropy_kinds(data: np.ndarray) -> np.ndarray:
     return (TOP - np.cumsum(change)) * KINDS // TOP
 
 
-def whole(offsets: np.ndarray, n: int, width: int) -> np.ndarray:
-    """Of the first n places of a chunk, those where `width` bytes of one text follow."""
-    rows = row_of(offsets)[:n]
-    return np.arange(n) + width <= offsets[1:][rows]
+def ends_of(offsets: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where the text of each place from a to b of a chunk ends."""
+    return np.repeat(offsets[1:], np.diff(np.clip(offsets, a, b)))
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, beyond: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first place, kinds, places, ends of their texts) of the windows of a chunk, SEGMENT places and `beyond` more at a time."""
+    for a in range(0, max(len(data) - WIDTH + 1, 0), SEGMENT):
+        kinds = entropy_kinds(data[a : a + SEGMENT + beyond + WIDTH - 1])
+        yield a, kinds, np.arange(a, a + len(kinds)), ends_of(offsets, a, a + len(kinds))
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -68,8 +77,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
         total = np.zeros(KINDS + 1, np.int64)
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
-                kinds = entropy_kinds(data)
-                total += np.bincount(kinds[whole(offsets, len(kinds), WIDTH)], minlength=KINDS + 1)
+                for _, kinds, place, end in segments(data, offsets):
+                    total += np.bincount(kinds[place + WIDTH <= end], minlength=KINDS + 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["kind", "n"])
 
@@ -81,32 +90,37 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def rare_keys(kinds: np.ndarray, place: np.ndarray, end: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Numbers in the order from rare to common, of equal ones the first place first; windows that reach into another text come last."""
+    return np.where(place + WIDTH <= end, ranks[kinds] << 40 | place, BELOW)
+
+
 def features(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the features of each text, each once, in order.
 
     A text without a popular window has its rarest one; one shorter than a
     window is a feature itself; an empty one has none.
     """
-    rows, kinds = row_of(offsets), entropy_kinds(data)
-    place = np.arange(len(kinds))
-    key = np.where(whole(offsets, len(kinds), WIDTH), ranks[kinds] << 40 | place, BELOW)
-    least, n = key, 1
-    while n < RUN:  # RUN is a power of two
-        least, n = np.minimum(least[:-n], least[n:]), 2 * n
-    least = least[: max(0, len(key) - RUN + 1)]
-    winners = least[whole(offsets, len(least), RUN + WIDTH - 1)] & ((1 << 40) - 1)
-    chosen = np.bincount(winners, minlength=len(key)) >= POPULAR if len(key) else np.zeros(0, bool)
-    size = np.diff(offsets)
-    padded = np.zeros(len(data) + 1, bool)
-    padded[: len(chosen)] = chosen
-    bare = np.flatnonzero((counts(padded[:-1], offsets) == 0) & (size >= WIDTH))
-    if len(bare):
-        chosen[[int(key[offsets[r] : offsets[r + 1] - WIDTH + 1].min()) & ((1 << 40) - 1) for r in bare]] = True
-    at, short = np.flatnonzero(chosen), np.flatnonzero((size > 0) & (size < WIDTH))
+    wins = np.zeros(len(data), np.uint8)
+    for a, kinds, place, end in segments(data, offsets, RUN - 1):
+        least, n = rare_keys(kinds, place, end, ranks), 1
+        while n < RUN:  # RUN is a power of two
+            least, n = np.minimum(least[:-n], least[n:]), 2 * n
+        runs = min(SEGMENT, max(0, len(kinds) - RUN + 1))
+        inside = place[:runs] + RUN + WIDTH - 1 <= end[:runs]
+        wins[a : a + len(kinds)] += np.bincount((least[:runs][inside] & PLACE) - a, minlength=len(kinds)).astype(np.uint8)
+    at, size = np.flatnonzero(wins >= POPULAR), np.diff(offsets)
+    found = np.bincount(np.searchsorted(offsets, at, "right") - 1, minlength=len(size))
+    bare = []
+    for r in np.flatnonzero((found == 0) & (size >= WIDTH)):
+        own = data[offsets[r] : offsets[r + 1]]
+        bare.append(min(int(rare_keys(k, p, e, ranks).min()) for _, k, p, e in segments(own, np.array([0, len(own)]))) & int(PLACE))
+        bare[-1] += int(offsets[r])
+    at, short = np.sort(np.r_[at, np.array(bare, np.int64)]), np.flatnonzero((size > 0) & (size < WIDTH))
     starts, ends = np.r_[at, offsets[short]], np.r_[at + WIDTH, offsets[short + 1]]
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
-    of, hashes = rows[starts], word_hashes(data, starts, ends, lower=False)
+    of, hashes = np.searchsorted(offsets, starts, "right") - 1, word_hashes(data, starts, ends, lower=False)
     _, first = np.unique(np.stack([of.astype(np.uint64), hashes]), axis=1, return_index=True) if len(of) else (None, np.zeros(0, np.int64))
     first = np.sort(first)
     return of[first], hashes[first]

@@ -159,3 +159,22 @@ def test_alike_texts_and_others(spark):
     pairs = spark.createDataFrame([(prints[0], prints[i]) for i in (1, 2, 3)] + [(prints[0], None)], "a binary, b binary")
     near = [r.likeness for r in f.compared(pairs, "a", "b").collect()]
     assert 0.8 < near[0] < 1 and near[1] < 0.05 and near[2] == 1 and near[3] is None
+
+
+def test_segments_change_nothing_and_long_texts_take_little_memory(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["", "short", "x" * 5000, "".join(map(chr, rng.integers(97, 123, 9000))), "ab" * 300, "".join(map(chr, rng.integers(97, 100, 700)))]
+    ranks = np.array([ranks_of(texts)[k] for k in range(f.KINDS + 1)])
+    whole = [d.packed() for d in f.digests_of(texts, ranks)]
+    for segment in (64, 100, 1000):
+        monkeypatch.setattr(f, "SEGMENT", segment)
+        assert [d.packed() for d in f.digests_of(texts, ranks)] == whole
+    monkeypatch.undo()
+    import tracemalloc
+
+    long = rng.integers(97, 123, 12_000_000).astype(np.uint8)
+    tracemalloc.start()
+    f.features(long, np.array([0, len(long)]), ranks)
+    f.features(np.full(12_000_000, 97, np.uint8), np.array([0, len(long)]), ranks)
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
