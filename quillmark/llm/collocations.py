@@ -174,7 +174,7 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, most: int, step: int) -> I
     new[offsets[:-1][full]] = inside[offsets[:-1][full]]
     last[offsets[1:][full] - 1] = inside[offsets[1:][full] - 1]
     starts, ends = np.flatnonzero(new), np.flatnonzero(last) + 1
-    piece = np.cumsum(BREAK[data])[starts] + row_of(np.searchsorted(starts, offsets))
+    piece = np.searchsorted(np.flatnonzero(BREAK[data]), starts) + row_of(np.searchsorted(starts, offsets))
     for a in range(0, len(starts), step):
         b, beyond = min(a + step, len(starts)), min(a + step + most - 1, len(starts))
         size = ends[a:beyond] - starts[a:beyond]
