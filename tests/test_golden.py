@@ -1,0 +1,41 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quillmark.functions import classify, extract
+from quillmark.functions.text import normal, read_html
+from quillmark.plans import golden
+
+TEXTS = [
+    ("I highly recommend <i>Dune</i> by Frank Herbert. Great science fiction.", None, [("Dune", ["science-fiction"], 0.95)]),
+    ("<i>Emma</i> was overrated.", None, [("Emma", [], 0.5), ("Persuasion", [], 0.2)]),
+    ("Nothing to see", None, []),
+    ("I read Big Old Book last year and enjoyed it", ["Big Old Book"], [("big old book", [], 0.65)]),
+    ("<i>Ulysses</i>", None, None),
+]
+WORK = ("/works/OL1W", "Dune", ["Frank Herbert"], None, None, 1965, None)
+OTHER = ("/works/OL2W", "Children of Dune", ["Frank Herbert"], None, None, 1976, None)
+CASES = [(1, ("Dune", "Frank Herbert", None), [WORK, OTHER], "/works/OL1W"), (2, ("Dune", "Jane Austen", None), [WORK], None), (3, ("Zzz", None, None), [], None), (4, ("Children of Dune", None, None), [WORK, OTHER], "/works/OL1W")]
+
+
+def test_golden_run_counts_as_by_hand(spark):
+    samples = spark.createDataFrame([(i, h, k, b) for i, (h, k, b) in enumerate(TEXTS)], golden.SAMPLES)
+    got = golden.golden(samples, spark.createDataFrame(CASES, golden.CASES)).first()
+    tp = fp = fn = near = 0
+    for html, known, books in TEXTS:
+        spans = {normal(s.title): s for s in extract.extract(html, known)}
+        want = {normal(t): x for t, _, x in books or []}
+        tp, fp, fn = tp + len(spans.keys() & want.keys()), fp + len(spans.keys() - want.keys()), fn + len(want.keys() - spans.keys())
+        for t in spans.keys() & want.keys():
+            around = extract.context(read_html(html)["plain"], spans[t].raw)
+            label = spark.range(1).select(classify.strength(classify.label(F.lit(around))).alias("s")).first().s
+            near += abs(label - want[t]) <= 0.1
+    assert (tp, fp, fn) == (3, 1, 1)
+    assert (got.comments, got.canonicalization_cases) == (5, 4)
+    assert got.mention_precision == pytest.approx(tp / (tp + fp)) and got.mention_recall == pytest.approx(tp / (tp + fn))
+    assert got.canonicalization_accuracy == pytest.approx(3 / 4) and got.recommendation_strength_agreement == pytest.approx(near / tp)
+    assert got.tag_recall == 1.0 and 0 < got.tag_precision <= 1
+
+
+def test_nothing_is_zero(spark):
+    none = golden.golden(spark.createDataFrame([], golden.SAMPLES), spark.createDataFrame([], golden.CASES)).first()
+    assert set(none.asDict().values()) == {0}
