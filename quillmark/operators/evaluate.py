@@ -53,6 +53,51 @@ def mention_metrics(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def _identities() -> dict[str, Column]:
+    """Conditions on matched() rows that also have g_identity, g_work, g_accepted and p_work, p_status."""
+    hit, pending = F.col("outcome") == "tp", F.coalesce(F.col("g_identity") == "pending", F.lit(False))
+    accepted = F.concat(F.array("g_work"), F.coalesce("g_accepted", F.array().cast("array<string>")))
+    right = F.coalesce(F.array_contains(accepted, F.col("p_work")), F.lit(False))
+    known = hit & ~pending & F.col("g_work").isNotNull()
+    unknown = hit & ~pending & F.col("g_work").isNull()
+    status = F.coalesce("p_status", F.lit(""))
+    return {"pending": F.col("g_comment").isNotNull() & pending, "known": known, "right": known & right, "wrong": known & ~right, "unknown": unknown, "abstained": unknown & (status == "unresolved"), "rash": unknown & (status == "resolved"), "unresolved": status == "unresolved"}
+
+
+def identity_metrics(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
+    """How many works were known, and resolved to the right one with the right authors; how many weren't, and were left open.
+
+    pairs: matched() rows with g_identity, g_work, g_accepted, g_authors and
+    p_work, p_status, p_authors (authors as normal names). Labels whose identity
+    is pending are counted, and no more is said of them.
+    """
+    i = _identities()
+    none = F.array().cast("array<string>")
+    names = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, none)))
+    out = pairs.groupBy(*by).agg(
+        F.count_if(i["pending"]).alias("identities_pending"), F.count_if(i["known"]).alias("known_works"), F.count_if(i["right"]).alias("identity_correct"),
+        F.count_if(i["known"] & (names("g_authors") == names("p_authors"))).alias("authors_correct"),
+        F.count_if(i["unknown"]).alias("ambiguous_works"), F.count_if(i["abstained"]).alias("abstentions_correct"), F.count_if(i["unresolved"]).alias("unresolved"),
+    )
+    return out.select("*", ratio("identity_correct", "known_works").alias("identity_accuracy"), ratio("abstentions_correct", "ambiguous_works").alias("abstention_accuracy"))
+
+
+def errors(pairs: DataFrame) -> DataFrame:
+    """comment_id, kind, title, expected_work, actual_work: a row for each thing that is wrong with a prediction, or left open.
+
+    pairs: as for identity_metrics(), with g_title and p_title.
+    """
+    i, o = _identities(), F.col("outcome")
+    none = F.lit(None).cast("string")
+    row = lambda kind, title, want=none, got=none: F.struct(F.lit(kind).alias("kind"), F.col(title).alias("title"), want.alias("expected_work"), got.alias("actual_work"))
+    kinds = [
+        (o == "fn", row("omission", "g_title")), (i["wrong"], row("identity_mismatch", "g_title", F.col("g_work"), F.col("p_work"))),
+        (i["rash"], row("unexpected_resolution", "g_title")), (o == "fp", row("false_positive", "p_title")), (i["unresolved"], row("unresolved", "p_title")),
+    ]
+    found = F.array_compact(F.array(*[F.when(cond, r) for cond, r in kinds]))
+    return pairs.select(F.coalesce("g_comment", "p_comment").alias("comment_id"), F.explode(found).alias("e")).select("comment_id", "e.*")
+
+
 def confusion(rows: DataFrame, truth: str, guess: str, cases: str) -> DataFrame:
     """case, tp, fp, fn, tn, precision, recall; a row counts in each of its cases, and in 'all'."""
     rows = rows.withColumn("case", F.explode(F.concat(F.array(F.lit("all")), F.col(cases))))
@@ -105,6 +150,9 @@ def review_faults(snapshot: DataFrame, labels: DataFrame, topics: list[str], par
         "topics unknown": said.where(F.size(F.array_except("m.tags", F.array(*map(F.lit, topics)))) > 0),
         "identity and work disagree": said.where(((F.col("m.identity_status") == "verified") & F.col("m.work_id").isNull()) | (open_ & F.col("m.work_id").isNotNull())),
     }
+    if "snapshot_digest" in snapshot.columns:  # as Api.snapshot() makes it
+        now = F.sha2(F.to_json(F.struct("comment_id", "text", *[c for c in ("mentions",) if c in snapshot.columns])), 256)
+        out["snapshot changed"] = snapshot.where(~F.col("snapshot_digest").eqNullSafe(now))
     if not partial:
         out |= {
             "not reviewed": snapshot.join(labels.where("status = 'reviewed'"), "comment_id", "left_anti"),

@@ -283,3 +283,31 @@ def test_prefixes_read_the_ranges_that_hold_them(spark, tmp_path):
     assert "StringStartsWith(term,by1)" in plan and "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan
     found = search.matching(index.starting(search.search_words("ÉZ1")), "book_id", search.search_words("ÉZ1"))
     assert {words[r.book_id] for r in found.collect()} == {w for w in words if w.startswith("ez1")}
+
+
+def test_identities_and_errors(spark):
+    gold = [
+        (1, 0, ["a"], "A", "verified", "/w/1", ["/w/9"], ["x y"]), (1, 1, ["b"], "B", "verified", "/w/2", None, ["p q", "r"]), (1, 2, ["c"], "C", "ambiguous", None, None, None),
+        (1, 3, ["d"], "D", "ambiguous", None, None, None), (2, 0, ["e"], "E", "pending", None, None, None), (2, 1, ["f"], "F", "verified", "/w/3", None, None),
+    ]
+    pred = [(1, 0, "a", "a", "/w/9", "resolved", ["x y"]), (1, 1, "b", "b", "/w/7", "resolved", ["r", "p q"]), (1, 2, "c", "c", None, "unresolved", None), (1, 3, "d", "d", "/w/5", "resolved", None), (2, 0, "e", "e", "/w/6", "resolved", None), (2, 1, "z", "z", None, "unresolved", None)]
+    g = spark.createDataFrame(gold, "comment_id long, gold_no int, titles array<string>, g_title string, g_identity string, g_work string, g_accepted array<string>, g_authors array<string>")
+    p = spark.createDataFrame(pred, "comment_id long, pred_no int, title string, p_title string, p_work string, p_status string, p_authors array<string>")
+    pairs = evaluate.matched(g, p)
+    m = evaluate.identity_metrics(pairs).first()
+    assert (m.identities_pending, m.known_works, m.identity_correct, m.authors_correct, m.ambiguous_works, m.abstentions_correct, m.unresolved) == (1, 2, 1, 2, 2, 1, 2)
+    assert m.identity_accuracy == 0.5 and m.abstention_accuracy == 0.5
+    assert {tuple(r) for r in evaluate.errors(pairs).collect()} == {
+        (1, "identity_mismatch", "B", "/w/2", "/w/7"), (1, "unresolved", "c", None, None), (1, "unexpected_resolution", "D", None, None),
+        (2, "omission", "F", None, None), (2, "false_positive", "z", None, None), (2, "unresolved", "z", None, None),
+    }
+    assert evaluate.identity_metrics(pairs.limit(0)).first().known_works == 0
+
+
+def test_a_changed_snapshot_is_found(spark):
+    rows = spark.createDataFrame([(1, "text", "d", True), (2, "other", "d", True)], "comment_id long, text string, source_digest string, processed boolean")
+    good = rows.withColumn("snapshot_digest", F.sha2(F.to_json(F.struct("comment_id", "text")), 256))
+    labels = spark.createDataFrame([], "comment_id long, source_digest string, status string, mentions array<struct<raw:string,titles:array<string>,tags:array<string>,identity_status:string,work_id:string>>")
+    assert evaluate.review_faults(good, labels, [], True)["snapshot changed"].count() == 0
+    edited = good.withColumn("text", F.when(F.col("comment_id") == 2, "edited").otherwise(F.col("text")))
+    assert [r.comment_id for r in evaluate.review_faults(edited, labels, [], True)["snapshot changed"].collect()] == [2]
