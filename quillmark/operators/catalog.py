@@ -21,8 +21,8 @@ from quillmark.functions.text import normal_name, normal_title
 from quillmark.operators.incremental import numbered
 from quillmark.session import cut
 
-#: Postings of a term's first run; answers of a search.
-FIRST, MOST = 16, 8
+#: Postings of a term's first run; answers of a search; the runs that are read before all others that may count.
+FIRST, MOST, DEEPER = 16, 8, 2
 
 
 @dataclass
@@ -118,7 +118,8 @@ def needed(terms: DataFrame, seeds: DataFrame, most: int = MOST) -> DataFrame:
 
     def may(r: Column) -> Column:
         bound = r["top"] + F.col("rest")
-        return F.coalesce((bound > F.col("beat")) | ((bound == F.col("beat")) & ((F.col("rest") > 0) | (r["first_key"] < F.col("beat_key")))), F.lit(True))
+        # a record that comes to an equal bound has the run's largest impact, and those lie by key
+        return F.coalesce((bound > F.col("beat")) | ((bound == F.col("beat")) & (r["first_key"] < F.col("beat_key"))), F.lit(True))
 
     rows = terms.join(last, "ask", "left").select("ask", "asked", "term", F.explode(F.filter("runs", may)).alias("r"))
     return rows.select("ask", "asked", "term", "r.run", "r.n")
@@ -134,10 +135,12 @@ def search(asks: DataFrame, index: Index, most: int = MOST) -> DataFrame:
     terms = cut(asked_terms(asks, index))
     first = index.postings.where("run = 0").select("term", "key")
     seeds = cut(scored(terms.select("ask", "asked", "term").join(first, "term"), index))
-    wanted = needed(terms, seeds, most)
-    more = scored(wanted.join(index.postings.select("term", "run", "key"), ["term", "run"]), index)
+    for low, high in ((1, DEEPER), (DEEPER + 1, 64)):  # what the next runs hold raises what later ones have to beat
+        wanted = needed(terms, seeds, most).where(F.col("run").between(low, high))
+        more = scored(wanted.join(index.postings.select("term", "run", "key"), ["term", "run"]), index)
+        seeds = cut(seeds.union(more).distinct())
     best = Window.partitionBy("ask").orderBy(F.desc("score"), "key")
-    found = seeds.union(more).distinct().withColumn("place", F.row_number().over(best) - 1).where(F.col("place") < most)
+    found = seeds.withColumn("place", F.row_number().over(best) - 1).where(F.col("place") < most)
     return found.select("ask", "place", "key", "score")
 
 

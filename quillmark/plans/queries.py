@@ -643,7 +643,7 @@ with r as (
 ),
 q as (
   select distinct upper(p_name) || ' ' || lower(p_type) as title, s_name as author, string_split(lower(p_name || ' ' || p_type), ' ') as w, string_split(lower(replace(s_name, '#', ' ')), ' ') as a
-  from part left join supplier on s_suppkey = (p_partkey * 7 + 3) % 100
+  from part left join supplier on s_suppkey = (p_partkey * 7 + 3) % 100 and p_size > 40
 ),
 rt as (select key, len(w) as n_words, unnest(list_distinct(list_concat(['t ' || x for x in w], ['p ' || w[i] || ' ' || w[i + 1] for i in range(1, len(w))], ['a ' || x for x in coalesce(a, [])]))) as term from r),
 qt as (select title, author, unnest(list_distinct(list_concat(['t ' || x for x in w], ['p ' || w[i] || ' ' || w[i + 1] for i in range(1, len(w))], ['a ' || x for x in coalesce(a, [])]))) as term from q),
@@ -655,12 +655,12 @@ select title, author, row_number() over (partition by title, author order by sco
 
 @query(_CATALOG)
 def catalog_search_top8(spark, sf_dir):
-    """Every part's name and type, with a supplier as author, asked of an index of all parts: the best eight of each question."""
+    """Every part's name and type, of large parts with a supplier as author, asked of an index of all parts: the best eight of each question."""
     p, s = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    by = lambda n: p.join(s, F.col("s_suppkey") == n, "left")
+    by = lambda n, cond=F.lit(True): p.join(s, (F.col("s_suppkey") == n) & cond, "left")
     names = F.when(F.col("s_name").isNotNull(), F.array("s_name"))
     records = by(F.col("p_partkey") % 100).select(F.concat(F.lit("/works/OL"), "p_partkey", F.lit("W")).alias("key"), F.concat_ws(" ", "p_name", "p_type").alias("title"), names.alias("names"))
-    asks = by((F.col("p_partkey") * 7 + 3) % 100).select(F.concat_ws(" ", F.upper("p_name"), F.lower("p_type")).alias("title"), F.col("s_name").alias("author"), names.alias("names")).distinct()
+    asks = by((F.col("p_partkey") * 7 + 3) % 100, F.col("p_size") > 40).select(F.concat_ws(" ", F.upper("p_name"), F.lower("p_type")).alias("title"), F.col("s_name").alias("author"), names.alias("names")).distinct()
     asks = cut(catalog.with_terms(asks, "title", "names").select(F.to_json(F.array("title", "author")).alias("ask"), "title", "author", "terms"))
     found = catalog.search(asks.select("ask", "terms"), catalog.build(records))
     return asks.join(found, "ask").select("title", "author", F.col("place").cast("long").alias("place"), "key", "score")
