@@ -32,7 +32,9 @@ from quillmark.llm.text import LOWER, chunks, mix, row_of, word_hashes
 
 MOST, LEAST, TOP, INSIDE = 4, 30, 2000, 80
 #: Bytes of text read at once, words whose windows are combined at once, bytes of text whose windows make a bucket.
-CHUNK, STEP, RANGE = 4 << 20, 1 << 19, 8 << 20
+CHUNK, STEP, RANGE = 4 << 20, 1 << 18, 8 << 20
+#: Rows of a batch that a Python worker gets: blocks are large, and so may texts be.
+ROWS, BATCH = 256, "spark.sql.execution.arrow.maxRecordsPerBatch"
 U64 = np.uint64
 
 BREAK = np.zeros(256, bool)
@@ -282,7 +284,12 @@ def phrase_counts(docs: DataFrame, ws: Workspace, *, most: int = MOST, least: in
     blocks, rows = docs.select("lang", "text").mapInArrow(lean(count_windows(most, buckets, step)), kind), None
     for length in range(most, 0, -1):
         met = blocks.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
-        got = ws.save(met.mapInArrow(lean(fold(most, length, least, buckets, step)), kind), f"round-{length}")
+        before = ws.spark.conf.get(BATCH)
+        ws.spark.conf.set(BATCH, ROWS)
+        try:
+            got = ws.save(met.mapInArrow(lean(fold(most, length, least, buckets, step)), kind), f"round-{length}")
+        finally:
+            ws.spark.conf.set(BATCH, before)
         kept = ws.save(got.where("body is null").select("lang", *columns, "n"), f"windows-{length}")
         rows = rows.unionByName(kept) if rows else kept
         blocks = got.where("body is not null")
