@@ -8,6 +8,11 @@ it, so a term has few runs and their bounds are a short list. A question reads
 every term's first run, knows from these records what its last answer has to
 beat, and then reads those runs only whose bound can beat it. So a common word
 beside a rare one is scored, but its postings aren't read.
+
+Records with the same terms and length score the same for every question, so of
+more than `most` such records only the `most` smallest keys can be answers: they
+are one entry of the index, under the smallest key, and count in full for the
+weights of terms.
 """
 
 from __future__ import annotations
@@ -29,9 +34,10 @@ FIRST, MOST, DEEPER = 16, 8, 2
 class Index:
     """Tables of an inverted index."""
 
-    records: DataFrame  # key, impacts: map of term to impact
+    records: DataFrame  # key, impacts: map of term to impact, copies: the keys that it stands for, in order
     terms: DataFrame  # term, df, top: the largest impact, runs: (run, top, first_key, n) without the first
     postings: DataFrame  # term, run, key, impact
+    most: int = MOST  # answers that it can give
 
 
 def terms_of(title: Column, names: Column) -> Column:
@@ -57,8 +63,20 @@ def turned(name: Column) -> Column:
     return F.replace(name, F.lit(","), F.lit(" "))
 
 
-def build(records: DataFrame, title: str = "title", names: str = "names") -> Index:
-    """The index of records (key, title, names).
+def entries(base: DataFrame, title: str, names: str, most: int) -> DataFrame:
+    """terms, n_words, key, copies, n: records with the same terms and length, as one row where they are more than `most`, else each."""
+    first = lambda rows, *by: rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("place") <= most).drop("place")
+    kinds = lambda rows: with_terms(rows, title, names).withColumn("terms", F.array_sort("terms"))
+    sizes = kinds(base.groupBy(title, names).agg(F.count("*").alias("n"))).groupBy("terms", "n_words").agg(F.sum("n").alias("n"))
+    kept = first(kinds(first(base, title, names)), "terms", "n_words").groupBy("terms", "n_words").agg(F.array_sort(F.collect_list("key")).alias("copies"))  # `most` at most
+    one = F.transform("copies", lambda k: F.struct(k.alias("key"), F.array(k).alias("copies"), F.lit(1).cast("long").alias("n")))
+    all_ = F.array(F.struct(F.get("copies", F.lit(0)).alias("key"), F.col("copies"), F.col("n")))
+    rows = kept.join(sizes, ["terms", "n_words"]).select("terms", "n_words", F.explode(F.when(F.col("n") <= most, one).otherwise(all_)).alias("e"))
+    return rows.select("terms", "n_words", "e.*")
+
+
+def build(records: DataFrame, title: str = "title", names: str = "names", most: int = MOST) -> Index:
+    """The index of records (key, title, names), for searches of up to `most` answers.
 
     A term's weight falls with the share of records that hold it; terms of a
     title count for less, the longer the title is. Postings are numbered in
@@ -66,33 +84,47 @@ def build(records: DataFrame, title: str = "title", names: str = "names") -> Ind
     numbered by many tasks. Records with the same key are one. Null titles and
     names have no terms; an empty catalogue gives empty tables.
     """
-    rows = cut(with_terms(records.select("key", title, names).where("key is not null").dropDuplicates(["key"]), title, names).select("key", "terms", "n_words"))
-    total = rows.count()
-    each = rows.select("key", "n_words", F.explode("terms").alias("term"))
+    base = cut(records.select("key", title, names).where("key is not null").dropDuplicates(["key"]))
+    total = base.count()
+    rows = cut(entries(base, title, names, most))
+    each = rows.select("key", "n_words", "n", F.explode("terms").alias("term"))
     weight = F.floor(1000 * F.log(1 + F.lit(float(total)) / F.col("df"))).cast("long")
-    df = each.groupBy("term").agg(F.count("*").alias("df")).withColumn("weight", weight)
+    df = cut(each.groupBy("term").agg(F.sum("n").alias("df")).withColumn("weight", weight))
     of_title = F.greatest(F.expr("(weight * 4) div (3 + n_words)"), F.lit(1))
     held = cut(each.join(df, "term").select("term", "key", F.when(F.substring("term", 1, 1) == "a", F.col("weight")).otherwise(of_title).alias("impact")))
-    placed = numbered(held.select(F.struct("term", (-F.col("impact")).alias("down"), "key").alias("at")), "at", "number")
-    placed = cut(placed.select("at.term", "at.key", (-F.col("at.down")).alias("impact"), "number"))
-    starts = placed.groupBy("term").agg(F.min("number").alias("start"))
+    numbers = numbered(held.select(F.struct("term", (-F.col("impact")).alias("down"), "key").alias("at")), "at", "number")
+    numbers = cut(numbers.select("at.term", "at.key", (-F.col("at.down")).alias("impact"), "number"))
+    starts = numbers.groupBy("term").agg(F.min("number").alias("start"))
     behind = F.expr(f"(number - start) div {FIRST}")
-    postings = cut(placed.join(starts, "term").withColumn("run", F.when(behind == 0, 0).otherwise(F.length(F.bin(behind)))).select("term", "run", "key", "impact"))
+    postings = cut(numbers.join(starts, "term").withColumn("run", F.when(behind == 0, 0).otherwise(F.length(F.bin(behind)))).select("term", "run", "key", "impact"))
     runs = postings.groupBy("term", "run").agg(F.min(F.struct((-F.col("impact")).alias("down"), "key")).alias("first"), F.count("*").alias("n"))
     listed = F.array_sort(F.collect_list(F.struct("run", (-F.col("first.down")).alias("top"), F.col("first.key").alias("first_key"), "n")))  # runs double, so they are few
-    terms = runs.groupBy("term").agg(F.sum("n").alias("df"), F.max(-F.col("first.down")).alias("top"), listed.alias("runs"))
-    terms = terms.withColumn("runs", F.filter("runs", lambda r: r["run"] > 0))
+    terms = runs.groupBy("term").agg(F.max(-F.col("first.down")).alias("top"), listed.alias("runs")).join(df.select("term", "df"), "term")
+    terms = terms.select("term", "df", "top", F.filter("runs", lambda r: r["run"] > 0).alias("runs"))
     impacts = held.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "impact"))).alias("impacts"))  # a record's own terms
-    return Index(cut(impacts), cut(terms), postings)
+    return Index(cut(impacts.join(rows.select("key", "copies"), "key")), cut(terms), postings, most)
 
 
 def scored(found: DataFrame, index: Index) -> DataFrame:
-    """ask, key, score of each pair of a question and a record (ask, asked: its terms, key), once; those without a word of the title go."""
+    """ask, key, score, copies of each pair of a question and an entry (ask, asked: its terms, key), once; those without a word of the title go."""
     pairs = found.groupBy("ask", "key").agg(F.first("asked").alias("asked"))
     rows = pairs.join(index.records, "key")
     shared = F.filter("asked", lambda t: F.map_contains_key("impacts", t))
     rows = rows.withColumn("shared", shared).where(F.exists("shared", lambda t: F.startswith(t, F.lit("t "))))
-    return rows.select("ask", "key", F.aggregate(F.transform("shared", lambda t: F.element_at("impacts", t)), F.lit(0).cast("long"), lambda a, x: a + x).alias("score"))
+    return rows.select("ask", "key", F.aggregate(F.transform("shared", lambda t: F.element_at("impacts", t)), F.lit(0).cast("long"), lambda a, x: a + x).alias("score"), "copies")
+
+
+def leading(seeds: DataFrame, most: int) -> DataFrame:
+    """Of each question's entries (ask, key, score) the `most` best: the best records are among these and their copies."""
+    best = Window.partitionBy("ask").orderBy(F.desc("score"), "key")
+    return seeds.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
+
+
+def placed(seeds: DataFrame, most: int) -> DataFrame:
+    """ask, place (from 0), key, score: the `most` best records of each question's entries."""
+    each = leading(seeds, most).select("ask", F.explode("copies").alias("key"), "score")
+    best = Window.partitionBy("ask").orderBy(F.desc("score"), "key")
+    return each.withColumn("place", F.row_number().over(best) - 1).where(F.col("place") < most).select("ask", "place", "key", "score")
 
 
 def asked_terms(asks: DataFrame, index: Index) -> DataFrame:
@@ -110,11 +142,10 @@ def asked_terms(asks: DataFrame, index: Index) -> DataFrame:
 def needed(terms: DataFrame, seeds: DataFrame, most: int = MOST) -> DataFrame:
     """ask, asked, term, run, n: the runs beyond the first that may hold one of the best `most` records.
 
-    seeds (ask, key, score): records scored already. The last of a question's
+    seeds (ask, key, score, copies): entries scored already. The last of a question's
     best has to be beaten: by a larger bound, or by an equal one and a smaller key.
     """
-    best = Window.partitionBy("ask").orderBy(F.desc("score"), "key")
-    last = seeds.withColumn("place", F.row_number().over(best)).where(F.col("place") == most).select("ask", F.col("score").alias("beat"), F.col("key").alias("beat_key"))
+    last = placed(seeds, most).where(F.col("place") == most - 1).select("ask", F.col("score").alias("beat"), F.col("key").alias("beat_key"))
 
     def may(r: Column) -> Column:
         bound = r["top"] + F.col("rest")
@@ -132,16 +163,16 @@ def search(asks: DataFrame, index: Index, most: int = MOST) -> DataFrame:
     by score and then key, as if every posting had been read. Questions without
     a known term have no rows.
     """
+    if most > index.most:
+        raise ValueError(f"the index was built for {index.most} answers")
     terms = cut(asked_terms(asks, index))
     first = index.postings.where("run = 0").select("term", "key")
     seeds = cut(scored(terms.select("ask", "asked", "term").join(first, "term"), index))
     for low, high in ((1, DEEPER), (DEEPER + 1, 64)):  # what the next runs hold raises what later ones have to beat
         wanted = needed(terms, seeds, most).where(F.col("run").between(low, high))
         more = scored(wanted.join(index.postings.select("term", "run", "key"), ["term", "run"]), index)
-        seeds = cut(seeds.union(more).distinct())
-    best = Window.partitionBy("ask").orderBy(F.desc("score"), "key")
-    found = seeds.withColumn("place", F.row_number().over(best) - 1).where(F.col("place") < most)
-    return found.select("ask", "place", "key", "score")
+        seeds = cut(leading(seeds.union(more).distinct(), most))
+    return placed(seeds, most)
 
 
 def answers(spans: DataFrame, records: DataFrame, index: Index, most: int = MOST) -> DataFrame:

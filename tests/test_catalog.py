@@ -105,3 +105,16 @@ def test_ties_go_to_smaller_keys(spark, most):
     records = [(f"k{i:04d}", "same title", None) for i in range(200)]
     index = catalog.build(spark.createDataFrame(records, SCHEMA).repartition(4))
     assert [k for k, _ in got(catalog.search(asked(spark, [("q", "Same Title", None)]), index, most))["q"]] == [f"k{i:04d}" for i in range(most)]
+
+
+def test_copies_are_one_entry(spark):
+    """Records alike in all terms don't lengthen postings; answers and weights are those of all records."""
+    records = [(f"k{i:04d}", ["red ring", "Ring, RED", "ring red", "blue ring"][i % 4], [["Ann Lee"], ["Lee, Ann"], None][i % 3]) for i in range(600)] + [("a", "red", None), ("z", "ring of blue", ["Lee"])]
+    asks = [("q1", "red ring", ["Ann Lee"]), ("q2", "ring", None), ("q3", "blue", ["Lee"]), ("q4", "ring red", None)]
+    index = catalog.build(spark.createDataFrame(records, SCHEMA).repartition(3))
+    assert index.postings.groupBy("term").count().agg(F.max("count")).first()[0] < 12
+    assert {r.term: r.df for r in index.terms.collect()}["t ring"] == 601
+    for most in (1, 5, 8):
+        assert got(catalog.search(asked(spark, asks), index, most)) == brute(records, asks, most)
+    with pytest.raises(ValueError):
+        catalog.search(asked(spark, asks), index, 9)
