@@ -69,3 +69,26 @@ def test_normal_titles(spark, sf_dir):
 
     want = {r.doc_id: sha256(normal(r.text).encode()).hexdigest() for r in rows(spark, sf_dir, "documents")}
     assert {r.doc_id: r.normal_sha256 for r in QUERIES["normalize_title_unicode"](spark, sf_dir).collect()} == want
+
+
+def test_topics_with_more_than_a_million_parts(spark, tmp_path):
+    """The mention of part 1,000,003 in one order and of part 3 in the next have the same number."""
+    import datetime
+
+    day = datetime.datetime(1996, 5, 1)
+    lines = [(o, p, 1, float(q), 10.0, 0.05, "N") for o in range(40) for p, q in ((3, 50 if o % 2 else 1), (1_000_003, 1 if o % 2 else 50), (2_000_000 + o, 50))]
+    tables = {
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string"),
+        "orders": spark.createDataFrame([(o, o % 5, day, ["1-URGENT", "5-LOW", "2-HIGH"][o % 3]) for o in range(40)], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+        "customer": spark.createDataFrame([(c, c, ["BUILDING", "MACHINERY"][c % 2]) for c in range(5)], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "part": spark.createDataFrame([(p, "blue ring") for p in (3, 1_000_003, *range(2_000_000, 2_000_040))], "p_partkey long, p_name string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("topic_counts", "topics_per_book", "api_topics", "topic_include_any", "topic_exclude_any", "topic_include_and_exclude"):
+        same(con, QUERIES[name](spark, str(tmp_path)), SQL[name])
