@@ -16,6 +16,8 @@ from quillmark.operators.resolve import TITLE_SCORE
 from quillmark.session import cut
 
 Q = 2
+#: Pairs of forms that a task compares, forms of one piece in a share of it, and the most tasks of the join.
+PAIRS, SHARE, MOST_TASKS = 250_000, 250, 10_000
 
 
 def pieces(text: Column) -> Column:
@@ -46,7 +48,9 @@ def similar(left: DataFrame, right: DataFrame, ratio: float = TITLE_SCORE) -> Da
     left one. Equal titles are compared once, so copies don't multiply; titles
     of nulls or without a word are like nothing. Pieces that very many titles
     hold are among the rarest of few. Pairs are met at each piece that they
-    share there, and told apart before the ratio is computed.
+    share there, and those with more edits than the ratio allows go at once:
+    most pairs of titles made of the same few words never leave the join, and
+    only what is left is told apart and has its ratio computed.
     """
     normal = lambda df: cut(df.where("title is not null").select("title").distinct().withColumns({"normal": normal_title("title"), "main": normal_title(F.element_at(F.split("title", ":"), 1))}))
     sides = [cut(forms(normal(df), r).withColumn("side", F.lit(int(r)))) for df, r in ((left, False), (right, True))]
@@ -56,9 +60,18 @@ def similar(left: DataFrame, right: DataFrame, ratio: float = TITLE_SCORE) -> Da
     ordered = F.array_sort(F.collect_list(F.struct("n", "piece")))  # a title's own pieces
     first = each.join(rare, "piece").groupBy("kind", "form", "length").agg(ordered.alias("all"))
     first = cut(first.select("kind", "form", "length", F.explode(F.slice("all", F.lit(1), most_edits(F.col("length"), ratio) * Q + 1)).alias("p")).select("kind", "form", "length", "p.piece"))
-    a, b = (first.select(F.col("kind").alias(f"{s}_kind"), F.col("form").alias(f"{s}_form"), F.col("length").alias(f"{s}_length"), F.col("piece").alias(f"{s}_piece")) for s in "ab")
+    held_by = cut(first.groupBy("kind", "piece").agg(F.count("*").alias("n")))
+    tasks = int(held_by.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0)).alias("n")).first().n / PAIRS) + 1
+    dealt = first.join(held_by.withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")), ["kind", "piece"])
+    share = {"a": F.pmod(F.xxhash64("form"), F.col("shares")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("shares") - 1))}
+    side = lambda s: dealt.select(F.col("kind").alias(f"{s}_kind"), F.col("form").alias(f"{s}_form"), F.col("length").alias(f"{s}_length"), F.col("piece").alias(f"{s}_piece"), share[s].alias(f"{s}_share"))
+    a, b = (side(s).repartition(min(tasks, MOST_TASKS), f"{s}_piece", f"{s}_kind", f"{s}_share") for s in "ab")
     near = (F.least("a_length", "b_length") * (2 - ratio) + 1e-9 >= F.greatest("a_length", "b_length") * ratio)
-    met = a.join(b, (F.col("a_piece") == F.col("b_piece")) & (F.col("a_kind") == F.col("b_kind"))).where(near).select(F.col("a_kind").alias("kind"), "a_form", "b_form").distinct()
+    # replacing counts once here and twice in the ratio, so no pair that is alike is farther apart than that
+    edits = F.floor((1 - ratio) * (F.col("a_length") + F.col("b_length")) + 1e-9)
+    longest = held.agg(F.coalesce(F.max("length"), F.lit(0)).alias("n")).first().n
+    near &= F.levenshtein("a_form", "b_form", int(2 * longest * (1 - ratio) + 1e-9)).between(F.lit(0), edits)  # -1: more edits than any two titles may have
+    met = a.join(b, (F.col("a_piece") == F.col("b_piece")) & (F.col("a_kind") == F.col("b_kind")) & (F.col("a_share") == F.col("b_share"))).where(near).select(F.col("a_kind").alias("kind"), "a_form", "b_form").distinct()
     titled = lambda side, s: sides[side].select(F.col("kind").alias(f"{s}_kind"), F.col("form").alias(f"{s}_form"), F.col("title").alias(f"{'left' if s == 'a' else 'right'}_title"))
     l, r = titled(0, "a"), titled(1, "b")  # noqa: E741
     pairs = met.join(l, (met.kind == l.a_kind) & (met.a_form == l.a_form)).join(r, (met.kind == r.b_kind) & (met.b_form == r.b_form))

@@ -35,3 +35,26 @@ def test_against_comparing_all_pairs(spark, ratio):
 def test_empty(spark):
     none = spark.createDataFrame([], "title string")
     assert similar(none, none).count() == 0
+
+
+def test_hot_pieces_are_dealt_and_far_pairs_go_before_the_ratio(spark, monkeypatch):
+    """Titles of a few words: pairs are far more than titles, meet in many shares, and only near ones reach the ratio."""
+    from pyspark.sql import functions as F
+
+    from quillmark.operators import similar as s
+
+    data = [f"{a} {b} model {i}" for i, (a, b) in enumerate((a, b) for a in ("red", "blue", "green", "black") for b in ("ring", "bolt", "gear", "plate", "widget") for _ in range(8))]
+    monkeypatch.setattr(s, "SHARE", 7)
+    monkeypatch.setattr(s, "PAIRS", 500)
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def watched(left, right):
+        compared.add(len(left))
+        return left.combine(right, lambda a, b: similarity(a, b))
+
+    monkeypatch.setattr(s, "title_similarity", watched)
+    rows = spark.createDataFrame([(t,) for t in data], "title string")
+    got = {(r.left_title, r.right_title): r.similarity for r in similar(rows, rows, 0.94).collect()}
+    assert got == pytest.approx(brute(data, data, 0.94)) and len(got) > 100
+    assert compared.value < len(data) ** 2 / 3
