@@ -38,17 +38,18 @@ class State:
 
 
 def bitmap(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """by, bucket, bits: exact bitmaps of the different values (whole numbers), a row for each 32,768 of them."""
+    """by, bucket, bits: exact bitmaps of the different values (whole numbers), a row and a number for each 64 of them, so few values take few bytes."""
     v = F.col(value).cast("long")
-    return rows.where(v.isNotNull()).groupBy(*by, F.bitmap_bucket_number(v).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(v, F.lit(64)).cast("int"))
+    return rows.where(v.isNotNull()).groupBy(*by, F.shiftright(v, 6).alias("bucket")).agg(F.bit_or(bit).alias("bits"))
 
 
 def ored(bitmaps: DataFrame, *by: str) -> DataFrame:
-    return bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return bitmaps.groupBy(*by, "bucket").agg(F.bit_or("bits").alias("bits"))
 
 
 def counted(bitmaps: DataFrame, name: str, *by: str) -> DataFrame:
-    return bitmaps.groupBy(*by).agg(F.sum(F.bitmap_count("bits")).alias(name))
+    return bitmaps.groupBy(*by).agg(F.sum(F.bit_count("bits").cast("long")).alias(name))
 
 
 def gathered(mentions: DataFrame) -> State:

@@ -70,3 +70,11 @@ def test_empty_state(spark):
     assert kept.scores_at(kept.board(kept.gathered(none)), 1).count() == 0
     one = kept.merged(kept.gathered(none), kept.gathered(frame(spark, mentions(40))))
     assert rows(kept.scores_at(kept.board(one), 1_550_000_000)) == rows(ranking.scores(frame(spark, mentions(40)), 1_550_000_000))
+
+
+def test_bitmaps_of_few_values_are_small(spark):
+    """A number for each 64 values, negative ones and the ends of a number too."""
+    values = [0, 1, 63, 64, -1, -64, -65, 70_000, 2**40]
+    maps = kept.bitmap(spark.createDataFrame([(1, v) for v in values * 2], "b long, v long"), "v", "b")
+    assert dict(maps.dtypes)["bits"] == "bigint" and maps.count() == 6
+    assert [tuple(r) for r in kept.counted(maps, "n", "b").collect()] == [(1, len(values))]
