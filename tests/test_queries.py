@@ -92,3 +92,8 @@ def test_topics_with_more_than_a_million_parts(spark, tmp_path):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
     for name in ("topic_counts", "topics_per_book", "api_topics", "topic_include_any", "topic_exclude_any", "topic_include_and_exclude"):
         same(con, QUERIES[name](spark, str(tmp_path)), SQL[name])
+
+
+def test_author_names_are_dealt_over_tasks(spark, sf_dir):
+    """Parts are few bytes, which one task would read and work on alone."""
+    assert QUERIES["author_names"](spark, sf_dir).rdd.getNumPartitions() > 1
