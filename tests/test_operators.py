@@ -311,3 +311,12 @@ def test_a_changed_snapshot_is_found(spark):
     assert evaluate.review_faults(good, labels, [], True)["snapshot changed"].count() == 0
     edited = good.withColumn("text", F.when(F.col("comment_id") == 2, "edited").otherwise(F.col("text")))
     assert [r.comment_id for r in evaluate.review_faults(edited, labels, [], True)["snapshot changed"].collect()] == [2]
+
+
+def test_ranges_of_terms_grow_in_number_not_in_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "RANGE_ROWS", 50)
+    terms = spark.createDataFrame([(i, f"t{i % 7}") for i in range(1000)], "book_id long, term string")
+    index = search.TermTable(spark, str(tmp_path / "t")).write(terms, "book_id")
+    stored = spark.read.parquet(f"{tmp_path}/t/terms")
+    assert stored.groupBy("part").count().agg({"count": "max"}).first()[0] <= 100 and stored.select("part").distinct().count() >= 15
+    assert index.starting(["t3"]).count() == sum(i % 7 == 3 for i in range(1000))
