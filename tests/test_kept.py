@@ -78,3 +78,15 @@ def test_bitmaps_of_few_values_are_small(spark):
     maps = kept.bitmap(spark.createDataFrame([(1, v) for v in values * 2], "b long, v long"), "v", "b")
     assert dict(maps.dtypes)["bits"] == "bigint" and maps.count() == 6
     assert [tuple(r) for r in kept.counted(maps, "n", "b").collect()] == [(1, len(values))]
+
+
+def test_mentions_are_made_once_for_all_that_is_kept(spark, sf_dir, monkeypatch):
+    """What is kept of both batches reads stored mentions, not the lines and orders again."""
+    from quillmark.plans import queries
+
+    read = []
+    gathered = kept.gathered
+    monkeypatch.setattr(kept, "gathered", lambda m: read.append(m) or gathered(m))
+    queries._two_batches(spark, sf_dir)
+    plans = [m._jdf.queryExecution().optimizedPlan().toString() for m in read]
+    assert len(plans) == 2 and not any("lineitem" in p or "Join" in p for p in plans)
