@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import grounded_excerpt, normal_title
+from quillmark.session import cut
 
 #: Words of a run, characters of a piece of quotes that have no run.
 RUN, PIECE = 5, 3
@@ -58,7 +59,7 @@ def grounded_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:
         held = one if held is None else held.union(one)
     if held is None:
         return docs.select("doc_id").crossJoin(quotes.select("item_id", F.lit(None).cast("string").alias("excerpt"))).limit(0)  # no quote has a word
-    held = held.join(asked.select("part").distinct(), "part", "left_semi")
+    held = cut(held.join(asked.select("part").distinct(), "part", "left_semi"))  # counted, then joined: texts are read once
     counted = asked.join(held.groupBy("part").count(), "part", "left")
     rarest = counted.groupBy("item_id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "part")).alias("r"))
     pairs = held.join(rarest.select("item_id", "r.part"), "part").select("doc_id", "item_id").distinct()

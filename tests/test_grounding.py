@@ -26,3 +26,12 @@ def test_nothing_to_look_up(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "!!"), (2, None)], "item_id long, raw string")
     assert grounded_in(q, d).count() == 0 and grounded_in(q.limit(0), d).count() == 0
+
+
+def test_texts_are_read_once_for_their_parts(spark):
+    """What is left to do after the parts were found normalises no text again."""
+    d = spark.createDataFrame([(1, "one two three four five six seven eight")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "two three four five six seven eight")], "item_id long, raw string")
+    found = grounded_in(q, d)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "normal_title(text" not in plan and [tuple(r) for r in found.collect()] == [(1, 1, "two three four five six seven eight")]
