@@ -72,3 +72,19 @@ def test_patterns_use_no_more_than_there_is():
         plan, used = plan_patterns(h, 16, 4)
         assert (used <= h).all() and all(sum(p) == 16 for p, _ in plan)
         assert (used == sum(np.bincount(p, minlength=16) * n for p, n in plan)).all()
+
+
+def test_python_gets_small_batches(spark, tmp_path):
+    """A batch of 10,000 rows of long texts would be held by the executor and by the worker."""
+    import pyarrow as pa
+
+    from quillmark.llm.common import BATCH, Workspace
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) as t")
+    before = spark.conf.get(BATCH)
+    got = [r.n for r in Workspace(spark, "t").save(rows.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert len(got) > 2 and max(got) < 10 << 20 and spark.conf.get(BATCH) == before
