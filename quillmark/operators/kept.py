@@ -22,13 +22,14 @@ from quillmark.operators.ranking import ANONYMOUS_WEIGHT, DAY, HALF_LIFE_DAYS, N
 #: Where forward decay starts; any date does, one near the mentions keeps the sums small.
 LANDMARK = 1_577_836_800  # 2020-01-01, in UTC
 READER = ("book_id", "anonymous", "reader")
+SAID = ("created_at", "recommendation_strength", "sentiment", "thread_id", "comment_id")
 
 
 @dataclass
 class State:
     """What is kept of mentions."""
 
-    opinions: DataFrame  # READER, and the largest p, most, least
+    opinions: DataFrame  # READER, what SAID names of the latest opinion, and the largest most and least
     counts: DataFrame  # book_id, mention_count, recommendation_count
     threads: DataFrame  # book_id, bucket, bits: bitmaps of the threads that mention a book
 
@@ -52,11 +53,18 @@ def counted(bitmaps: DataFrame, name: str, *by: str) -> DataFrame:
     return bitmaps.groupBy(*by).agg(F.sum(F.bit_count("bits").cast("long")).alias(name))
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """Of rows with READER, SAID, most and least each reader's latest opinion; plain columns, of which a reader takes those that it needs."""
+    pick = F.struct(*SAID[:3], (-F.col("thread_id")).alias("t"), (-F.col("comment_id")).alias("c"))
+    best = rows.groupBy(*READER).agg(F.max(pick).alias("p"), F.max("most").alias("most"), F.max("least").alias("least"))
+    return best.select(*READER, *[f"p.{c}" for c in SAID[:3]], (-F.col("p.t")).alias("thread_id"), (-F.col("p.c")).alias("comment_id"), "most", "least")
+
+
 def gathered(mentions: DataFrame) -> State:
     """The state of one batch. Thread ids are dense numbers where bitmaps are to be small."""
-    good = is_positive().cast("int")
-    pick = F.struct("created_at", "recommendation_strength", "sentiment", (-F.col("thread_id")).alias("t"), (-F.col("comment_id")).alias("c"))
-    opinions = opinionated(mentions).groupBy(*READER).agg(F.max(pick).alias("p"), F.max(F.struct("created_at", good.alias("g"))).alias("most"), F.max(F.struct("created_at", (-good).alias("g"))).alias("least"))
+    good, twice = is_positive().cast("int"), F.col("created_at").cast("long") * 2
+    # odd if an opinion at the latest time is for the book (most) or against it (least)
+    opinions = latest(opinionated(mentions).withColumns({"most": twice + good, "least": twice + 1 - good}))
     booked = mentions.where("book_id is not null")
     counts = booked.groupBy("book_id").agg(F.count("*").alias("mention_count"), F.count_if(is_positive()).alias("recommendation_count"))
     return State(opinions, counts, bitmap(booked, "thread_id", "book_id"))
@@ -64,14 +72,13 @@ def gathered(mentions: DataFrame) -> State:
 
 def merged(a: State, b: State) -> State:
     """The state of the mentions of both."""
-    opinions = a.opinions.unionByName(b.opinions).groupBy(*READER).agg(*[F.max(c).alias(c) for c in ("p", "most", "least")])
     counts = a.counts.unionByName(b.counts).groupBy("book_id").agg(F.sum("mention_count").alias("mention_count"), F.sum("recommendation_count").alias("recommendation_count"))
-    return State(opinions, counts, ored(a.threads.unionByName(b.threads), "book_id"))
+    return State(latest(a.opinions.unionByName(b.opinions)), counts, ored(a.threads.unionByName(b.threads), "book_id"))
 
 
 def weighed(state: State) -> DataFrame:
     """book_id, month (a number), created_at, thread_id, anonymous, conflict, up, weight, gain of each reader's opinion."""
-    o = state.opinions.select(*READER, "p.created_at", "p.recommendation_strength", "p.sentiment", (-F.col("p.t")).alias("thread_id"), (F.col("most.g") != -F.col("least.g")).alias("conflict"))
+    o = state.opinions.withColumn("conflict", (F.col("most").bitwiseAND(1) == 1) & (F.col("least").bitwiseAND(1) == 1))
     weight = F.when(F.col("anonymous"), ANONYMOUS_WEIGHT).otherwise(1.0)
     up = is_positive()
     gain = F.when(up, weight * F.col("recommendation_strength")).otherwise(weight * NEGATIVE_WEIGHT)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, by: str = "", buckets: int = 0) -> DataFrame:
+    """df as Parquet in the shared folder, in buckets by a column if stated.
+
+    Grouping and joining bucketed rows by that column, with others or without, takes no
+    shuffle; df has to be dealt so already (repartition), else each task writes to all buckets.
+    """
+    spark, name = df.sparkSession, f"stored_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    if buckets:
+        df.write.bucketBy(buckets, by).option("path", path).saveAsTable(name, format="parquet")
+        return spark.table(name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

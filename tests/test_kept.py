@@ -90,3 +90,28 @@ def test_mentions_are_made_once_for_all_that_is_kept(spark, sf_dir, monkeypatch)
     queries._two_batches(spark, sf_dir)
     plans = [m._jdf.queryExecution().optimizedPlan().toString() for m in read]
     assert len(plans) == 2 and not any("lineitem" in p or "Join" in p for p in plans)
+
+
+def test_kept_buckets_of_books_are_not_shuffled_again(spark, sf_dir, monkeypatch):
+    """Readers' opinions of both batches are made, merged and summed up without a shuffle of more than a row for each book."""
+    from quillmark.plans import queries
+
+    made, merged = [], kept.merged
+    monkeypatch.setattr(kept, "merged", lambda a, b: made.append(merged(a, b)) or made[-1])
+    board = queries._two_batches(spark, sf_dir)[0]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (made[0].opinions, board.months)]
+    assert not any("Exchange hashpartitioning" in p for p in plans)
+
+
+def test_books_too_large_for_a_bucket_are_kept_apart_with_the_same_scores(spark, sf_dir, monkeypatch):
+    from quillmark.plans import queries
+
+    whole = rows(ranking.scores(queries.views.order_mentions(spark, sf_dir), queries.AS_OF_ORDERS))
+    lines = queries.read(spark, sf_dir, "lineitem").groupBy("l_partkey").count()
+    monkeypatch.setattr(queries, "LARGE_BOOK", int(lines.agg(F.percentile_approx("count", 0.9)).first()[0]))
+    monkeypatch.setattr(queries, "BUCKET", 500)
+    apart = queries._merged_batches
+    calls = []
+    monkeypatch.setattr(queries, "_merged_batches", lambda m, *b: calls.append((m.select("book_id").distinct().count(), *b)) or apart(m, *b))
+    assert rows(queries.score_details_kept(spark, sf_dir)) == whole
+    assert [len(c) for c in calls] == [2, 1] and all(c[0] > 0 for c in calls) and calls[0][1] > 4
